@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, sentencepieces
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.query,
+        "op5_sentencepiece": sentencepieces.query,
         "op9_source_mixing": mixing.query,
     }
 
