@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepieces
+from . import exact_dedup, mixing, sentencepieces, simhash
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.query,
         "op5_sentencepiece": sentencepieces.query,
+        "op8_simhash": simhash.query,
         "op9_source_mixing": mixing.query,
     }
 
