@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepieces, simhash
+from . import exact_dedup, mixing, sentencepieces, simhash, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_sentencepiece": sentencepieces.query,
         "op8_simhash": simhash.query,
