@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepieces, simhash, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.query,
         "op2_substring_dedup": substring_dedup.query,
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_exact_dedup": exact_dedup.query,
