@@ -31,7 +31,9 @@ from ._tables import table
 
 BITS = 20
 TRAIN_ROWS = 5000
-EPOCHS = 3
+#: Passes over the examples: as many as give UPDATES updates, within these bounds.
+EPOCHS = (3, 20)
+UPDATES = 15_000
 SEED = 11
 THRESHOLD = 0.7
 LOT_BYTES = 1 << 20
@@ -92,7 +94,7 @@ def features(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.nd
     return row, (key & np.uint64((1 << bits) - 1)).astype(np.int64), value / length[row]
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (slots, values, label): the weights and the bias."""
     size = (1 << bits) + 1  # the last slot is the bias
     z, n = np.zeros(size), np.zeros(size)
@@ -101,7 +103,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     order = np.random.default_rng(SEED)
-    for _ in range(epochs):
+    for _ in range(min(EPOCHS[1], max(EPOCHS[0], -(-UPDATES // max(1, len(examples)))))):
         for i in order.permutation(len(examples)):
             slots, values, label = examples[i]
             slots, values = np.append(slots, size - 1), np.append(values, 0.1)
