@@ -76,9 +76,8 @@ def budgets(leaves: DataFrame, percent: int, epochs: int, domain_weights: dict,
     """leaves (mix_domain, mix_lang, mix_source, supply) with column budget, in tokens."""
     leaves = leaves.withColumn("cap", F.col("supply") * epochs)
     langs = leaves.groupBy("mix_domain", "mix_lang").agg(F.sum("cap").alias("cap"))
-    domains = leaves.groupBy("mix_domain").agg(F.sum("cap").alias("cap"))
-    total = leaves.agg(F.floor(F.sum("supply") * percent / 100).cast("long").alias("budget"))
-    domains = domains.crossJoin(F.broadcast(total))  # one row
+    domains = leaves.groupBy("mix_domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
+    domains = domains.withColumn("budget", F.floor(F.sum("supply").over(W.partitionBy()) * percent / 100).cast("long"))
     domains = _share(domains, [], "mix_domain", _weight("mix_domain", domain_weights)).select("mix_domain", F.col("given").alias("budget"))
     langs = _share(langs.join(domains, "mix_domain"), ["mix_domain"], "mix_lang", _weight("mix_lang", lang_weights)).select("mix_domain", "mix_lang", F.col("given").alias("budget"))
     return _share(leaves.join(langs, ["mix_domain", "mix_lang"]), ["mix_domain", "mix_lang"], "mix_source", _weight("mix_source", source_weights)).select(
