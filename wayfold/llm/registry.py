@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, neighbours, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
+from . import exact_dedup, html_extract, mixing, neighbours, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_neighbours": neighbours.query,
         "op8_simhash": simhash.query,
         "op9_source_mixing": mixing.query,
+        "op10_html_extract": html_extract.query,
     }
 
 
