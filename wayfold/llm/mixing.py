@@ -32,6 +32,8 @@ BUDGET_PERCENT = 60
 MAX_EPOCHS = 2
 #: Hexadecimal digits of the seeded hash that make a slot.
 SLOT_DIGITS = 3
+#: A leaf's documents meet its budget in so many shares.
+SALTS = 64
 LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
 DOMAIN_WEIGHTS = {"web": 5, "books": 3, "code": 2}
 DOMAINS = ("web", "books", "code")
@@ -111,9 +113,11 @@ def mix(
     planned = planned.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("budget") / F.col("supply"))).otherwise(F.lit(epochs)).cast("int"))
     planned = planned.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply"))
     # Whole epochs take every document; the epoch after them takes a prefix.
-    laps = planned.select(*name, "whole", "rest", F.explode(F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(epochs - 1)))).alias("mix_epoch"))
+    laps = planned.select(*name, "whole", "rest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(
+        *name, "whole", "rest", "salt", F.explode(F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(epochs - 1)))).alias("mix_epoch")
+    )
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_epoch").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    each = thin.join(laps, name).withColumn("order", key).withColumn("slot", F.substring("order", 1, SLOT_DIGITS))
+    each = thin.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(laps, [*name, "salt"]).withColumn("order", key).withColumn("slot", F.substring("order", 1, SLOT_DIGITS))
     # Equal ids count as one unit, so that equal rows stay or go together.
     units = each.groupBy(*name, "mix_epoch", "whole", "rest", "slot", "order", "doc_id").agg(F.sum("mix_tokens").alias("unit"))
     slots = units.groupBy(*name, "mix_epoch", "slot").agg(F.sum("unit").alias("slot_tokens"))
