@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, neighbours, quality, sentencepieces, simhash, substring_dedup, suffix_dedup
+from . import exact_dedup, html_extract, mixing, neighbours, quality, secrets_scan, sentencepieces, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_sentencepiece": sentencepieces.query,
+        "op6_secret_scan": secrets_scan.query,
         "op7_neighbours": neighbours.query,
         "op8_simhash": simhash.query,
         "op9_source_mixing": mixing.query,
