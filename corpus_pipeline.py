@@ -1,27 +1,56 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: quality, exact copies, near copies, mixing, encoding.
+
+Each stage works on all that its predecessor kept and takes (spark, docs, sf_dir). All but the
+last return the columns of documents; the last returns them with ids in place of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import exact_dedup, mixing
+from wayfold.llm import exact_dedup, mixing, quality, sentencepieces, simhash
 from wayfold.llm._tables import table
 
+#: The classifier and the fingerprints have no SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
     return exact_dedup.keep_one(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights; a document may come once in each epoch."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact_dedup", exact), ("source_mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become ids."""
+    return sentencepieces.with_ids(docs)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", exact_copies),
+    ("simhash", near_copies),
+    ("source_mixing", source_mix),
+    ("sentencepiece", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -24,9 +24,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._tables import table
 
@@ -296,18 +298,22 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     return thin.mapInArrow(_encoder(sent), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded text for each row."""
+def with_ids(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
+    """docs with n_tokens and ids (array of int) in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
+    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
+    thin = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(sent.value)
         for batch in batches:
-            made = [mine.encode(v.as_py() or "") for v in batch.column(1)]
-            ids = pa.array([[int(i) for i in a.split(",")] if a else [] for a, _ in made], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([b for _, b in made], pa.string())], ["doc_id", "ids", "decoded"])
+            made = [np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32) for ids in (mine.encode(v.as_py() or "")[0] for v in batch.column(batch.num_columns - 1))]
+            count = np.array([len(m) for m in made], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count), ids], [*rest, "n_tokens", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    out = T.StructType([*thin.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return thin.mapInArrow(run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
