@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 
-TRAIN_PAGES = 300
+TRAIN_PAGES = 400
 EPOCHS = 12
 RATE = 0.15
 DECAY = 1e-4
@@ -201,7 +201,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
         mine.append("links:none" if density < 0 else f"links:{min(4, int(density * 5))}")
         mine.append(f"text:{min(12, node.total.bit_length())}")
         mine.append(f"own:{min(12, node.own.bit_length())}")
-        mine.append(f"share:{min(4, int(5 * node.total / whole))}")
+        mine.append(f"{'inner' if node.kids else 'leaf'}:{min(4, int(5 * node.total / whole))}")
         out.append(mine)
     return out
 
@@ -430,7 +430,9 @@ def labelled_pages(many: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str,
             article = f'<div class="{mark} {rng.choice(["content", "post", "entry-content", "article-body", "story", "main", "text"])}">{body}</div>'
         before = [f for f in (header, menu, notice, advert, sidebar, form) if rng.random() < 0.4]
         after = [f for f in (sidebar, comments, notice, advert, form, share) if rng.random() < 0.3]
-        page = "".join(f() for f in before) + article + "".join(f() for f in after) + (footer() if rng.random() < 0.8 else "")
+        if rng.random() < 0.2:  # nothing but the article
+            before, after = [], []
+        page = "".join(f() for f in before) + article + "".join(f() for f in after) + (footer() if after and rng.random() < 0.9 or rng.random() < 0.3 else "")
         if rng.random() < 0.2:
             page = f"<div id='{rng.choice(['wrapper', 'page', 'container'])}'>{page}</div>"
         out.append((f"<html><head><title>{words(2, 8)}</title></head><body>{page}</body></html>", mark))
