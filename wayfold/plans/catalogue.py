@@ -1,4 +1,4 @@
 """All queries of the engine (its training-data queries apart)."""
 
-from . import joins  # noqa: F401
+from . import joins, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
