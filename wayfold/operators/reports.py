@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N = F.lit(1)
 
 
 def mean(cond: Column, value: Column) -> Column:
@@ -31,9 +30,9 @@ def weak_signal(decisions: DataFrame, fixes: DataFrame, gaps: DataFrame, status:
         ]
 
     d = decisions.groupBy("session_id").agg(*group("weak", weak), *group("reject", reject), *group("ride", ride), F.count_if(F.col("reason") == "gap_recovery").alias("gap_n"))
-    r = fixes.groupBy("session_id").agg(F.count(N).alias("raw_n"), F.count_if("stale").alias("stale_n"))
+    r = fixes.groupBy("session_id").agg(F.count("*").alias("raw_n"), F.count_if("stale").alias("stale_n"))
     g = gaps.groupBy("session_id").agg(F.count("before_top4").alias("before_n"), F.count("after_top4").alias("after_n"), F.coalesce(F.avg("before_top4"), F.lit(0.0)).alias("before_top4"), F.coalesce(F.avg("after_top4"), F.lit(0.0)).alias("after_top4"))
-    s = status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count(N).alias("timeout_n"), (F.max("waited") / 1000.0).alias("timeout_max"))
+    s = status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count("*").alias("timeout_n"), (F.max("waited") / 1000.0).alias("timeout_max"))
     out = r.join(d, "session_id", "left").join(g, "session_id", "left").join(s, "session_id", "left").fillna(0)
     stale = F.when(F.col("raw_n") > 0, F.col("stale_n") / F.col("raw_n")).otherwise(0.0)
     c = F.col
@@ -99,7 +98,7 @@ def consistency(sessions: DataFrame, batch: str = "batch") -> tuple[DataFrame, D
     rows = sessions.withColumns({"reasons": exclusions(), "b": key("brand"), "m": key("model")}).withColumn("valid", F.size("reasons") == 0)
     known = (F.col("b") != "") & (F.col("m") != "")
     v = rows.where("valid").groupBy(batch).agg(
-        F.count(N).alias("valid_n"), F.median("ascent").alias("median_ascent"), F.count_if(~known).alias("nameless"), F.count_distinct(F.when(F.col("b") != "", F.col("b"))).alias("brands"), F.count_distinct("b", "m").alias("models"))
+        F.count("*").alias("valid_n"), F.median("ascent").alias("median_ascent"), F.count_if(~known).alias("nameless"), F.count_distinct(F.when(F.col("b") != "", F.col("b"))).alias("brands"), F.count_distinct("b", "m").alias("models"))
     group = (
         F.when(F.col("valid_n") < 2, F.when((F.col("valid_n") == 1) & (F.col("nameless") == 0), "same-model").otherwise("unknown-device")).when(F.col("nameless") > 0, "unknown-device")
         .when(F.col("models") <= 1, "same-model").when(F.col("brands") <= 1, "same-brand").otherwise("cross-brand-same-algorithm")
@@ -107,7 +106,7 @@ def consistency(sessions: DataFrame, batch: str = "batch") -> tuple[DataFrame, D
     low = F.lit(None).cast("double")
     for limit, metres in reversed(LOW_ASCENT):
         low = F.when(F.col("median_ascent") < limit, metres).otherwise(low)
-    every = rows.groupBy(batch).agg(F.count(N).alias("all_n"))
+    every = rows.groupBy(batch).agg(F.count("*").alias("all_n"))
     info = every.join(v, batch, "left").fillna({"valid_n": 0, "nameless": 0, "brands": 0, "models": 0}).withColumn("device_group", group).withColumn("low_limit", low)
     gone = F.abs(F.col("ascent") - F.col("median_ascent"))
     devices = rows.join(info, batch).withColumn("away", F.when(F.col("valid"), gone)).withColumn("rel", F.when(F.col("valid"), gone / F.greatest("median_ascent", F.lit(100.0))))
@@ -132,7 +131,7 @@ def satellite_summary(sats: DataFrame, keys: list[str]) -> DataFrame:
         kinds += [F.count_if(F.col("kind") == number).alias(f"{name.lower()}_visible"), F.count_if((F.col("kind") == number) & used).alias(f"{name.lower()}_used")]
     first = F.min_by("carrier", F.when(F.col("carrier") > 0, F.col("ord")))
     return sats.groupBy(*keys).agg(
-        F.count(N).alias("visible"), F.count_if(used).alias("used"), mean(used & (cn0 > 0), cn0).alias("used_cn0"), mean(cn0 > 0, cn0).alias("all_cn0"), F.aggregate(ranked, F.lit(0.0), lambda a, b: a + b).alias("top4_sum"), F.size(ranked).alias("top4_n"),
+        F.count("*").alias("visible"), F.count_if(used).alias("used"), mean(used & (cn0 > 0), cn0).alias("used_cn0"), mean(cn0 > 0, cn0).alias("all_cn0"), F.aggregate(ranked, F.lit(0.0), lambda a, b: a + b).alias("top4_sum"), F.size(ranked).alias("top4_n"),
         F.count_if(cn0 < 20).alias("low_visible"), F.count_if(used & (cn0 < 25)).alias("weak_used"), *kinds, first.alias("first_carrier"), F.min("carrier").alias("least_carrier"), F.max("carrier").alias("most_carrier"),
     ).withColumn("top4_cn0", F.when(F.col("top4_n") > 0, F.col("top4_sum") / F.col("top4_n")).otherwise(0.0)).withColumn(
         "dual", F.coalesce(F.greatest(F.col("most_carrier") - F.col("first_carrier"), F.col("first_carrier") - F.col("least_carrier")) >= 1e6, F.lit(False))

@@ -10,7 +10,6 @@ from ..operators import reports as R
 from .joins import GAPS, LINKED
 from .registry import query
 
-N = F.lit(1)
 
 
 def linked(x):
@@ -47,7 +46,7 @@ def weak_report(x):
 
 @query("decision_gnss_metrics", LINKED + """ SELECT result, count(*) AS n, count(linked_id) AS linked, round(avg(used_cn0), 6) AS cn0, round(avg(top4_cn0), 6) AS top4, round(avg(raw_acc) FILTER (WHERE raw_acc > 0), 6) AS acc FROM linked GROUP BY 1""", "fix snap decision")
 def decision_gnss_metrics(x):
-    return linked(x).groupBy("result").agg(F.count(N).alias("n"), F.count("linked_id").alias("linked"), F.round(F.avg("used_cn0"), 6).alias("cn0"), F.round(F.avg("top4_cn0"), 6).alias("top4"), F.round(F.avg(F.when(F.col("raw_acc") > 0, F.col("raw_acc"))), 6).alias("acc"))
+    return linked(x).groupBy("result").agg(F.count("*").alias("n"), F.count("linked_id").alias("linked"), F.round(F.avg("used_cn0"), 6).alias("cn0"), F.round(F.avg("top4_cn0"), 6).alias("top4"), F.round(F.avg(F.when(F.col("raw_acc") > 0, F.col("raw_acc"))), 6).alias("acc"))
 
 
 SAMPLE_SQL = """, iv AS (SELECT *, max(CASE WHEN t > 0 THEN t END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM fix),
@@ -70,14 +69,14 @@ def sample_report_verdict(x):
     top = F.max(F.when(F.col("t") > 0, F.col("t"))).over(earlier("line_no"))
     gap = F.when(F.col("t") > F.col("top"), (F.col("t") - F.col("top")) / 1e9)
     r = x.fix.withColumn("top", top).groupBy("session_id").agg(
-        F.count(N).alias("raw_n"), ((F.max("t") - F.min_by("t", F.when(F.col("t") > 0, F.col("line_no")))) / 1e9).alias("raw_seconds"), F.count_if(gap > 60).alias("long_gaps"), F.coalesce(F.avg(gap), F.lit(0.0)).alias("mean_gap"))
+        F.count("*").alias("raw_n"), ((F.max("t") - F.min_by("t", F.when(F.col("t") > 0, F.col("line_no")))) / 1e9).alias("raw_seconds"), F.count_if(gap > 60).alias("long_gaps"), F.coalesce(F.avg(gap), F.lit(0.0)).alias("mean_gap"))
     why, res = F.col("reason"), F.col("result")
     rides = ((res == "reject") & why.isin("transport_suspected", "transport_confirmed")) | ((res == "accept") & (why == "transport_recovery"))
     d = x.decision.groupBy("session_id").agg(
-        F.count(N).alias("decision_n"), R.trusted_points().alias("trusted_n"), F.count_if(res == "weak").alias("weak_n"), F.count_if(res == "reject").alias("reject_n"), F.count_if(why == "gap_recovery").alias("gap_n"),
+        F.count("*").alias("decision_n"), R.trusted_points().alias("trusted_n"), F.count_if(res == "weak").alias("weak_n"), F.count_if(res == "reject").alias("reject_n"), F.count_if(why == "gap_recovery").alias("gap_n"),
         F.count_if((why == "gap_recovery") & (F.col("metres") == 0) & (F.col("moving") == 0)).alias("gap_zero_n"), F.count_if(rides).alias("ride_n"))
-    p = x.policy.groupBy("session_id").agg(F.count(N).alias("policy_n"), F.count_if(F.col("min_distance") != 0).alias("distance_requests"))
-    s = x.status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count(N).alias("timeout_n"))
+    p = x.policy.groupBy("session_id").agg(F.count("*").alias("policy_n"), F.count_if(F.col("min_distance") != 0).alias("distance_requests"))
+    s = x.status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count("*").alias("timeout_n"))
     m = x.manifest.join(r, "session_id").join(d, "session_id").join(p, "session_id", "left").join(s, "session_id", "left").fillna(0, ["policy_n", "distance_requests", "timeout_n"])
     return R.sample_verdict(m).select("session_id", F.array_join("blocking", ",").alias("blocking"), F.array_join("review", ",").alias("review"), "verdict", F.round("raw_seconds", 6).alias("raw_seconds"), "trusted_n")
 
@@ -91,7 +90,7 @@ def gap_summaries(x):
 
 @query("reason_counts", "SELECT result || ':' || reason AS code, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, result || ':' || reason) AS pos FROM decision GROUP BY 1", "decision")
 def reason_counts(x):
-    counts = x.decision.groupBy(F.concat_ws(":", "result", "reason").alias("code")).agg(F.count(N).alias("n"))
+    counts = x.decision.groupBy(F.concat_ws(":", "result", "reason").alias("code")).agg(F.count("*").alias("n"))
     return counts.withColumn("pos", F.row_number().over(W.orderBy(F.desc("n"), "code")).cast("long"))  # a few codes
 
 
@@ -100,7 +99,7 @@ def reason_counts(x):
 def diagnostic_summary(x):
     n = F.count_if
     return x.decision.groupBy("session_id").agg(
-        F.count(N).alias("n"), n(F.col("result").isin("accept", "anchor")).alias("trusted"), n(F.col("result") == "weak").alias("weak"), n(F.col("result") == "reject").alias("rejected"), F.sum("metres").alias("metres"), F.sum("moving").alias("moving"),
+        F.count("*").alias("n"), n(F.col("result").isin("accept", "anchor")).alias("trusted"), n(F.col("result") == "weak").alias("weak"), n(F.col("result") == "reject").alias("rejected"), F.sum("metres").alias("metres"), F.sum("moving").alias("moving"),
         n(F.col("reason") == "gap_recovery").alias("gaps"), n(F.col("reason").startswith("transport")).alias("rides"), ((F.max("t") - F.min("t")) / 1e9).alias("seconds"))
 
 
@@ -116,9 +115,9 @@ SELECT session_id, CASE WHEN codes = '' THEN 'COMPLETE' ELSE codes END AS codes
 def evidence_findings(x):
     weak, ride, has = F.col("result") == "weak", F.col("reason").startswith("transport"), F.col("linked_id").isNotNull()
     m = linked(x).groupBy("session_id").agg(
-        F.count(N).alias("decision_n"), F.count_if(weak & ~has).alias("weak_lost"), F.count_if((F.col("result") == "reject") & ~has).alias("reject_lost"), F.when(F.count_if(weak & has) > 0, F.try_divide(F.sum(F.when(weak & has, F.coalesce("used_cn0", F.lit(0.0)))), F.count_if(weak & has))).alias("weak_cn0"),
+        F.count("*").alias("decision_n"), F.count_if(weak & ~has).alias("weak_lost"), F.count_if((F.col("result") == "reject") & ~has).alias("reject_lost"), F.when(F.count_if(weak & has) > 0, F.try_divide(F.sum(F.when(weak & has, F.coalesce("used_cn0", F.lit(0.0)))), F.count_if(weak & has))).alias("weak_cn0"),
         F.try_divide(F.sum(F.when(weak & has, F.col("used"))), F.count_if(weak & has)).alias("weak_used"), F.try_divide(F.sum(F.when(ride & has, F.coalesce("used_cn0", F.lit(0.0)))), F.count_if(ride & has)).alias("ride_cn0"), F.count_if(F.col("reason") == "gap_recovery").alias("gap_n"))
-    r = x.fix.groupBy("session_id").agg(F.count(N).alias("raw_n"), F.count_if("stale").alias("stale_n"))
+    r = x.fix.groupBy("session_id").agg(F.count("*").alias("raw_n"), F.count_if("stale").alias("stale_n"))
     c = F.col
     codes = R.chosen(("RAW_DECISION_COUNT", c("raw_n") != c("decision_n")), ("WEAK_UNLINKED", c("weak_lost") > 0), ("REJECT_UNLINKED", c("reject_lost") > 0), ("STALE_RATIO", c("stale_n") / c("raw_n") > 0.2), ("WEAK_LOW_CN0", c("weak_cn0") < 25),
                      ("WEAK_FEW_SATS", c("weak_used") < 5), ("GAP_OR_NO_FIX", c("gap_n") > 0), ("TRANSPORT_GOOD_SIGNAL", c("ride_cn0") >= 25))
@@ -137,7 +136,7 @@ def trusted_segments(x):
 
 @query("map_bounds", "SELECT session_id, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east, count(*) AS n FROM fix WHERE lat <> 0 GROUP BY 1", "fix")
 def map_bounds(x):
-    return x.fix.where("lat <> 0").groupBy("session_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count(N).alias("n"))
+    return x.fix.where("lat <> 0").groupBy("session_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count("*").alias("n"))
 
 
 @query("log_duration", "SELECT session_id, (arg_max(t, line_no) - arg_min(t, line_no)) / 1e9 AS seconds FROM fix GROUP BY 1", "fix")
@@ -151,16 +150,16 @@ def pressure_summary(x):
 
     good = F.when(sound_pressure(F.col("hpa")), F.col("hpa"))
     line = F.when(good.isNotNull(), F.col("line_no"))
-    return x.pressure.groupBy("session_id").agg(F.count(N).alias("n"), F.count(good).alias("good"), F.min(good).alias("low"), F.max(good).alias("high"), F.min_by("hpa", line).alias("first"), F.max_by("hpa", line).alias("last"))
+    return x.pressure.groupBy("session_id").agg(F.count("*").alias("n"), F.count(good).alias("good"), F.min(good).alias("low"), F.max(good).alias("high"), F.min_by("hpa", line).alias("first"), F.max_by("hpa", line).alias("last"))
 
 
 @query("replay_status", """, e AS (SELECT session_id, decision_id, result, CASE WHEN decision_id % 6 = 0 THEN NULL WHEN decision_id % 200 = 1 THEN 'weak' ELSE result END AS expected FROM decision)
 , s AS (SELECT session_id, count(*) AS n, count(expected) AS expected_n, count(*) FILTER (WHERE expected = result) AS hits FROM e GROUP BY 1) SELECT CASE WHEN expected_n = n AND hits = n THEN 'EXACT' WHEN hits = expected_n THEN 'UNCHECKED' ELSE 'BEST_EFFORT' END AS status, count(*) AS n FROM s GROUP BY 1""", "decision")
 def replay_status(x):
     expected = F.when(F.col("decision_id") % 6 == 0, None).when(F.col("decision_id") % 200 == 1, "weak").otherwise(F.col("result"))
-    s = x.decision.withColumn("expected", expected).groupBy("session_id").agg(F.count(N).alias("n"), F.count("expected").alias("expected_n"), F.count_if(F.col("expected") == F.col("result")).alias("hits"))
+    s = x.decision.withColumn("expected", expected).groupBy("session_id").agg(F.count("*").alias("n"), F.count("expected").alias("expected_n"), F.count_if(F.col("expected") == F.col("result")).alias("hits"))
     status = F.when((F.col("expected_n") == F.col("n")) & (F.col("hits") == F.col("n")), "EXACT").when(F.col("hits") == F.col("expected_n"), "UNCHECKED").otherwise("BEST_EFFORT")
-    return s.groupBy(status.alias("status")).agg(F.count(N).alias("n"))
+    return s.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("map_state", """SELECT d.session_id, arg_max(d.decision_id, d.line_no) FILTER (WHERE result IN ('accept', 'anchor')) AS last_trusted, coalesce(any_value(m.metres), sum(d.metres)) AS metres, count(*) FILTER (WHERE result <> 'reject' OR reason LIKE 'transport%') AS drawable FROM decision d LEFT JOIN (SELECT * FROM manifest WHERE read_status = 'OK') m USING (session_id) GROUP BY 1""", "decision manifest")
@@ -173,7 +172,7 @@ def map_state(x):
 
 @query("distinct_devices", "SELECT brand, count(DISTINCT model) AS models, count(*) AS n FROM manifest WHERE brand IS NOT NULL GROUP BY 1", "manifest")
 def distinct_devices(x):
-    return x.manifest.where("brand IS NOT NULL").groupBy("brand").agg(F.count_distinct("model").alias("models"), F.count(N).alias("n"))
+    return x.manifest.where("brand IS NOT NULL").groupBy("brand").agg(F.count_distinct("model").alias("models"), F.count("*").alias("n"))
 
 
 CONSISTENCY = """, s AS (SELECT *, session_id // 4 AS batch, session_id % 27 AS samples, lower(trim(coalesce(brand, ''))) AS b, lower(trim(model)) AS m, concat_ws(',', CASE WHEN completion <> 'FINISHED' THEN 'COMPLETION' END, CASE WHEN integrity <> 'OK' THEN 'INTEGRITY' END, CASE WHEN ascent_source <> 'BAROMETER' THEN 'SOURCE' END, CASE WHEN ascent < 0 THEN 'ASCENT' END, CASE WHEN session_id % 27 <= 0 THEN 'SAMPLES' END) AS reasons FROM manifest),
@@ -213,7 +212,7 @@ def satellite_snapshot(x):
 def constellation_summary(x):
     from ..functions.geo import constellation
 
-    return x.sat.groupBy(constellation(F.col("kind")).alias("name")).agg(F.count(N).alias("visible"), F.count_if("used").alias("used"), F.greatest(F.lit(0.0), F.max("cn0")).alias("top"), F.round(F.avg("cn0"), 6).alias("mean"))
+    return x.sat.groupBy(constellation(F.col("kind")).alias("name")).agg(F.count("*").alias("visible"), F.count_if("used").alias("used"), F.greatest(F.lit(0.0), F.max("cn0")).alias("top"), F.round(F.avg("cn0"), 6).alias("mean"))
 
 
 @query("satellites_in_order", "SELECT session_id, snap_id, ord, row_number() OVER (PARTITION BY session_id, snap_id ORDER BY kind, svid, ord) AS pos FROM sat", "sat")
