@@ -16,5 +16,6 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "wayfold
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
