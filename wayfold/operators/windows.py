@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,34 +20,60 @@ def earlier(*order: str, key: str = "session_id") -> W:
     return W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def greedy(rows: DataFrame, keep: "callable", schema: str) -> DataFrame:
-    """Per session and in arrival order, the rows that keep(state, row) lets through.
+def in_order(rows: DataFrame, names: list[str], fresh: Callable, schema: str) -> DataFrame:
+    """A fold per session in arrival order: fresh() makes a session's object with row(...) and end().
+
+    Both return output rows. A partition's sessions come one after the other, sorted, in batches;
+    only the object of the current one is held.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, session = None, None
+        for part in parts:
+            out = []
+            for row in zip(*(part[n].tolist() for n in names)):
+                if now is None or row[0] != session:
+                    if now is not None:
+                        out += now.end()
+                    now, session = fresh(), row[0]
+                out += now.row(*row)
+            yield pd.DataFrame(out, columns=columns)
+        if now is not None:
+            yield pd.DataFrame(now.end(), columns=columns)
+
+    return rows.select(*names).repartition(names[0]).sortWithinPartitions(*names[:2]).mapInPandas(run, schema)
+
 
-    Which row stays depends on the last one that stayed, so no window function can say it; the
-    state is one row.
+def greedy(rows: DataFrame, keep: Callable, schema: str) -> DataFrame:
+    """Per session and in arrival order, the rows that keep(last kept row, row) lets through.
+
+    Which row stays depends on the last one that stayed, so no window function can say it.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_no", kind="stable")
-        last, out = None, []
-        for row in part[names].itertuples(index=False, name="Row"):
-            if last is None or keep(last, row):
-                out.append(row)
-                last = row
-        return pd.DataFrame(out, columns=names)
+    class Kept:
+        last = None
+
+        def row(self, *row):
+            if self.last is not None and not keep(self.last, row):
+                return []
+            self.last = row
+            return [row]
+
+        def end(self):
+            return []
 
-    return rows.select(*names).groupBy("session_id").applyInPandas(run, schema)
+    return in_order(rows, [c.split()[0] for c in schema.split(", ")], Kept, schema)
 
 
 def throttled(samples: DataFrame, gap: int = SECOND) -> DataFrame:
     """Samples at least gap after the last kept one."""
-    return greedy(samples, lambda last, row: row.t - last.t >= gap, "session_id long, line_no long, sample_id long, t long")
+    return greedy(samples, lambda last, row: row[3] - last[3] >= gap, "session_id long, line_no long, sample_id long, t long")
 
 
 def distinct_steps(points: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Points that differ from the last kept one by more than the tolerance in either direction."""
-    return greedy(points, lambda last, row: abs(row.lat - last.lat) > tolerance or abs(row.lng - last.lng) > tolerance, "session_id long, line_no long, raw_id long, lat double, lng double")
+    return greedy(points, lambda last, row: abs(row[3] - last[3]) > tolerance or abs(row[4] - last[4]) > tolerance, "session_id long, line_no long, raw_id long, lat double, lng double")
 
 
 def motion_windows(samples: DataFrame, width: int = SECOND, least: int = 5, still: float = 0.70) -> DataFrame:
@@ -55,30 +83,29 @@ def motion_windows(samples: DataFrame, width: int = SECOND, least: int = 5, stil
     window too. A window is still with enough samples and a high score.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_no", kind="stable")
-        out, first, n, squares, last = [], None, 0, 0.0, 0
-        sid = part["session_id"].iloc[0]
-
-        def close() -> None:
-            rms = (squares / n) ** 0.5
+    class Windows:
+        def __init__(self):
+            self.first, self.made = None, 0
+
+        def row(self, sid, line, t, d):
+            if self.first is None:
+                self.first, self.n, self.squares = t, 0, 0.0
+            self.sid, self.last = sid, t
+            self.n += 1
+            self.squares += d * d
+            return self.end() if t - self.first >= width else []
+
+        def end(self):
+            if self.first is None:
+                return []
+            rms = (self.squares / self.n) ** 0.5
             score = min(1.0, max(0.0, 1.0 - rms / 0.30))
-            out.append((sid, len(out) + 1, first, last, n, rms, score, n >= least and score >= still))
-
-        for t, d in zip(part["t"].tolist(), part["dynamic"].tolist()):
-            if first is None:
-                first, n, squares = t, 0, 0.0
-            n, squares, last = n + 1, squares + d * d, t
-            if last - first >= width:
-                close()
-                first = None
-        if first is not None:
-            close()
-        return pd.DataFrame(out, columns=["session_id", "window_id", "t0", "t1", "samples", "rms", "score", "still"])
-
-    return samples.select("session_id", "line_no", "t", "dynamic").groupBy("session_id").applyInPandas(
-        run, "session_id long, window_id long, t0 long, t1 long, samples long, rms double, score double, still boolean"
-    )
+            self.made += 1
+            out = [(self.sid, self.made, self.first, self.last, self.n, rms, score, self.n >= least and score >= still)]
+            self.first = None
+            return out
+
+    return in_order(samples, ["session_id", "line_no", "t", "dynamic"], Windows, "session_id long, window_id long, t0 long, t1 long, samples long, rms double, score double, still boolean")
 
 
 def since_reset(rows: DataFrame, reset: F.Column, order: str = "line_no") -> DataFrame:

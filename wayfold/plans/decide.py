@@ -7,6 +7,7 @@ Rows come in arrival order. The state is one plain object a session, of bounded
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -354,11 +355,20 @@ def _some(v: Any) -> bool:
     return v is not None and v == v
 
 
-def fold(state: State, rows: pd.DataFrame) -> list[tuple]:
-    """Rows of one session, in order, through the state: one output row for each fix."""
+_COLUMNS = ("session_id", "line_no", "kind", "raw_id", "t", "lat", "lng", "acc", "speed", "invalid", "forced", "snap_used", "snap_top4", "t0", "t1", "samples", "rms", "score", "still")
+
+
+def fold(state: State, rows: pd.DataFrame, session: Any = None) -> tuple[list[tuple], State, Any]:
+    """Ordered rows through the state: an output row for each fix, and the state and session at the end.
+
+    session: whose state it is (None: the first row's). Where the session changes, the state begins anew.
+    """
     out = []
-    names = ["session_id", "line_no", "kind", "raw_id", "t", "lat", "lng", "acc", "speed", "invalid", "forced", "snap_used", "snap_top4", "t0", "t1", "samples", "rms", "score", "still"]
-    for sid, line, kind, raw, t, lat, lng, acc, speed, invalid, forced, used, top4, t0, t1, samples, rms, score, still in zip(*(rows[n].tolist() for n in names)):
+    for sid, line, kind, raw, t, lat, lng, acc, speed, invalid, forced, used, top4, t0, t1, samples, rms, score, still in zip(*(rows[n].tolist() for n in _COLUMNS)):
+        if session is None:
+            session = sid
+        elif sid != session:
+            state, session = State(), sid
         if kind == "motion":
             on_motion(state, Motion(int(t0), int(t1), int(samples), rms, score, bool(still)))
             continue
@@ -371,19 +381,26 @@ def fold(state: State, rows: pd.DataFrame) -> list[tuple]:
         x = Fix(int(raw), int(t), lat, lng, acc, speed if _some(speed) else None, int(used) if _some(used) else None, top4 if _some(top4) else None)
         d = step(state, x)
         out.append((sid, line, *d.values(), x.t, lat, lng))
-    return out
+    return out, state, session
 
 
-def _batch(rows: pd.DataFrame) -> pd.DataFrame:
-    made = fold(State(), rows.sort_values("line_no", kind="stable"))
+def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The fold over one partition, sorted by session and arrival: only one session's state is held."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    frame = pd.DataFrame(made, columns=columns)
-    return frame.astype({"point_id": "Int64", "segment_id": "Int64", "jitter": "int32", "keepalive": "int32"})
+    state, session = State(), None
+    for part in parts:
+        made, state, session = fold(state, part, session)
+        yield pd.DataFrame(made, columns=columns).astype({"point_id": "Int64", "segment_id": "Int64", "jitter": "int32", "keepalive": "int32"})
 
 
 def decide(fixes: DataFrame, motions: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
-    """One decision for each fix. The fold needs a session's rows in order, so sessions are the unit."""
-    return timeline(fixes, motions, snaps).groupBy("session_id").applyInPandas(_batch, SCHEMA)
+    """One decision for each fix.
+
+    A session's rows are needed in order, so sessions are dealt whole; inside a partition they
+    stream through the fold in batches, whatever their length.
+    """
+    rows = timeline(fixes, motions, snaps).repartition("session_id").sortWithinPartitions("session_id", "line_no")
+    return rows.select(*_COLUMNS).mapInPandas(_batches, SCHEMA)
 
 
 def track_points(decisions: DataFrame) -> DataFrame:

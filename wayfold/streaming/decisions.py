@@ -74,7 +74,7 @@ class DecisionProcessor(StatefulProcessor):
             now = max(now, int(r.recv), int(r.start_t))
             why.append(broken_rule(r, now))
         part = part.assign(invalid=pd.Series(why, index=part.index, dtype=object))
-        made = D.fold(state, part)
+        made, state, _ = D.fold(state, part)
         self.held.update((now, pickle.dumps(state)))
         if self.silence is not None and fixes:
             for old in list(self.handle.listTimers()):
