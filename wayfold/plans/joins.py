@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import joins as J
 from . import decide as D
+from .decide_sql import DECISIONS
 from .registry import query
 
 VALID = """, now AS (SELECT *, greatest(max(recv) OVER (PARTITION BY session_id ORDER BY line_no), start_t) AS now_t FROM fix),
@@ -29,22 +30,27 @@ def decisions(x):
     return D.decide(x.fix, x.motion, x.snap)
 
 
-@query("decide_trace")
+FOLD = VALID + DECISIONS
+POINTS = FOLD + ", tp AS (SELECT *, row_number() OVER (PARTITION BY session_id, point_id ORDER BY decision_id DESC) AS newest FROM d WHERE point_id IS NOT NULL)"
+
+
+@query("decide_trace", FOLD + " SELECT session_id, line_no, decision_id, raw_id, result, reason, state, round(metres, 6) AS metres, round(seconds, 6) AS seconds, point_id, segment_id, new_segment, jitter, keepalive, t FROM d", "fix snap motion")
 def decide_trace(x):
     return decisions(x).drop("lat", "lng").withColumns({"metres": F.round("metres", 6), "seconds": F.round("seconds", 6)})
 
 
-@query("decision_counts")
+@query("decision_counts", FOLD + " SELECT result, reason, count(*) AS n, round(sum(metres), 6) AS metres FROM d GROUP BY 1, 2", "fix snap motion")
 def decision_counts(x):
     return decisions(x).groupBy("result", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("metres"), 6).alias("metres"))
 
 
-@query("track_points")
+@query("track_points", POINTS + " SELECT session_id, point_id, decision_id, raw_id, segment_id, result, reason, round(metres, 6) AS metres, round(seconds, 6) AS seconds, t, round(lat, 6) AS lat, round(lng, 6) AS lng FROM tp WHERE newest = 1", "fix snap motion")
 def track_points(x):
     return D.track_points(decisions(x)).withColumns({c: F.round(c, 6) for c in ("metres", "seconds", "lat", "lng")})
 
 
-@query("session_stats")
+@query("session_stats", FOLD + """ SELECT session_id, count(*) AS n_decisions, CAST(sum(keepalive) AS BIGINT) AS keepalives, CAST(sum(jitter) AS BIGINT) AS jitters, count(*) FILTER (WHERE reason = 'gap_recovery') AS gaps, count(*) FILTER (WHERE reason = 'transport_suspected') AS rides,
+ round(sum(metres), 6) AS metres, round(sum(seconds), 6) AS seconds FROM d GROUP BY 1""", "fix snap motion")
 def session_stats(x):
     return D.session_stats(decisions(x))
 

@@ -143,21 +143,21 @@ def motion_windows(x):
     return O.motion_windows(s).select("session_id", "window_id", "t0", "t1", "samples", F.round("rms", 6).alias("rms"), F.round("score", 6).alias("score"))
 
 
-def ascent_sql(rows: str, alpha: float, climb: str, drop: str, climb_s: str, gap: str) -> str:
-    """A recursive fold, one step a sample, with the state in columns."""
-    return f""", s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS rn FROM ({rows})),
-r AS (SELECT session_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS peak, CAST(0 AS BIGINT) AS lt, CAST(NULL AS DOUBLE) AS sv, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rejected
-   FROM (SELECT DISTINCT session_id FROM s) UNION ALL
+def ascent_sql(rows: str, alpha: float, climb: str, drop: str, climb_s: str, gap: str, name: str = "asc_") -> str:
+    """A recursive fold, one step a sample, with the state in columns: the CTE name and what it needs."""
+    return f""", {name}_s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS rn FROM ({rows})),
+{name}_r AS (SELECT session_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS peak, CAST(0 AS BIGINT) AS lt, CAST(NULL AS DOUBLE) AS sv, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rejected
+   FROM (SELECT DISTINCT session_id FROM {name}_s) UNION ALL
  SELECT session_id, rn, total + CASE op WHEN 'reset' THEN gain0 WHEN 'on' THEN CASE WHEN turned AND peak - base >= {climb} THEN peak - base ELSE 0 END ELSE 0 END,
    CASE op WHEN 'reset' THEN alt WHEN 'on' THEN nf ELSE f END, CASE WHEN op = 'reset' THEN alt WHEN op = 'on' AND (f IS NULL OR turned) THEN nf ELSE base END,
    CASE WHEN op = 'reset' THEN alt WHEN op = 'on' AND (f IS NULL OR turned OR nf >= peak) THEN nf ELSE peak END, CASE WHEN op = 'skip' THEN lt ELSE t END, CASE WHEN op = 'skip' THEN sv ELSE vacc END, n + CASE WHEN op = 'skip' THEN 0 ELSE 1 END, rejected + CASE WHEN op = 'skip' THEN 1 ELSE 0 END
  FROM (SELECT *, NOT (f IS NULL OR nf >= peak) AND peak - nf >= {drop} AS turned, CASE WHEN f IS NOT NULL AND peak - base >= {climb_s} THEN peak - base ELSE 0 END AS gain0 FROM (
    SELECT r.session_id, s.rn, r.total, r.f, r.base, r.peak, r.lt, r.sv, r.n, r.rejected, s.alt, s.t, s.vacc, CASE WHEN r.f IS NULL THEN s.alt ELSE s.alt * {alpha} + r.f * (1 - {alpha}) END AS nf,
      CASE WHEN s.bad THEN 'skip' WHEN s.reset OR (r.f IS NOT NULL AND {gap}) THEN 'reset' WHEN r.f IS NOT NULL AND (s.t <= r.lt OR abs(s.alt - r.f) / ((s.t - r.lt) / 1e9) > 2) THEN 'skip' ELSE 'on' END AS op
-   FROM r JOIN s ON s.session_id = r.session_id AND s.rn = r.rn + 1))),
-fin AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rn DESC) AS last FROM r),
-asc_ AS (SELECT session_id, CASE WHEN n >= 2 THEN total + CASE WHEN peak - base >= {climb_s} THEN peak - base ELSE 0 END ELSE -1 END AS ascent, n, rejected FROM fin WHERE last = 1)
-SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM asc_"""
+   FROM {name}_r r JOIN {name}_s s ON s.session_id = r.session_id AND s.rn = r.rn + 1))),
+{name}_fin AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rn DESC) AS last FROM {name}_r),
+{name} AS (SELECT session_id, CASE WHEN n >= 2 THEN total + CASE WHEN peak - base >= {climb_s} THEN peak - base ELSE 0 END ELSE -1 END AS ascent, n, rejected FROM {name}_fin WHERE last = 1)
+"""
 
 
 BARO_ROWS = "SELECT session_id, line_no AS ord, t, alt, CAST(0 AS DOUBLE) AS vacc, false AS reset, hpa <= 0 AS bad FROM pressure"
@@ -173,17 +173,21 @@ def satellite_rows(x):
     return x.fix.where(sound).select("session_id", F.col("line_no").alias("ord"), "t", "alt", "vacc", ((F.col("seq") == 1) | (F.col("raw_id") % 29 == 0)).alias("reset"), F.lit(False).alias("bad"))
 
 
-@query("ascent_baro", ascent_sql(BARO_ROWS, 0.35, "3", "1.5", "3", "s.t - r.lt > 30000000000"), "pressure")
+BARO_SQL = ascent_sql(BARO_ROWS, 0.35, "3", "1.5", "3", "s.t - r.lt > 30000000000", "baro")
+SAT_SQL = ascent_sql(SAT_ROWS, 0.15, "greatest(5, vacc * 0.8)", "greatest(3, vacc * 0.4)", "greatest(5, sv * 0.8)", "false", "sat_")
+
+
+@query("ascent_baro", BARO_SQL + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM baro", "pressure")
 def ascent_baro(x):
     return A.fold(barometer_rows(x), A.BAROMETER, A.BAROMETER_GAP).withColumn("ascent", F.round("ascent", 6))
 
 
-@query("ascent_gnss", ascent_sql(SAT_ROWS, 0.15, "greatest(5, vacc * 0.8)", "greatest(3, vacc * 0.4)", "greatest(5, sv * 0.8)", "false"), "fix")
+@query("ascent_gnss", SAT_SQL + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM sat_", "fix")
 def ascent_gnss(x):
     return A.fold(satellite_rows(x), A.SATELLITE).withColumn("ascent", F.round("ascent", 6))
 
 
-@query("ascent_selected")
+@query("ascent_selected", BARO_SQL + SAT_SQL + """ SELECT session_id, round(CASE WHEN b.ascent >= 0 THEN b.ascent WHEN s.ascent >= 0 THEN s.ascent ELSE -1 END, 6) AS ascent, CASE WHEN b.ascent >= 0 THEN 'BAROMETER' WHEN s.ascent >= 0 THEN 'GNSS' ELSE 'NONE' END AS source FROM baro b FULL JOIN sat_ s USING (session_id)""", "pressure fix")
 def ascent_selected(x):
     return A.selected(A.fold(barometer_rows(x), A.BAROMETER, A.BAROMETER_GAP), A.fold(satellite_rows(x), A.SATELLITE)).withColumn("ascent", F.round("ascent", 6))
 
