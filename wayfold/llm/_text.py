@@ -94,8 +94,20 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _TABLE[data]
 
 
+#: Bytes that word_hash() works on at a time.
+SPAN = 1 << 20
+
+
 def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return run_hash(prefix_hash(byte_values(data)), start, end)
+    """Hashes of words in ascending order, stretch by stretch, so that little is held beside them."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SPAN, side="right")))
+        lo = start[a]
+        out[a:b] = run_hash(prefix_hash(byte_values(data[lo : end[b - 1]])), start[a:b] - lo, end[a:b] - lo)
+        a = b
+    return out
 
 
 def owners(first: np.ndarray) -> np.ndarray:

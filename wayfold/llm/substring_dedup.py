@@ -32,8 +32,8 @@ from ._tables import table
 
 FACTOR = 13
 #: Bytes of text in a reference block, and windows in an index bucket, about.
-BLOCK_BYTES = 6 << 20
-BUCKET_WINDOWS = 1_500_000
+BLOCK_BYTES = 5 << 20
+BUCKET_WINDOWS = 1_000_000
 
 
 def _windows(data: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
