@@ -144,3 +144,27 @@ def signal_level(accuracy: Column, used: Column, visible: Column, max_cn0: Colum
     by_accuracy = F.when(accuracy <= 8, 4).when(accuracy <= 18, 3).when(accuracy <= 40, 2).when(accuracy.isNotNull(), 1).otherwise(0)
     by_sky = F.when((used >= 8) & (max_cn0 >= 35), 4).when((used >= 5) & (max_cn0 >= 28), 3).when((used >= 3) & (max_cn0 >= 22), 2)
     return F.greatest(by_accuracy, by_sky.when((visible > 0) | (max_cn0 > 0), 1).otherwise(0))
+
+
+def screen(x: Column, y: Column, centre_x: Column, centre_y: Column, scale: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Screen position of a map point: pixels from the centre, by the width of the world in pixels."""
+    return (x - centre_x) * scale + width / 2, (y - centre_y) * scale + height / 2
+
+
+def in_frame(lat: Column, lng: Column, south: Column, west: Column, north: Column, east: Column, width: float, height: float, pad: float) -> tuple[Column, Column]:
+    """Position in a drawing of fixed size, north up, with a border; a frame without extent is widened."""
+    high, wide = F.greatest(north - south, F.lit(1e-6)), F.greatest(east - west, F.lit(1e-6))
+    return pad + (lng - west) / wide * (width - 2 * pad), pad + (north - lat) / high * (height - 2 * pad)
+
+
+def parent_tile(tx: Column, ty: Column, zoom: Column) -> Column:
+    """Key of the tile one zoom level up; null at the top."""
+    return F.when(zoom > 0, F.concat_ws("/", (zoom - 1).cast("string"), F.shiftright(tx, 1).cast("string"), F.shiftright(ty, 1).cast("string")))
+
+
+def covering_tiles(x0: Column, y0: Column, x1: Column, y1: Column, zoom: Column) -> Column:
+    """Tiles that a box of map points touches, as an array of (tx, ty); columns wrap, rows are clamped."""
+    n = F.pow(F.lit(2.0), zoom).cast("long")
+    cols = F.transform(F.sequence(F.floor(x0 * n).cast("long"), F.floor(x1 * n).cast("long")), lambda c: F.pmod(c, n))
+    rows = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(y0 * n).cast("long")), F.least(n - 1, F.floor(y1 * n).cast("long")))
+    return F.flatten(F.transform(cols, lambda c: F.transform(rows, lambda r: F.struct(c.alias("tx"), r.alias("ty")))))

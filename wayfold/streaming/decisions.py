@@ -52,12 +52,12 @@ def broken_rule(r: Any, now: int, c: Strategy = DEFAULT) -> str | None:
 class DecisionProcessor(StatefulProcessor):
     """One session's state and its timer."""
 
-    def __init__(self, silence: int | None = NO_FIX_MILLIS):
-        self.silence = silence
+    def __init__(self, silence: int | None = NO_FIX_MILLIS, ttl: int | None = None):
+        self.silence, self.ttl = silence, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("session", "now long, blob binary")
+        self.held = handle.getValueState("session", "now long, blob binary", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, now = D.State(), -1
@@ -95,10 +95,13 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype(whole)
 
 
-def decide_stream(rows: DataFrame, silence: int | None = NO_FIX_MILLIS) -> DataFrame:
-    """Decisions of a stream of rows as INPUT describes. The session needs the RocksDB state store."""
+def decide_stream(rows: DataFrame, silence: int | None = NO_FIX_MILLIS, ttl: int | None = None) -> DataFrame:
+    """Decisions of a stream of rows as INPUT describes. The session needs the RocksDB state store.
+
+    silence and ttl are milliseconds of processing time; without both, no clock is used.
+    """
     return rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=DecisionProcessor(silence), outputStructType=D.SCHEMA, outputMode="Append", timeMode="None" if silence is None else "ProcessingTime"
+        statefulProcessor=DecisionProcessor(silence, ttl), outputStructType=D.SCHEMA, outputMode="Append", timeMode="None" if silence is None and ttl is None else "ProcessingTime"
     )
 
 
