@@ -49,8 +49,9 @@ def test_substring(spark, name, monkeypatch):
 
 
 @pytest.mark.parametrize("name", TABLES)
-@pytest.mark.parametrize("length,gram", [(400, 100), (50, 20)])
-def test_suffix(spark, name, length, gram, monkeypatch):
+@pytest.mark.parametrize("length,gram,hot", [(400, 100, 64), (50, 20, 64), (50, 20, 1)])
+def test_suffix(spark, name, length, gram, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", hot)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_CORES", 500)
     monkeypatch.setattr(suffix_dedup, "BUCKET_FLANKS", 300)

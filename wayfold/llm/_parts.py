@@ -26,7 +26,9 @@ def deal(docs: DataFrame, doc_id: str, text: str, part_bytes: int, by_order: boo
     rows, size = volume(thin, "text")
     parts = max(1, -(-size // part_bytes))
     if not by_order:
-        return thin.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text"), parts, size
+        # Never null, and known not to be: joins on it then add no filter below the exchange that others reuse.
+        part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"), F.lit(0))
+        return thin.select(part.alias("part"), "doc_id", "text"), parts, size
     bounds: list[int] = []
     if parts > 1:
         wanted = [i / parts for i in range(1, parts)]

@@ -22,6 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.ORACLE,
+        "op3_suffix_dedup": suffix_dedup.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op9_source_mixing": mixing.oracle(),
     }

@@ -180,3 +180,14 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", factor:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, doc_id, k, array_to_string(ws[k:k + 12], ' ') AS key FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+firsts AS (SELECT key, min(doc_id) AS first FROM windows GROUP BY key),
+gone AS (SELECT DISTINCT r, k + o AS pos FROM (SELECT r, k FROM windows JOIN firsts USING (key) WHERE first < doc_id), range(13) AS t(o)),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""

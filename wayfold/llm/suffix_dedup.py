@@ -20,13 +20,15 @@ same document or another.
    next to the core. An occurrence is covered with o bytes to its left if another is in the
    same class of the left collection after round o and of the right one after the round that
    completes LENGTH.
+   A core that more than HOT_PARTS parts have sends no flanks, so no task gathers them: its
+   windows are looked up one by one instead, each part sending each distinct window's hash once.
 3. Each occurrence learns the first and the last byte of the windows found; the union of
    these intervals is removed.
 
 The rounds over bounded buckets replace the sequential external files of the construction on
 whole documents: there, one round for every byte of the longest document would rewrite the
-transform of the whole corpus each time (README). Hashes of cores are 64 bits wide; flanks are
-compared byte by byte.
+transform of the whole corpus each time (README). Hashes of cores, and of the windows of hot
+cores, are 64 bits wide; flanks are compared byte by byte.
 
 A null text is empty. Texts under LENGTH bytes keep all. Repeated rows are copies of each
 other. Extra columns are ignored. An empty table gives an empty result.
@@ -38,6 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +49,14 @@ from ._tables import table
 
 LENGTH = 400
 GRAM = 100
-PART_BYTES = 8 << 20
+PART_BYTES = 5 << 20
 #: Bytes hashed at a time inside a part.
 LOT_BYTES = 1 << 20
 #: Cores in an index bucket and flanks in a flank bucket, about.
-BUCKET_CORES = 1_000_000
+BUCKET_CORES = 700_000
 BUCKET_FLANKS = 40_000
+#: A core in more parts than this is hot; up to it, a core's flanks meet in one task.
+HOT_PARTS = 512
 
 
 def _anchors(sums: np.ndarray, off: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -108,28 +113,92 @@ def _cores(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
     return hashes[once], places
 
 
+def _dealt_out(found: np.ndarray, part: int, buckets: int) -> dict:
+    """Ascending hashes of a part, packed by index bucket."""
+    edges = _text.bucket_edges(found, buckets)
+    used = np.flatnonzero(np.diff(edges))
+    return {"bucket": used.tolist(), "part": [part] * len(used), "cores": [_text.pack_sorted(found[edges[b] : edges[b + 1]]) for b in used]}
+
+
+_INDEX = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("cores", pa.binary())])
+
+
 def _index(buckets: int, length: int, gram: int):
     def run(rows: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
             part = rows.column("part")[0].as_py()
             _, _, data, off = _parts.arranged(rows)
             found = np.unique(_cores(data, off, length, gram)[0])
-        edges = _text.bucket_edges(found, buckets)
-        used = np.flatnonzero(np.diff(edges))
-        blobs = [_text.pack_sorted(found[edges[b] : edges[b + 1]]) for b in used]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "part": pa.array([part] * len(used), pa.int32()), "cores": pa.array(blobs, pa.binary())})
+        return pa.table(_dealt_out(found, part, buckets), schema=_INDEX)
+
+    return run
+
+
+def _look_up(hot_parts: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """For each part of a bucket, bits for each of its hashes: whether another part has it, and whether many have."""
+        each = [_text.unpack_sorted(b.as_py()) for b in rows.column("cores")]
+        sizes = np.cumsum([0, *map(len, each)])
+        _, back, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        hot = count[back] > hot_parts
+        bits = lambda mask: pa.array([np.packbits(mask[a:b]).tobytes() for a, b in zip(sizes[:-1], sizes[1:])], pa.binary())
+        return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "shared": bits(count[back] > 1), "hot": bits(hot), "any_hot": pa.array([bool(hot[a:b].any()) for a, b in zip(sizes[:-1], sizes[1:])])})
 
     return run
 
 
-def _look_up(rows: pa.Table) -> pa.Table:
-    """For each part of a bucket, a bit for each of its cores: whether another part has it."""
-    each = [_text.unpack_sorted(b.as_py()) for b in rows.column("cores")]
-    sizes = np.cumsum([0, *map(len, each)])
-    _, back, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    shared = count[back] > 1
-    bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(sizes[:-1], sizes[1:])]
-    return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "shared": pa.array(bits, pa.binary())})
+def _bits(answers: pa.Table, name: str, n: int) -> np.ndarray:
+    """A part's bits in the order of its ascending hashes."""
+    if not answers.num_rows:
+        return np.zeros(n, bool)
+    answers = answers.sort_by("bucket")
+    return np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=k.as_py()) for b, k in zip(answers.column(name), answers.column("n"))]).astype(bool)
+
+
+def _hashes_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of so many bytes at ascending places, stretch by stretch."""
+    out = np.empty(len(at), np.uint64)
+    i = 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + LOT_BYTES, side="right"))
+        lo = at[i]
+        sums = _text.prefix_hash(_text.byte_values(data[lo : at[j - 1] + size]))
+        out[i:j] = _text.run_hash(sums, at[i:j] - lo, at[i:j] - lo + size)
+        i = j
+    return out
+
+
+def _around(places: np.ndarray, off: np.ndarray, n: int, length: int, half: int) -> np.ndarray:
+    """Starts of the windows around cores."""
+    row = np.searchsorted(off, places, side="right") - 1
+    lo, hi = np.maximum(off[row], places - half), np.minimum(places, off[row + 1] - length)
+    some = hi >= lo
+    step = np.zeros(n + 2, np.int32)
+    np.add.at(step, lo[some], 1)
+    np.add.at(step, hi[some] + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:-1], dtype=np.int32) > 0)
+
+
+def _hot(buckets: int, length: int, gram: int):
+    """Windows around hot cores: their hashes for the index (once a part), and their places for the end (bucket -1)."""
+    half = (length - gram) // 2
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows or not any(answers.column("any_hot").to_pylist()):
+            return _INDEX.empty_table()
+        part = rows.column("part")[0].as_py()
+        with np.errstate(over="ignore"):
+            _, _, data, off = _parts.arranged(rows)
+            hashes, places = _cores(data, off, length, gram)
+            found, back = np.unique(hashes, return_inverse=True)
+            at = _around(places[_bits(answers, "hot", len(found))[back]], off, len(data), length, half)
+            out = _dealt_out(np.unique(_hashes_at(data, at, length)), part, buckets)
+        out["bucket"].append(-1)
+        out["part"].append(part)
+        out["cores"].append(at.astype(np.int64).tobytes())
+        return pa.table(out, schema=_INDEX)
+
+    return run
 
 
 def _flanks(buckets: int, length: int, gram: int):
@@ -145,9 +214,7 @@ def _flanks(buckets: int, length: int, gram: int):
         if not len(hashes):
             return schema.empty_table()
         _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        answers = answers.sort_by("bucket")
-        shared = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()) for b, n in zip(answers.column("shared"), answers.column("n"))]).astype(bool)
-        keep = shared[back] | (count[back] > 1)
+        keep = (_bits(answers, "shared", len(count))[back] | (count[back] > 1)) & ~_bits(answers, "hot", len(count))[back]
         hashes, places = hashes[keep], places[keep]
         row = np.searchsorted(off, places, side="right") - 1
         room_l = np.minimum(places - off[row], half).astype(np.uint8 if half < 256 else np.uint16)
@@ -248,34 +315,49 @@ def _match(length: int, gram: int):
     return run
 
 
-def _finish(rows: pa.Table, spans: pa.Table) -> pa.Table:
-    ids, _, data, off = _parts.arranged(rows)
-    step = np.zeros(len(data) + 1, np.int32)
-    for name, by in (("start", 1), ("end", -1)):
-        for blob in spans.column(name) if spans.num_rows else ():
-            np.add.at(step, np.frombuffer(blob.as_py(), np.int64), by)
-    gone = np.cumsum(step[:-1]) > 0
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    edge = off[:-1][np.diff(off) > 0]
-    opens[edge] = gone[edge]
-    removed, spans_to, kept_to = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens, ~gone))
-    flat = data[~gone].tobytes()
-    at = kept_to[off]
-    texts = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return pa.table({
-        "doc_id": ids,
-        "n_bytes": pa.array(np.diff(off), pa.int64()),
-        "n_removed": pa.array(np.diff(removed[off]), pa.int64()),
-        "n_spans": pa.array(np.diff(spans_to[off]), pa.int64()),
-        "kept": pa.array(texts, pa.binary()),
-    })
-
-
-def _digest(rows: pa.Table, spans: pa.Table) -> pa.Table:
-    out = _finish(rows, spans)
-    sha = [hashlib.sha256(t.as_py()).hexdigest() for t in out.column("kept")]
-    return out.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sha, pa.string()))
+def _finish(length: int):
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        ids, _, data, off = _parts.arranged(rows)
+        step = np.zeros(len(data) + 1, np.int32)
+        for name, by in (("start", 1), ("end", -1)):
+            for blob in told.column(name).drop_null():
+                np.add.at(step, np.frombuffer(blob.as_py(), np.int64), by)
+        hot = [np.frombuffer(b.as_py(), np.int64) for b in told.column("places").drop_null()]
+        if hot and len(hot[0]):
+            with np.errstate(over="ignore"):
+                _, back, count = np.unique(_hashes_at(data, hot[0], length), return_inverse=True, return_counts=True)
+            again = _bits(told.filter(pc.is_valid(told.column("shared"))), "shared", len(count))
+            at = hot[0][again[back] | (count[back] > 1)]
+            np.add.at(step, at, 1)
+            np.add.at(step, at + length, -1)
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        del step
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        edge = off[:-1][np.diff(off) > 0]
+        opens[edge] = gone[edge]
+        upto = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[off]
+        flat = data[~gone].tobytes()
+        at = upto(~gone)
+        texts = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.table({
+            "doc_id": ids,
+            "n_bytes": pa.array(np.diff(off), pa.int64()),
+            "n_removed": pa.array(np.diff(upto(gone)), pa.int64()),
+            "n_spans": pa.array(np.diff(upto(opens)), pa.int64()),
+            "kept": pa.array(texts, pa.binary()),
+        })
+
+    return run
+
+
+def _digest(inner):
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = inner(rows, told)
+        sha = [hashlib.sha256(t.as_py()).hexdigest() for t in out.column("kept")]
+        return out.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sha, pa.string()))
+
+    return run
 
 
 def _cleaned(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, finish, schema: str) -> DataFrame:
@@ -283,25 +365,44 @@ def _cleaned(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, fi
     anchors = max(1, 2 * size // (length - gram + 2))  # as many as minimal hashes give on average
     buckets = max(1, -(-2 * anchors // BUCKET_CORES))
     flank_buckets = max(1, -(-2 * anchors // BUCKET_FLANKS))
-    dealt = dealt.repartition(parts, "part")  # one exchange for all three uses
+    dealt = dealt.repartition(parts, "part")  # one exchange for all uses
+    looked = "part int, bucket int, n int, shared binary, hot binary, any_hot boolean"
     index = dealt.groupBy("part").applyInArrow(_index(buckets, length, gram), "bucket int, part int, cores binary")
-    shared = index.groupBy("bucket").applyInArrow(_look_up, "part int, bucket int, n int, shared binary")
+    shared = index.groupBy("bucket").applyInArrow(_look_up(HOT_PARTS), looked)
     flanks = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
         _flanks(flank_buckets, length, gram), "bucket int, part int, core binary, place binary, left binary, right binary, room binary"
     )
     spans = flanks.groupBy("bucket").applyInArrow(_match(length, gram), "part int, start binary, end binary")
-    return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish, schema)
+    hot = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_hot(buckets, length, gram), "bucket int, part int, cores binary")
+    windows = hot.where("bucket >= 0").groupBy("bucket").applyInArrow(_look_up(1 << 30), looked)
+    places = hot.where("bucket < 0").select("part", F.col("cores").alias("places"))
+    told = spans.unionByName(windows.drop("hot", "any_hot"), allowMissingColumns=True).unionByName(places, allowMissingColumns=True)
+    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(finish, schema)
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each row. length - gram is even."""
-    return _cleaned(docs, doc_id, text, length, gram, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _cleaned(docs, doc_id, text, length, gram, _finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """As cleaned(), with the SHA-256 of the kept bytes in place of them."""
-    return _cleaned(docs, doc_id, text, length, gram, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cleaned(docs, doc_id, text, length, gram, _digest(_finish(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT r, k, md5(b[k:k + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS k FROM b)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT r, k FROM windows SEMI JOIN twice USING (h)),
+marks AS (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY r ORDER BY k) > 400, true) AS opens FROM hits),
+runs AS (SELECT r, min(k) AS a, max(k) + 400 AS z FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM marks) GROUP BY r, g),
+cuts AS (SELECT r, sum(z - a)::BIGINT AS n, count(*) AS spans FROM runs GROUP BY r),
+keeps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS z FROM (SELECT r, a, z FROM runs UNION ALL SELECT r, octet_length(b) + 1, NULL FROM b)),
+kept AS (SELECT r, unhex(string_agg(hex(b[a:z - 1]), '' ORDER BY a)) AS rest FROM keeps JOIN b USING (r) WHERE z > a GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(rest, ''::BLOB)) AS kept_sha256 FROM b LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)
+"""
