@@ -24,3 +24,12 @@ def volume(frame: DataFrame, text: str) -> tuple[int, int]:
     """Rows and bytes of a text column, in one aggregate."""
     row = frame.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
     return int(row["n"]), int(row["b"])
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are cores, where an input of a few files would leave cores idle.
+
+    Inputs of more splits than cores are left as they are, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import table
+from ._tables import spread, table
 
 TRAIN_PAGES = 400
 EPOCHS = 12
@@ -463,4 +463,4 @@ def extracted(pages: DataFrame, html: str = "html", model: Model | None = None)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(spread(table(spark, sf_dir, "pages")))

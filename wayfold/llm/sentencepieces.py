@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import table
+from ._tables import spread, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept by a worker, in two halves: when the new half is full, the old one goes.
-KEPT = 400_000
+KEPT = 1_200_000
 #: Verdicts on neighbouring pieces kept by a worker.
 PAIRS = 600_000
 LONG = 64
@@ -74,13 +74,14 @@ class Codec:
         self.unknown = sp.unk_id()
         self.auto = ahocorasick.Automaton()
         for piece, (_, i) in self.rank.items():
-            self.auto.add_word(piece, (len(piece), i))
+            self.auto.add_word(piece, i)
         self.auto.make_automaton()
         self.chars = {piece for piece in self.rank if len(piece) == 1}
         self.size_of = [len(piece) for piece in self.pieces]
         #: The longest other piece that a piece starts with, or -1.
         self.shorter = [next((self.rank[p[:k]][1] for k in range(len(p) - 1, 0, -1) if p[:k] in self.rank), -1) if p in self.rank else -1 for p in self.pieces]
         self.spoken = [piece.replace(MARK, " ") for piece in self.pieces]
+        self.shown = [str(i) for i in range(len(self.pieces))]
         self.agree: dict[int, bool] = {}
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
@@ -112,9 +113,9 @@ class Codec:
         """The ids of a word all of whose characters have pieces; None if there is no encoding."""
         n = len(word)
         longest = [-1] * (n + 1)  # the longest piece that starts at each position
-        for end, (size, i) in self.auto.iter(word):
-            longest[end + 1 - size] = i  # ends ascend, so a longer piece comes later
         size_of, shorter, agree = self.size_of, self.shorter, self.agree
+        for end, i in self.auto.iter(word):
+            longest[end + 1 - size_of[i]] = i  # ends ascend, so a longer piece comes later
         failed = 0  # a bit for each position from which no encoding exists
         out: list[int] = []
         pos, token = 0, longest[0]
@@ -146,7 +147,7 @@ class Codec:
 
     def ids(self, word: str) -> list[int]:
         """The ids of one word (its space marks included)."""
-        if self.chars.issuperset(word) and MARK not in word[1:]:
+        if word.rfind(MARK) <= 0 and self.chars.issuperset(word):
             found = self.backtrack(word)
             if found is not None:
                 return found
@@ -235,8 +236,9 @@ class Codec:
         found = self.old.get(part)
         if found is None:
             ids = self.ids(MARK + part)
-            found = ",".join(map(str, ids))
-            if "".join([self.spoken[i] for i in ids]) != " " + part and (back := self.text_of(ids)) != " " + part:
+            shown, spoken = self.shown, self.spoken
+            found = ",".join([shown[i] for i in ids])
+            if "".join([spoken[i] for i in ids]) != " " + part and (back := self.text_of(ids)) != " " + part:
                 if len(self.odd) > KEPT:
                     self.odd.clear()
                     self.new.clear()
@@ -317,4 +319,4 @@ def with_ids(docs: DataFrame, text: str = "text", model: str | None = None) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"))
+    return encoded(spread(table(spark, sf_dir, "documents")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._tables import checkpoints, table
+from ._tables import checkpoints, spread, table
 
 SHINGLE = 3
 DISTANCE = 3
@@ -290,4 +290,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(spread(table(spark, sf_dir, "documents")))
