@@ -54,7 +54,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = recipes(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     places = rows.select("row", last.alias("doc"), F.explode("chunks").alias("c")).select("row", "doc", "c.*")
-    store = places.groupBy("xxh", "size", "digest").agg(F.min(F.struct("doc", "at")).alias("id"))
+    # Written, so that its side of the join is dealt apart and a hot chunk's many places can be split.
+    store = places.groupBy("xxh", "size", "digest").agg(F.min(F.struct("doc", "at")).alias("id")).checkpoint()
     lists = (
         places.select("row", "at", "xxh", "size", "digest")
         .join(store, ["xxh", "size", "digest"])
@@ -68,6 +69,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         known.groupBy("recipe", "sha")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
+        .checkpoint()
     )
     # Only groups of two or more are joined back; a hot group is one row there, and the side
     # with its many documents is split by the skew join.
