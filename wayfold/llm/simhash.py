@@ -11,8 +11,8 @@ the links is kept, never all pairs: small meetings compare directly, large ones
 the same rule on the bits that are left. Components then follow from those forests.
 
 A null text counts as empty; empty documents share the fingerprint zero and are linked like
-any other. Repeated rows each get their row. A null id is never the smallest unless all ids
-are null. Rows of equal fingerprint meet once, by their smallest id. Extra columns are ignored.
+any other. Repeated rows each get their row. A null id is never the smallest; a fingerprint that
+only rows with a null id have is linked to no other, and their component is null. Rows of equal fingerprint meet once, by their smallest id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -276,8 +276,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = first.where("rep IS NOT NULL")
     keys = F.array(*[F.struct(F.lit(i).alias("plan"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for i, (m, _) in enumerate(_plans())])
     met = nodes.select("fp", "rep", F.explode(keys).alias("k")).select("k.plan", "k.key", "fp", "rep")
-    spread = met.repartition("plan", "key").sortWithinPartitions("plan", "key")
-    edges = spread.mapInArrow(_links, "a long, b long")
+    edges = met.repartition("plan", "key").sortWithinPartitions("plan", "key").mapInArrow(_links, "a long, b long")
     roots = components(edges)
     known = first.join(roots, first.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
