@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 
-BOOKS, WORDS, WIDTH = 8, 256, 4
+BOOKS, WORDS, WIDTH = 16, 256, 4
 #: Vectors that the codebooks are trained on, at most: those with the smallest hash of their id.
 SAMPLE = 8000
 #: Candidates of a block that are scored exactly, and vectors and queries in a block.
