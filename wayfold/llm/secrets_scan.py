@@ -40,7 +40,7 @@ SEED = 23
 #: Bytes of context on each side of a candidate.
 AROUND = 48
 
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_\-.=])(?=[A-Za-z0-9+/_\-.]*[0-9])[A-Za-z0-9+/_\-.]{{{KEY_LOW},{KEY_HIGH}}}={{0,2}}(?![A-Za-z0-9+/_\-])")
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_\-.])(?=[A-Za-z0-9+/_\-.]*[0-9])[A-Za-z0-9+/_\-.]{{{KEY_LOW},{KEY_HIGH}}}={{0,2}}(?![A-Za-z0-9+/_\-])")
 _WORD = re.compile(r"[A-Za-z]+")
 # Words that stand beside secrets, words that stand beside what is none, and common words.
 BESIDE = frozenset("token key secret password passwd pwd pass auth bearer credential credentials apikey api private access client signing login session".split())
