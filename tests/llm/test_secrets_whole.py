@@ -1,5 +1,8 @@
 """Secrets in the forms of assignment that a pattern can lose."""
 
+import random
+
+import numpy as np
 import pytest
 
 import brute
@@ -24,3 +27,24 @@ def test_a_key_directly_behind_an_equals_sign(spark, before, key, after):
 
 def test_values_that_are_no_keys(spark):
     assert found(spark, [f"sha256={HEX}", "file=images/test/path1.png", "token=example_token_123456", "https://cdn.example.com/app.js?v=" + HEX]) == []
+
+
+def test_the_forest_and_not_the_pattern_rejects(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    keys = ["eyJ" + draw(letters + "0123456789", 800), draw(letters + "0123456789+/", 1600) + "==", draw(letters, 32), "Xk29vLq7Wd", draw("0123456789abcdef", 18)]
+    for key in keys:
+        assert found(spark, [f'token = "{key}"', f"password={key}", "no key here " * 3]) == [(0, 9, brute.sha(key)), (1, 9, brute.sha(key))]
+    assert [k for _, k in secrets_scan.candidates("a key = x " + "y" * 5000)] == ["a", "key", "x", "y" * 5000]
+    assert found(spark, [f'src="data:image/png;base64,{draw(letters + "0123456789+/", 5000)}"', "password: configuration", "the token is secret", "key = " + "-" * 600]) == []
+
+
+def test_runs_refused_without_context_are_refused_with_it(spark, monkeypatch):
+    forest = secrets_scan.default_forest()
+    fresh = secrets_scan.labelled_findings(600, seed=8)
+    assert (forest.most(np.array([secrets_scan.describe("", f[1], "") for f in fresh])) >= forest.share(np.array([secrets_scan.describe(*f[:3]) for f in fresh]))).all()
+    texts = ["".join(f[:3]) for f in fresh[:60]]
+    want = found(spark, texts)
+    monkeypatch.setattr(secrets_scan.Forest, "most", lambda self, x: np.ones(len(x)))
+    assert want and found(spark, texts) == want

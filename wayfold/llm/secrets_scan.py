@@ -1,17 +1,19 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of KEY_LOW to KEY_HIGH characters as keys have them, taken out of the whole text with
-the words around it. Its features are its length and classes of characters, how surprising its
+A candidate is a whole run of characters as keys have them, of any length and make, taken out of the
+text with the words around it. Its features are its length and classes of characters, how surprising its
 character transitions are against ordinary words (a table of letter pairs), how much of it
 dictionary words cover, its path (whether it is part of a path or URL, and the extension), and
 what its neighbouring words say (words like token or password, words like checksum or commit).
 A forest of randomised trees, trained from labelled findings, gives the share of trees that
-call it a secret; findings at THRESHOLD or more are reported.
+call it a secret; findings at THRESHOLD or more are reported. Most candidates are plain words, so
+Forest.most() is asked first, once for a run: a run whose own features keep its share under the
+threshold in whatever context is not described again. That rejects nothing that share() accepts.
 
 Labelled findings are a parameter: (context before, candidate, context after, label). By
 default labelled_findings() writes them: issued keys of various make beside assignments, and
 the usual false alarms, among them digests in checksum lists, commit ids, identifiers, paths,
-placeholders and encoded media.
+placeholders and encoded media, and plain words and numbers behind words like password.
 
 A null or empty text has no findings. A secret that occurs twice is two findings, told apart by
 its place. Rows that are repeated each give theirs. Extra columns are ignored.
@@ -32,15 +34,16 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 
-KEY_LOW, KEY_HIGH = 16, 512
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 10, 2
 TRAIN_FINDINGS = 3000
 SEED = 23
 #: Bytes of context on each side of a candidate.
 AROUND = 48
+#: Runs that are described at once, runs whose rejection is remembered, and the longest of these.
+DESCRIBED, REMEMBERED, SHORT = 10_000, 300_000, 64
 
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_\-.])(?=[A-Za-z0-9+/_\-.]*[0-9])[A-Za-z0-9+/_\-.]{{{KEY_LOW},{KEY_HIGH}}}={{0,2}}(?![A-Za-z0-9+/_\-])")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-.]+(?:={1,2}(?![A-Za-z0-9+/_\-]))?")
 _WORD = re.compile(r"[A-Za-z]+")
 # Words that stand beside secrets, words that stand beside what is none, and common words.
 BESIDE = frozenset("token key secret password passwd pwd pass auth bearer credential credentials apikey api private access client signing login session".split())
@@ -67,6 +70,8 @@ def _pairs() -> np.ndarray:
 _PAIRS = _pairs()
 _BY_LENGTH = [frozenset(w for w in COMMON if len(w) == k) for k in range(3, 9)]
 NAMES = ("length", "upper", "lower", "digit", "hex", "entropy", "classes", "transitions", "turns", "dictionary", "slashes", "dots", "dashes", "extension", "url", "assigned", "quoted", "beside", "not_beside", "repeats", "padding", "run")
+#: Features that a candidate's context can change.
+OF_CONTEXT = frozenset(NAMES.index(n) for n in ("url", "assigned", "quoted", "beside", "not_beside"))
 
 
 def describe(before: str, key: str, after: str) -> list[float]:
@@ -127,6 +132,25 @@ class Forest:
             out += t[at, 4]
         return out / max(1, len(self.trees))
 
+    def most(self, x: np.ndarray) -> np.ndarray:
+        """The greatest share that rows may have in any context (each tree's best one, so never too low)."""
+
+        def best(t: np.ndarray, node: int, rows: np.ndarray) -> np.ndarray:
+            f, bar, left, right, value = t[node]
+            if f < 0 or not len(rows):
+                return np.full(len(rows), value)
+            if int(f) in OF_CONTEXT:
+                return np.maximum(best(t, int(left), rows), best(t, int(right), rows))
+            low = x[rows, int(f)] <= bar
+            out = np.empty(len(rows))
+            out[low], out[~low] = best(t, int(left), rows[low]), best(t, int(right), rows[~low])
+            return out
+
+        out = np.zeros(len(x))
+        for t in self.trees:
+            out += best(t, 0, np.arange(len(x)))
+        return out / max(1, len(self.trees))
+
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     nodes: list[list[float]] = []
@@ -187,12 +211,14 @@ def labelled_findings(many: int = TRAIN_FINDINGS, seed: int = SEED) -> list[tupl
                 lambda: draw(hexa, 32, 64), lambda: draw(hexa, 40, 40), lambda: draw(alnum, 20, 64), lambda: draw(alnum + "+/", 40, 88) + rng.choice(["", "=", "=="]),
                 lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + draw(alnum, 36, 36), lambda: "sk-" + draw(alnum, 32, 48), lambda: "xoxb-" + draw("0123456789", 10, 12) + "-" + draw(alnum, 20, 24),
                 lambda: "eyJ" + draw(alnum, 18, 40) + "." + "eyJ" + draw(alnum, 20, 60) + "." + draw(alnum + "_-", 30, 43),
+                lambda: "eyJ" + draw(alnum, 18, 400) + "." + "eyJ" + draw(alnum, 200, 2000) + "." + draw(alnum + "_-", 30, 700), lambda: draw(alnum + "+/", 400, 3000) + rng.choice(["", "=", "=="]),
+                lambda: draw(alnum, 10, 20), lambda: draw(hexa, 16, 32), lambda: draw(alnum[:52], 20, 48),
             ])()
             link = rng.choice([" = ", "=", ": ", " := ", " "]) if "Bearer" not in name else " "
             before = f"{prose()} {name}{link}{q}" if rng.random() < 0.93 or key[:3] not in ("AKI", "ghp", "sk-", "xox") else f"{prose()} {q}"
-            out.append((before, digitise(key), f"{q} {prose()}", 1))
+            out.append((before, key if len(key) < 20 or rng.random() < 0.2 else digitise(key), f"{q} {prose()}", 1))
         else:
-            kind = rng.randrange(9)
+            kind = rng.randrange(14)
             name = ""
             if kind == 0:
                 name, key = rng.choice(["sha256", "md5", "checksum", "digest", "integrity", "etag", "hash"]) + rng.choice([": ", "=", " = ", " "]), draw(hexa, 32, 64)
@@ -210,11 +236,18 @@ def labelled_findings(many: int = TRAIN_FINDINGS, seed: int = SEED) -> list[tupl
                 name, key = rng.choice(["", "phone ", "order ", "card ", "serial "]), draw("0123456789", 16, 24)
             elif kind == 7:
                 name, key = "https://" + word() + ".com/", word() + "/" + draw(alnum, 8, 24) + "/" + draw("0123456789", 1, 6)
-            else:
+            elif kind == 8:
                 name, key = "", word() + draw("0123456789", 1, 4) + "".join(word().title() for _ in range(rng.randint(2, 4)))
-            key = digitise(key)
-            if len(key) < KEY_LOW:
-                key = key + "-" + draw("0123456789", KEY_LOW - len(key), KEY_LOW)
+            elif kind == 9:
+                name, key = rng.choice(["data:image/png;base64,", "src=data:font/woff;base64,", "", "image: ", "content="]), draw(alnum + "+/", 200, 3000) + rng.choice(["", "=", "=="])
+            elif kind == 10:
+                name, key = "", rng.choice("-_./x0") * rng.randint(1, 80)
+            else:
+                name = rng.choice(["token", "key", "secret", "password", "api_key", "private key", "", "", "", "name", "id", "?page", "date"]) + rng.choice([" = ", "=", ": ", " ", " "])
+                made = word() if kind < 13 else rng.choice(["_", "-", ".", "/", ""]).join(rng.choice([word(), word().title()]) for _ in range(rng.randint(2, 8)))
+                key = rng.choice([made, made, made.title(), made.upper(), made + rng.choice(".-/"), rng.choice(["", "v", "-"]) + draw("0123456789", 1, 8), made + draw("0123456789", 1, 3), rng.choice("-./").join(draw("0123456789", 1, 4) for _ in range(rng.randint(2, 4)))])
+            if kind < 9:
+                key = digitise(key)
             out.append((f"{prose()} {name}{q}", key, f"{q} {prose()}", 0))
     return out
 
@@ -239,24 +272,41 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
+        refused: set[str] = set()
+
+        def judge(held: list[tuple[int | None, str, int, str]]) -> pa.RecordBatch | None:
+            fresh = list({key for _, _, _, key in held})
+            most = trees.most(np.array([describe("", key, "") for key in fresh]))
+            out = {key for key, m in zip(fresh, most) if m < threshold}
+            if len(refused) > REMEMBERED:
+                refused.clear()
+            refused.update(key for key in out if len(key) <= SHORT)
+            held = [h for h in held if h[3] not in out]
+            if not held:
+                return None
+            score = trees.share(np.array([describe(whole[max(0, at - AROUND) : at], key, whole[at + len(key) : at + len(key) + AROUND]) for _, whole, at, key in held]))
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int64()), pa.array([len(h[3]) for h in held], pa.int64()), pa.array(score), pa.array([hashlib.sha256(h[3].encode()).hexdigest() for h in held], pa.string())],
+                ["doc_id", "at", "size", "score", "key_sha256"],
+            )
+            return made.filter(pa.array(score >= threshold))
+
         for batch in batches:
-            ids, ats, keys, rows = [], [], [], []
+            held = []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 whole = value.as_py() or ""
                 for at, key in candidates(whole):
-                    ids.append(i)
-                    ats.append(at)
-                    keys.append(key)
-                    rows.append(describe(whole[max(0, at - AROUND) : at], key, whole[at + len(key) : at + len(key) + AROUND]))
-            if not ids:
-                continue
-            score = trees.share(np.array(rows))
-            keep = pa.array(score >= threshold)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array([len(k) for k in keys], pa.int64()), pa.array(score), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in keys], pa.string())],
-                ["doc_id", "at", "size", "score", "key_sha256"],
-            )
-            yield out.filter(keep)
+                    if key not in refused:
+                        held.append((i, whole, at, key))
+                        if len(held) == DESCRIBED:
+                            made = judge(held)
+                            held = []
+                            if made is not None:
+                                yield made
+            if held:
+                made = judge(held)
+                if made is not None:
+                    yield made
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, at long, size long, score double, key_sha256 string")
 
