@@ -231,7 +231,7 @@ def newest_sessions(x):
 
 
 @query("kept_last_300", ", l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn, max(t) OVER (PARTITION BY session_id) AS top FROM snap) SELECT session_id, snap_id FROM l WHERE rn <= 20 AND top - t <= 300000000000", "snap")
-def kept_last(x, rows: int = 20, age: int = 300_000_000_000):
+def kept_last(x, rows: int = 300, age: int = 300_000_000_000):
     w = W.partitionBy("session_id")
     return x.snap.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("line_no"))), "top": F.max("t").over(w)}).where((F.col("rn") <= rows) & (F.col("top") - F.col("t") <= age)).select("session_id", "snap_id")
 
