@@ -32,3 +32,32 @@ def test_kept_last_300(spark, request, folder):
     got = [tuple(r) for r in QUERIES["kept_last_300"](spark, folder).select("session_id", "snap_id").collect()]
     assert sorted(got) == sorted(want)
     assert max(sum(s == k for s, _ in want) for k in by) > 20
+
+
+def marks(points, every=60_000_000_000):
+    """(k, t, lat, lng) of the marks between points in order, one at a time, each reached once."""
+    out, k = [], 1
+    for (_, t0, la0, ln0), (_, t1, la1, ln1) in zip(points, points[1:]):
+        while t1 > t0 and points[0][1] + k * every <= t1:
+            at = points[0][1] + k * every
+            if at >= t0:
+                part = (at - t0) / (t1 - t0)
+                out.append((k, at, la0 + (la1 - la0) * part, ln0 + (ln1 - ln0) * part))
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("name", ["time_markers", "route_markers"])
+def test_markers_use_every_fix(spark, name):
+    by, back = {}, 0
+    for r in relation(spark, SF, "fix"):
+        if r.lat:
+            back += r.raw_id % 53 == 0
+            by.setdefault((r.session_id, r.seq // 20 if name == "route_markers" else None), []).append((r.line_no, r.t, r.lat, r.lng))
+    want = {(s, part, k): (at, la, ln) for (s, part), rows in by.items() for k, at, la, ln in marks(sorted(rows))}
+    got = {(r.session_id, getattr(r, "segment", None), r.k): r for r in QUERIES[name](spark, SF).collect()}
+    assert back and set(got) == set(want)
+    for key, (at, la, ln) in want.items():
+        assert abs(got[key].lat - la) < 2e-9
+        if name == "time_markers":
+            assert got[key].t == at and abs(got[key].lng - ln) < 2e-9

@@ -55,7 +55,7 @@ def timeline_filter(x):
 @query("route_markers", """, p AS (SELECT session_id, seq // 20 AS segment, line_no AS ord, t, lat, lng FROM fix WHERE raw_id % 53 <> 0 AND lat <> 0), w AS (SELECT *, lag(t) OVER o AS pt, lag(lat) OVER o AS pla, first_value(t) OVER o AS ft FROM p WINDOW o AS (PARTITION BY session_id, segment ORDER BY ord)),
 m AS (SELECT *, unnest(range((pt - ft) // 60000000000 + 1, (t - ft) // 60000000000 + 1)) AS k FROM w WHERE t > pt) SELECT session_id, segment, CAST(k AS BIGINT) AS k, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat FROM m""", "fix")
 def route_markers(x):
-    rows = x.fix.where("raw_id % 53 <> 0 AND lat <> 0").withColumns({"segment": F.expr("seq DIV 20"), "ord": c("line_no")})
+    rows = x.fix.where("lat <> 0").withColumns({"segment": F.expr("seq DIV 20"), "ord": c("line_no")})
     # Marks begin anew with each segment of the route.
     keyed = rows.select(F.struct("session_id", "segment").alias("session_id"), "ord", "t", "lat", "lng")
     return O.time_markers(keyed, 60_000_000_000).select("session_id.session_id", "session_id.segment", "k", F.round("lat", 9).alias("lat"))

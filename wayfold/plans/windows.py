@@ -110,7 +110,7 @@ w AS (SELECT *, lag(t) OVER o AS pt, lag(lat) OVER o AS pla, lag(lng) OVER o AS
 m AS (SELECT *, unnest(range((pt - ft) // 60000000000 + 1, (t - ft) // 60000000000 + 1)) AS k FROM w WHERE t > pt)
 SELECT session_id, CAST(k AS BIGINT) AS k, CAST(ft + k * 60000000000 AS BIGINT) AS t, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat, round(pln + (lng - pln) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lng FROM m""", "fix")
 def time_markers(x):
-    p = x.fix.where("raw_id % 53 <> 0 AND lat <> 0").select("session_id", F.col("line_no").alias("ord"), "t", "lat", "lng")
+    p = x.fix.where("lat <> 0").select("session_id", F.col("line_no").alias("ord"), "t", "lat", "lng")
     return O.time_markers(p, 60_000_000_000).withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
 
 
