@@ -61,3 +61,9 @@ def test_markers_use_every_fix(spark, name):
         assert abs(got[key].lat - la) < 2e-9
         if name == "time_markers":
             assert got[key].t == at and abs(got[key].lng - ln) < 2e-9
+
+
+def test_newest_sessions_lists_all(spark, crowded):
+    want = sorted(((r.session_id, r.created) for r in relation(spark, crowded, "manifest")), key=lambda r: (-r[1], r[0]))
+    assert len(want) == 40
+    assert [tuple(r) for r in QUERIES["newest_sessions"](spark, crowded).collect()] == want

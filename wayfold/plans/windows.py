@@ -227,7 +227,7 @@ def points_in_order(x):
 
 @query("newest_sessions", "SELECT session_id, created FROM manifest ORDER BY created DESC, session_id LIMIT 20", "manifest")
 def newest_sessions(x):
-    return x.manifest.orderBy(F.desc("created"), "session_id").limit(20).select("session_id", "created")
+    return x.manifest.orderBy(F.desc("created"), "session_id").select("session_id", "created")
 
 
 @query("kept_last_300", ", l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn, max(t) OVER (PARTITION BY session_id) AS top FROM snap) SELECT session_id, snap_id FROM l WHERE rn <= 20 AND top - t <= 300000000000", "snap")
