@@ -47,7 +47,8 @@ SEED = 3
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " object math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded menclose mmultiscripts semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -66,7 +67,7 @@ ENDS = {
 }
 P_FENCE = frozenset("html body table td th caption button object article section div aside nav header footer main form li blockquote".split())
 #: Elements whose text never is page text.
-SILENT = frozenset("head script style title textarea xmp iframe noembed noframes noscript template select option object svg math".split())
+SILENT = frozenset("head script style title textarea xmp iframe noembed noframes noscript template select option".split())
 
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|/[^>]*>?)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -301,7 +302,8 @@ def text_of(page: str | None, model: Model) -> str:
     if not page:
         return ""
     nodes, pieces = parse(page)
-    post = model.content(nodes)
+    # Text without any block element is all there is to take: no tree tells it from the rest.
+    post = model.content(nodes) if len(nodes) > 1 else [1.0]
     silent = [False] * len(nodes)
     for node in nodes:
         silent[node.index] = node.tag in SILENT or (node.up >= 0 and silent[node.up])
