@@ -48,28 +48,85 @@ def test_substring(spark, name, monkeypatch):
     assert got == brute.substring_rows(TABLES[name])
 
 
-@pytest.mark.parametrize("name", TABLES)
+def periodic():
+    """Runs of one letter, of short and of long lines, cut and joined in ways that part windows from their anchors."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    tail, head = noise(600), noise(600)
+    line = noise(60)
+    docs = [(1, "x" * 1000 + tail), (2, "x" * 350 + tail), (3, head + "x" * 399 + tail), (4, "x" * 400), (5, "x" * 401), (6, "y" * 399), (7, "y" * 400), (8, head + "x" * 5000)]
+    for k, size in enumerate((2, 3, 7, 10, 11, 24, 25, 26, 49, 50, 51)):
+        unit = noise(size)
+        for j, n in enumerate((399, 400, 401, 400 + size - 1, 400 + size, 520, 1500)):
+            cut = rng.randrange(size)
+            docs.append((100 + 10 * k + j, rng.choice([head[-j * 9 :], ""]) + (unit * (n // size + 2))[cut : cut + n] + rng.choice([tail[: j * 99], noise(30), ""])))
+    docs += [(300 + k, line * k + noise(40) + line * 9) for k in range(1, 12)] + [(330, line * 90)]
+    docs += [(340 + k, "".join(rng.choice(["ab" * rng.randint(1, 40), "a" * rng.randint(1, 70), "c"]) for _ in range(60))) for k in range(8)]
+    return docs
+
+
+SUFFIX_TABLES = TABLES | {"periodic": periodic()}
+
+
+@pytest.mark.parametrize("name", SUFFIX_TABLES)
 @pytest.mark.parametrize("length,gram,hot", [(400, 100, 64), (50, 20, 64), (50, 20, 1)])
 def test_suffix(spark, name, length, gram, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_CORES", 500)
-    monkeypatch.setattr(suffix_dedup, "BUCKET_FLANKS", 300)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", 300)
     monkeypatch.setattr(suffix_dedup, "LOT_BYTES", 4000)
-    docs = TABLES[name]
+    monkeypatch.setattr(suffix_dedup, "STRETCH_BYTES", 1700)
+    docs = SUFFIX_TABLES[name]
     got = rows(suffix_dedup.digests(frame(spark, docs), length=length, gram=gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.suffix_rows(docs, length)
 
 
-def test_column_classes_number_sorted_suffixes():
+def test_suffix_core_hashes_only_rule_out(spark, monkeypatch):
+    """With hashes of few values, strings that differ meet in one core and still don't count as equal."""
+    docs = periodic()[:60]
+    mix = _text.mix
+    monkeypatch.setattr(_text, "mix", lambda h: mix(h) & np.uint64(0xFF00000000000000))
+    data = [t.encode() for _, t in docs]
+    off = np.cumsum([0, *map(len, data)])
+    hashes, places, _ = suffix_dedup._cores(np.frombuffer(b"".join(data), np.uint8), off, 50, 20)
+    assert len(np.unique(hashes)) < len(places) / 4
+    whole = b"".join(data)
+    contexts = sorted({whole[p - 15 : p + 50] for p in places.tolist() if 15 <= p <= len(whole) - 50})
+    room = np.full((len(contexts), 2), 15)
+    least, most = suffix_dedup.reaches(np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, 65), room, 15)
+    for i in range(0, len(contexts), 7):
+        want = [o for o in range(16) if any(j != i and c[15 - o : 65 - o] == contexts[i][15 - o : 65 - o] for j, c in enumerate(contexts))]
+        assert (least[i], most[i]) == ((want[0], want[-1]) if want else (-1, -1))
+
+
+def test_suffix_run_of_one_letter_is_a_few_cores():
+    text = np.full(1_000_000, 120, np.uint8)
+    with np.errstate(over="ignore"):
+        hashes, _, runs = suffix_dedup._cores(text, np.array([0, len(text)]), 400, 100)
+        line = np.tile(np.frombuffer(b"a line that is repeated again and again, sixty bytes of it..", np.uint8), 3000)
+        many, _, none = suffix_dedup._cores(line, np.array([0, len(line)]), 400, 100)
+    assert len(hashes) < 10 and runs.tolist() == [[0, 1_000_000]]
+    assert len(many) < 2 * len(line) / 60 + 20 and not len(none)
+
+
+def test_suffix_document_above_eight_mebibytes(spark):
+    rng = np.random.default_rng(6)
+    body = "".join(map(chr, rng.integers(97, 123, 9_000_000)))
+    shared = body[8_388_300:8_388_900]  # lies across the end of the first stretch
+    docs = [(1, body), (2, "first " + shared + " last"), (3, "z" * 9_000_000 + "end")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digests(frame(spark, docs)).collect()}
+    assert got == {1: (9_000_000, 600, 1), 2: (611, 600, 1), 3: (9_000_003, 9_000_000, 1)}
+
+
+def test_columns_number_sorted_suffixes():
     rng = np.random.default_rng(0)
     texts = rng.integers(0, 3, (200, 12), dtype=np.uint8)
     start = rng.integers(0, 4, 200)
-    classes = suffix_dedup.column_classes(texts, start)
-    for o in range(13):
+    for o, classes in enumerate(suffix_dedup.columns(texts, start)):
         keys = [(texts[i, 12 - o :].tobytes(), start[i]) for i in range(200)]
         ranks = {k: r for r, k in enumerate(sorted(set(keys)))}
-        assert [ranks[k] for k in keys] == classes[o].tolist()
+        assert [ranks[k] for k in keys] == classes.tolist()
 
 
 @pytest.mark.parametrize("name", TABLES)

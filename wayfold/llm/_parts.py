@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
@@ -14,33 +13,29 @@ from ._tables import volume
 
 #: Stands for a null id: above all others.
 LAST = (1 << 63) - 1
+#: Tasks that parts are dealt to, at most, unless the cluster has more cores.
+MOST_TASKS = 20_000
 
 
-def deal(docs: DataFrame, doc_id: str, text: str, part_bytes: int, by_order: bool) -> tuple[DataFrame, int, int]:
-    """docs as (part, doc_id, text), how many parts, and the bytes of text.
+def deal(docs: DataFrame, doc_id: str, text: str, part_bytes: int) -> tuple[DataFrame, int, int]:
+    """docs as (part, doc_id, text), dealt by hash, how many parts, and the bytes of text.
 
-    by_order: parts are ranges of ids, in ascending order (bounds by approximate percentiles);
-    otherwise by hash. The number of parts follows the text, so a part stays near part_bytes.
+    The number of parts follows the text, so a part stays near part_bytes.
     """
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, size = volume(thin, "text")
+    _, size = volume(thin, "text")
     parts = max(1, -(-size // part_bytes))
-    if not by_order:
-        # Never null, and known not to be: joins on it then add no filter below the exchange that others reuse.
-        part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"), F.lit(0))
-        return thin.select(part.alias("part"), "doc_id", "text"), parts, size
-    bounds: list[int] = []
-    if parts > 1:
-        wanted = [i / parts for i in range(1, parts)]
-        found = thin.agg(F.percentile_approx("doc_id", wanted, max(10_000, 50 * parts)).alias("b")).first()["b"]
-        bounds = sorted(set(found or []))
-    cuts = thin.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))  # one number for each part_bytes of text
+    # Never null, and known not to be: joins on it then add no filter below the exchange that others reuse.
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"), F.lit(0))
+    return thin.select(part.alias("part"), "doc_id", "text"), parts, size
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts.value, ids.to_numpy(), side="left").astype(np.int32))
 
-    return thin.select(part_of(F.coalesce("doc_id", F.lit(LAST))).alias("part"), "doc_id", "text"), len(bounds) + 1, size
+def tasks(spark: SparkSession, parts: int) -> int:
+    """Shuffle partitions for so many parts: one a part for small inputs, then several parts to each.
+
+    A task takes its parts one after another, so its memory is that of one part.
+    """
+    return min(parts, max(MOST_TASKS, 4 * spark.sparkContext.defaultParallelism))
 
 
 def arranged(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
