@@ -33,7 +33,7 @@ from ._tables import table
 FACTOR = 13
 #: Bytes of text in a reference block, and windows in an index bucket, about.
 BLOCK_BYTES = 5 << 20
-BUCKET_WINDOWS = 1_000_000
+BUCKET_WINDOWS = 3_000_000
 
 
 def _windows(data: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,35 +90,49 @@ def kept_texts(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.nda
     return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+def _ranks(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a block's rows, ascending, and the place of each row's id among them."""
+    return np.unique(order, return_inverse=True)
+
+
 def _index(buckets: int, factor: int):
     def run(rows: pa.Table) -> pa.Table:
-        """One row for each bucket that the block has windows for: their hashes, packed."""
+        """One row for each bucket that the block has windows for: their hashes, packed, and the first document of each."""
         with np.errstate(over="ignore"):
             part = rows.column("part")[0].as_py()
-            _, _, data, off = _parts.arranged(rows)
+            _, order, data, off = _parts.arranged(rows)
             start, end, first = _text.words(data, off)
-            found = np.unique(_windows(data, first, start, end, factor)[0])
+            hashes, _, row = _windows(data, first, start, end, factor)
+            found, at = np.unique(hashes, return_index=True)
+        ids, rank = _ranks(order)
+        rank = rank[row[at]].astype(np.uint16 if len(ids) <= 65536 else np.uint32)
         edges = _text.bucket_edges(found, buckets)
         used = np.flatnonzero(np.diff(edges))
-        blobs = [_text.pack_sorted(found[edges[b] : edges[b + 1]]) for b in used]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "part": pa.array([part] * len(used), pa.int32()), "windows": pa.array(blobs, pa.binary())})
+        cuts = [slice(edges[b], edges[b + 1]) for b in used]
+        return pa.table({
+            "bucket": pa.array(used, pa.int32()), "part": pa.array([part] * len(used), pa.int32()),
+            "windows": pa.array([_text.pack_sorted(found[c]) for c in cuts], pa.binary()), "ranks": pa.array([rank[c].tobytes() for c in cuts], pa.binary()), "ids": pa.array([ids.tobytes()] * len(used), pa.binary()),
+        })
 
     return run
 
 
 def _look_up(rows: pa.Table) -> pa.Table:
-    """For each block of a bucket, a bit for each of its windows: whether an earlier block has it."""
-    rows = rows.sort_by("part")
-    parts = rows.column("part").to_pylist()
-    each = [_text.unpack_sorted(b.as_py()) for b in rows.column("windows")]
+    """For each block of a bucket, a bit for each of its windows: whether a document of another block has it, with a smaller id than any of its own."""
+    each, first = [], []
+    for windows, ranks, ids in zip(rows.column("windows"), rows.column("ranks"), rows.column("ids")):
+        ids = np.frombuffer(ids.as_py(), np.int64)
+        each.append(_text.unpack_sorted(windows.as_py()))
+        first.append(ids[np.frombuffer(ranks.as_py(), np.uint16 if len(ids) <= 65536 else np.uint32)])
     sizes = np.cumsum([0, *map(len, each)])
-    values = np.concatenate(each)
-    order = np.argsort(values, kind="stable")  # equal windows stay in the order of their blocks
-    ranked = values[order]
+    values, first = np.concatenate(each), np.concatenate(first)
+    order = np.argsort(values, kind="stable")
+    opens = np.concatenate([[True], values[order][1:] != values[order][:-1]])
+    least = np.minimum.reduceat(first[order], np.flatnonzero(opens))
     seen = np.zeros(len(values), bool)
-    seen[order[1:]] = ranked[1:] == ranked[:-1]
+    seen[order] = least[np.cumsum(opens) - 1] < first[order]
     bits = [np.packbits(seen[a:b]).tobytes() for a, b in zip(sizes[:-1], sizes[1:])]
-    return pa.table({"part": pa.array(parts, pa.int32()), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "seen": pa.array(bits, pa.binary())})
+    return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "seen": pa.array(bits, pa.binary())})
 
 
 def _finish(factor: int):
@@ -159,11 +173,11 @@ def _digest(inner):
 
 
 def _parsed(docs: DataFrame, doc_id: str, text: str, factor: int, finish, schema: str) -> DataFrame:
-    dealt, parts, size = _parts.deal(docs, doc_id, text, BLOCK_BYTES, by_order=True)
+    dealt, parts, size = _parts.deal(docs, doc_id, text, BLOCK_BYTES)
     buckets = max(1, -(-size // (6 * BUCKET_WINDOWS)))
-    # Both uses of the dealt texts share one exchange.
-    dealt = dealt.repartition(parts, "part")
-    index = dealt.groupBy("part").applyInArrow(_index(buckets, factor), "bucket int, part int, windows binary")
+    # All uses of the dealt texts share one exchange.
+    dealt = dealt.repartition(_parts.tasks(docs.sparkSession, parts), "part")
+    index = dealt.groupBy("part").applyInArrow(_index(buckets, factor), "bucket int, part int, windows binary, ranks binary, ids binary")
     answers = index.groupBy("bucket").applyInArrow(_look_up, "part int, bucket int, n int, seen binary")
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, schema)
 
