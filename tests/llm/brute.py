@@ -70,8 +70,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if hashes and sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def simhash_rows(docs):
-    """Sorted (doc_id, fingerprint, component_id)."""
+def simhash_groups(docs):
+    """A number for each row; rows of one component have the same."""
     fps = [fingerprint(t) for _, t in docs]
     group = list(range(len(docs)))
     changed = True
@@ -83,8 +83,14 @@ def simhash_rows(docs):
                     low, high = sorted((group[a], group[b]))
                     group = [low if g == high else g for g in group]
                     changed = True
+    return group
+
+
+def simhash_rows(docs):
+    """Sorted (doc_id, fingerprint, component_id)."""
+    group = simhash_groups(docs)
     out = []
-    for (i, _), f, g in zip(docs, fps, group):
+    for (i, t), g in zip(docs, group):
         known = [j for (j, _), h in zip(docs, group) if h == g and j is not None]
-        out.append((i, f"{f:016x}", min(known) if known else None))
+        out.append((i, f"{fingerprint(t):016x}", min(known) if known else None))
     return sorted(out, key=repr)

@@ -1,6 +1,7 @@
 """Exact, substring, suffix and SimHash dedup against plain Python, on awkward tables."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -175,12 +176,40 @@ def test_packed_numbers_come_back():
         assert _text.unpack_sorted(_text.pack_sorted(values)).tolist() == values.tolist()
 
 
-def test_kept_documents(spark):
-    docs = frame(spark, TABLES["awkward"])
-    kept = exact_dedup.keep_one(docs)
-    assert kept.columns == docs.columns
-    want = {i for i, k, *_ in brute.exact_rows(TABLES["awkward"]) if i is None or i == k}
-    assert {r.doc_id for r in kept.collect()} == want
-    near = simhash.keep_one(docs)
-    assert near.columns == docs.columns
-    assert {r.doc_id for r in near.collect()} == {i for i, _, c in brute.simhash_rows(TABLES["awkward"]) if i is None or i == c}
+def stays(groups, docs):
+    """(id, text) of the row that stays of each group: smallest id, null last; one only."""
+    out = []
+    for g in set(groups):
+        ids = [i for (i, _), h in zip(docs, groups) if h == g and i is not None]
+        out.append(min(ids) if ids else None)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_kept_documents(spark, name):
+    data = TABLES[name]
+    docs = frame(spark, data)
+    kept, near = exact_dedup.keep_one(docs), simhash.keep_one(docs)
+    assert kept.columns == near.columns == docs.columns
+    exact = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in data]
+    got = [tuple(r) for r in kept.select("doc_id", "text").collect()]
+    assert set(got) <= set(data) and sorted(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in got) == sorted(set(exact))
+    assert sorted((i for i, _ in got), key=repr) == stays(exact, data)
+    got = [tuple(r) for r in near.select("doc_id", "text").collect()]
+    assert set(got) <= set(data)
+    assert sorted((i for i, _ in got), key=repr) == stays(brute.simhash_groups(data), data)
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_one, simhash.keep_one])
+def test_rows_go_by_row_and_not_by_id(spark, keep):
+    b, a, c = "one two three four five six", "quite another text that stands here alone", "neither of these two, but a third one"
+    docs = [(3, b), (5, a), (5, b), (8, b), (8, b), (None, c), (None, c), (None, b), (9, a.replace(" ", "  ")), (5, a), (5, a)]
+    got = sorted(((r.doc_id, r.text) for r in keep(frame(spark, docs)).collect()), key=repr)
+    assert got == sorted([(3, b), (5, a), (None, c)], key=repr)
+
+
+def test_rows_of_one_id_and_text_that_differ_otherwise(spark):
+    docs = spark.createDataFrame([(1, "same", k, "x") for k in (3, 1, 2)] + [(1, "same", 2, "x"), (2, "same", 0, "y")], "doc_id long, text string, row_key int, row_rank string")
+    for keep in (exact_dedup.keep_one, simhash.keep_one):
+        out = keep(docs)
+        assert out.columns == docs.columns and [(r.doc_id, r.text) for r in out.collect()] == [(1, "same")]

@@ -11,8 +11,14 @@ the links is kept, never all pairs: small meetings compare directly, large ones
 the same rule on the bits that are left. Components then follow from those forests.
 
 A null text counts as empty; empty documents share the fingerprint zero and are linked like
-any other. Repeated rows each get their row. A null id is never the smallest; a fingerprint that
-only rows with a null id have is linked to no other, and their component is null. Rows of equal fingerprint meet once, by their smallest id. Extra columns are ignored.
+any other. The fingerprint is of the whole text, of any length. Rows of equal fingerprint, ties
+and repeated rows among them, meet once and share a component; each row is returned. A null id
+is never the smallest: a component that only such rows have is null. Extra columns, whatever
+their names, are ignored. An empty table gives an empty result.
+
+keep_one() returns rows: of each component one stays, that with the smallest id (null last)
+and, of several, the one with the smallest digest of its raw text; of rows equal in id and text
+one stays. All columns are returned.
 """
 
 from __future__ import annotations
@@ -22,13 +28,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._tables import checkpoints, spread, table
+from ._tables import checkpoints, row_key, rows_of, spread, table
 
 SHINGLE = 3
 DISTANCE = 3
@@ -152,12 +157,13 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     with np.errstate(over="ignore"):
         for batch in _batches(batches):
             fp = fingerprints(*_text.column_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number)."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long")
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed 64-bit number); keyed: and the row's key."""
+    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[row_key(doc_id, text).alias("key")] * keyed)
+    return thin.mapInArrow(_fingerprint_rows, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -230,17 +236,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the meetings in one partition, which comes sorted by (plan, key)."""
     plans = _plans()
 
-    def forest_of(plan: int, fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
+    def forest_of(plan: int, fps: np.ndarray) -> tuple[list[int], list[int]]:
         forest = _Forest(len(fps))
-        _meet(fps, np.arange(len(fps)), plans[plan][1], forest)
-        return [int(ids[a]) for a, _ in forest.links], [int(ids[b]) for _, b in forest.links]
+        _meet(fps.view(np.uint64), np.arange(len(fps)), plans[plan][1], forest)
+        return [int(fps[a]) for a, _ in forest.links], [int(fps[b]) for _, b in forest.links]
 
     held: list[np.ndarray] = []  # the last meeting may go on in the next batch
     for batch in _and_end(batches):
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * 4
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * 3
         if held:
             now = [np.concatenate([h, c]) for h, c in zip(held, now)]
-        plan, key, fp, ids = now
+        plan, key, fp = now
         if not len(plan):
             held = []
             continue
@@ -253,10 +259,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Pairs, by far the most common meetings, are compared all at once.
         two = edges[:whole][sizes == 2]
         near = _popcount((fp[two] ^ fp[two + 1]).view(np.uint64)) <= DISTANCE
-        a += ids[two[near]].tolist()
-        b += ids[two[near] + 1].tolist()
+        a += fp[two[near]].tolist()
+        b += fp[two[near] + 1].tolist()
         for s, n in zip(edges[:whole][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            x, y = forest_of(int(plan[s]), fp[s : s + n].view(np.uint64), ids[s : s + n])
+            x, y = forest_of(int(plan[s]), fp[s : s + n])
             a += x
             b += y
         held = [c[tail:] for c in now] if batch is not None else []
@@ -268,24 +274,30 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """fp, root (the component's least fingerprint) and least (its smallest id) of every fingerprint of rows (doc_id, fp)."""
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    keys = F.array(*[F.struct(F.lit(i).alias("plan"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for i, (m, _) in enumerate(_plans())])
+    met = first.select("fp", F.explode(keys).alias("k")).select("k.plan", "k.key", "fp")
+    roots = components(met.repartition("plan", "key").sortWithinPartitions("plan", "key").mapInArrow(_links, "a long, b long"))
+    known = first.join(roots, first.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = known.groupBy("root").agg(F.min("rep").alias("least"))
+    return known.join(least, "root").select("fp", "root", "least")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for each row."""
     checkpoints(docs.sparkSession)
     rows = with_fingerprints(docs, doc_id, text).checkpoint()
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = first.where("rep IS NOT NULL")
-    keys = F.array(*[F.struct(F.lit(i).alias("plan"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for i, (m, _) in enumerate(_plans())])
-    met = nodes.select("fp", "rep", F.explode(keys).alias("k")).select("k.plan", "k.key", "fp", "rep")
-    edges = met.repartition("plan", "key").sortWithinPartitions("plan", "key").mapInArrow(_links, "a long, b long")
-    roots = components(edges)
-    known = first.join(roots, first.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_grouped(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with its columns: that with the smallest id."""
-    lost = near_groups(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(lost, doc_id, "left_anti")
+    """One row of each component, with the columns of docs."""
+    checkpoints(docs.sparkSession)
+    rows = with_fingerprints(docs, doc_id, text, keyed=True).checkpoint()
+    first = rows.join(_grouped(rows), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    return rows_of(docs, first.select("first.key"), doc_id, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
