@@ -127,6 +127,24 @@ def test_mixing(spark, percent, epochs):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixing_returns_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(i, "some words", "en", f"s{i}", "mine", i, 0.5, "x", "y") for i in range(30)], "doc_id long, text string, lang string, source string, mix_lang string, mix_tokens int, Mix_Before double, doc_id_of string, own_mix_lang string")
+    out = mixing.mixed(docs, percent=200)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert sorted(tuple(r) for r in out.collect()) == sorted([tuple(r) for r in docs.collect()] * 2)
+
+
+def test_mixing_of_many_sources_in_one_family(spark):
+    """Sources whose shares fill up one after another, ties among them."""
+    rng = random.Random(3)
+    docs = [(i, "w " * (rng.choice([1, 1, 1, 2, 5]) if i % 3 else rng.randint(1, 400)), "en", f"host{i % 150}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    weights = {f"host{i}": rng.choice([1, 2, 7, 50]) for i in range(0, 150, 2)}
+    for percent, epochs in ((40, 1), (90, 1), (150, 2)):
+        got = sorted(((r.doc_id, r.mix_epoch, r.mix_before) for r in mixing.mix(df, percent=percent, epochs=epochs, source_weights=weights).collect()), key=repr)
+        assert got == plain_mix(docs, percent, epochs, mixing.SEED, mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, weights)
+
+
 def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16)).astype(np.float32)

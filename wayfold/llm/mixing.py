@@ -8,13 +8,19 @@ takes whole epochs of its documents and, of the last one, the prefix of a seeded
 running token count stays within the leaf's budget.
 
 Tokens are runs of characters that are not white space; a null or empty text has none and
-costs nothing. A null language or source is the name ''. Weights are positive whole numbers;
-names without one have the weight 1. Repeated rows are separate rows of the leaf; equal ones
-(same id) stay or go together. An empty table gives an empty result. Extra columns stay.
+costs nothing; texts of any length are counted whole. A null language or source is the name ''.
+Weights are positive whole numbers; names without one have the weight 1. Repeated rows are
+separate rows of the leaf; equal ones (same id) stay or go together. Ties in a leaf's seeded
+order go by the id. An empty table gives an empty result. Extra columns stay; a column named
+like one of those that mix() adds is replaced by it there, and returned as it was by mixed().
+
+Domains and languages share by one window over a family. Sources may be as many as there are
+hosts, so they share by rounds of aggregates over the leaves: what the full ones leave is
+divided again until no other is full. No task sorts a family of sources.
 
 The running count is built from sums per (leaf, epoch, slot) and a window inside each slot
-only; slots are equal ranges of the seeded hash, so a leaf with a third of all rows is spread
-over all of them and no task holds a leaf.
+only, slots being summed in two steps; slots are equal ranges of the seeded hash, so a leaf with
+a third of all rows is spread over all of them and no task holds a leaf, nor all its slots.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._tables import table
+from ._tables import checkpoints, fresh, table
 
 SEED = 17
 #: The budget, as hundredths of the tokens there are.
@@ -32,6 +38,8 @@ BUDGET_PERCENT = 60
 MAX_EPOCHS = 2
 #: Hexadecimal digits of the seeded hash that make a slot.
 SLOT_DIGITS = 3
+NAME = ["mix_domain", "mix_lang", "mix_source"]
+ADDED = [*NAME, "mix_epoch", "mix_tokens", "mix_before"]
 #: A leaf's documents meet its budget in so many shares.
 SALTS = 64
 LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
@@ -74,17 +82,87 @@ def _share(nodes: DataFrame, parent: list[str], name: str, weight: F.Column) ->
     return walk.withColumn("given", given).drop("w", "left_w", "left_b", "full", "rest_b", "rest_w")
 
 
+def _fill(nodes: DataFrame, parent: list[str], weight: F.Column) -> DataFrame:
+    """As _share(), for families of any size: rounds over what the full children leave to the others.
+
+    Each round but the last finds more full children, and takes two narrow aggregates.
+    """
+    nodes = nodes.withColumn("w", weight).checkpoint()
+    full = F.col("cap").cast("double") * F.col("rest_w") <= F.col("w").cast("double") * F.col("rest_b")
+    state = nodes.groupBy(*parent).agg(F.max("budget").alias("rest_b"), F.sum("w").alias("rest_w"))
+    last = None
+    while True:
+        spent, used = (F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0)) for c in ("cap", "w"))
+        state = nodes.join(state, parent).groupBy(*parent).agg((F.max("budget") - spent).alias("rest_b"), (F.sum("w") - used).alias("rest_w")).checkpoint()
+        left = state.agg(F.sum("rest_w")).first()[0]
+        if left == last:
+            break
+        last = left
+    given = F.when(full, F.col("cap")).otherwise(F.floor(F.col("rest_b").cast("double") * F.col("w") / F.col("rest_w")).cast("long"))
+    return nodes.join(state, parent).withColumn("given", given).drop("w", "rest_b", "rest_w")
+
+
 def budgets(leaves: DataFrame, percent: int, epochs: int, domain_weights: dict, lang_weights: dict, source_weights: dict) -> DataFrame:
     """leaves (mix_domain, mix_lang, mix_source, supply) with column budget, in tokens."""
-    leaves = leaves.withColumn("cap", F.col("supply") * epochs)
+    leaves = leaves.withColumn("cap", F.col("supply") * epochs).checkpoint()
     langs = leaves.groupBy("mix_domain", "mix_lang").agg(F.sum("cap").alias("cap"))
     domains = leaves.groupBy("mix_domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
     domains = domains.withColumn("budget", F.floor(F.sum("supply").over(W.partitionBy()) * percent / 100).cast("long"))
     domains = _share(domains, [], "mix_domain", _weight("mix_domain", domain_weights)).select("mix_domain", F.col("given").alias("budget"))
     langs = _share(langs.join(domains, "mix_domain"), ["mix_domain"], "mix_lang", _weight("mix_lang", lang_weights)).select("mix_domain", "mix_lang", F.col("given").alias("budget"))
-    return _share(leaves.join(langs, ["mix_domain", "mix_lang"]), ["mix_domain", "mix_lang"], "mix_source", _weight("mix_source", source_weights)).select(
-        "mix_domain", "mix_lang", "mix_source", "supply", F.col("given").alias("budget")
+    return _fill(leaves.join(langs, ["mix_domain", "mix_lang"]), ["mix_domain", "mix_lang"], _weight("mix_source", source_weights)).select(*NAME, "supply", F.col("given").alias("budget"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with the columns that name a row's leaf."""
+    names = {"mix_lang": F.coalesce(F.col("lang"), F.lit("")), "mix_source": F.coalesce(F.col("source"), F.lit(""))}
+    return docs.drop(*ADDED).withColumns(names).withColumn("mix_domain", domain_of(F.col("mix_source")))
+
+
+def _tokens() -> F.Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _thin(docs: DataFrame) -> DataFrame:
+    """doc_id, leaf and tokens of every row: the words are counted once, and only this is summed and ordered."""
+    checkpoints(docs.sparkSession)
+    return _named(docs).select("doc_id", *NAME, _tokens().alias("mix_tokens")).checkpoint()
+
+
+def _choose(thin: DataFrame, percent: int, epochs: int, seed: int, domain_weights: dict, lang_weights: dict, source_weights: dict | None) -> DataFrame:
+    """doc_id and leaf of what is chosen, with mix_epoch and mix_before."""
+    leaves = thin.groupBy(*NAME).agg(F.sum("mix_tokens").alias("supply"))
+    planned = budgets(leaves, percent, epochs, domain_weights, lang_weights, source_weights or {})
+    planned = planned.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("budget") / F.col("supply"))).otherwise(F.lit(epochs)).cast("int"))
+    planned = planned.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply"))
+    # Whole epochs take every document; the epoch after them takes a prefix.
+    laps = planned.select(*NAME, "whole", "rest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(
+        *NAME, "whole", "rest", "salt", F.explode(F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(epochs - 1)))).alias("mix_epoch")
     )
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_epoch").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    each = thin.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(laps, [*NAME, "salt"]).withColumn("order", key).withColumn("slot", F.substring("order", 1, SLOT_DIGITS))
+    # Equal ids count as one unit, so that equal rows stay or go together.
+    leaf = [*NAME, "mix_epoch"]
+    units = each.groupBy(*leaf, "whole", "rest", "slot", "order", "doc_id").agg(F.sum("mix_tokens").alias("unit"))
+    slots = units.groupBy(*leaf, "slot").agg(F.sum("unit").alias("tokens")).withColumn("range", F.substring("slot", 1, 1))
+    ranges = slots.groupBy(*leaf, "range").agg(F.sum("tokens").alias("range_tokens"))
+    up_to = lambda column, key, by: F.sum(column).over(W.partitionBy(*key).orderBy(by)) - F.col(column)
+    base = slots.withColumn("in_range", up_to("tokens", [*leaf, "range"], "slot")).join(ranges.withColumn("before", up_to("range_tokens", leaf, "range")), [*leaf, "range"])
+    base = base.select(*leaf, "slot", (F.col("before") + F.col("in_range")).alias("base"))
+    running = F.sum("unit").over(W.partitionBy(*leaf, "slot").orderBy("order", F.col("doc_id").asc_nulls_last()))
+    placed = units.join(base, [*leaf, "slot"]).withColumn("mix_before", F.col("base") + running - F.col("unit"))
+    chosen = placed.where((F.col("mix_epoch") < F.col("whole")) | (F.col("mix_before") + F.col("unit") <= F.col("rest")))
+    return chosen.select("doc_id", *leaf, "mix_before")
+
+
+def _taken(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows (with their leaf) that are chosen, with mix_epoch and mix_before."""
+    mine = {c: fresh(rows.columns, f"{c}_of") for c in ["doc_id", *NAME]}
+    chosen = chosen.withColumnsRenamed(mine)
+    match = F.col("doc_id").eqNullSafe(F.col(mine["doc_id"]))
+    for c in NAME:
+        match = match & (F.col(c) == F.col(mine[c]))
+    return rows.join(chosen, match).drop(*mine.values())
 
 
 def mix(
@@ -100,49 +178,24 @@ def mix(
 
     mix_before is the number of tokens chosen before the row in its leaf's epoch.
     """
-    name = ["mix_domain", "mix_lang", "mix_source"]
-    rows = docs.withColumns({
-        "mix_lang": F.coalesce(F.col("lang"), F.lit("")),
-        "mix_source": F.coalesce(F.col("source"), F.lit("")),
-        "mix_tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-    }).withColumn("mix_domain", domain_of(F.col("mix_source")))
-    # Only the narrow columns are summed and ordered; the texts are joined at the end.
-    thin = rows.select("doc_id", *name, "mix_tokens")
-    leaves = thin.groupBy(*name).agg(F.sum("mix_tokens").alias("supply"))
-    planned = budgets(leaves, percent, epochs, domain_weights, lang_weights, source_weights or {})
-    planned = planned.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("budget") / F.col("supply"))).otherwise(F.lit(epochs)).cast("int"))
-    planned = planned.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply"))
-    # Whole epochs take every document; the epoch after them takes a prefix.
-    laps = planned.select(*name, "whole", "rest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(
-        *name, "whole", "rest", "salt", F.explode(F.sequence(F.lit(0), F.least(F.col("whole"), F.lit(epochs - 1)))).alias("mix_epoch")
-    )
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("mix_epoch").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    each = thin.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(laps, [*name, "salt"]).withColumn("order", key).withColumn("slot", F.substring("order", 1, SLOT_DIGITS))
-    # Equal ids count as one unit, so that equal rows stay or go together.
-    units = each.groupBy(*name, "mix_epoch", "whole", "rest", "slot", "order", "doc_id").agg(F.sum("mix_tokens").alias("unit"))
-    slots = units.groupBy(*name, "mix_epoch", "slot").agg(F.sum("unit").alias("slot_tokens"))
-    base = slots.select(
-        *name, "mix_epoch", "slot",
-        (F.sum("slot_tokens").over(W.partitionBy(*name, "mix_epoch").orderBy("slot")) - F.col("slot_tokens")).alias("base"),
-    )
-    running = F.sum("unit").over(W.partitionBy(*name, "mix_epoch", "slot").orderBy("order", F.col("doc_id").asc_nulls_last()))
-    placed = units.join(base, [*name, "mix_epoch", "slot"]).withColumn("mix_before", F.col("base") + running - F.col("unit"))
-    chosen = placed.where((F.col("mix_epoch") < F.col("whole")) | (F.col("mix_before") + F.col("unit") <= F.col("rest")))
-    chosen = chosen.select(F.col("doc_id").alias("mix_id"), *[F.col(c).alias(f"{c}_of") for c in name], "mix_epoch", "mix_before")
-    match = F.col("doc_id").eqNullSafe(F.col("mix_id"))
-    for c in name:
-        match = match & (F.col(c) == F.col(f"{c}_of"))
-    return rows.join(chosen, match).drop("mix_id", *[f"{c}_of" for c in name])
+    chosen = _choose(_thin(docs), percent, epochs, seed, domain_weights, lang_weights, source_weights)
+    return _taken(_named(docs).withColumn("mix_tokens", _tokens()), chosen)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The chosen rows with the columns of docs only."""
-    return mix(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The chosen rows with the columns of docs only, as they were."""
+    kept, names = {}, list(docs.columns)
+    for c in [c for c in docs.columns if c.lower() in ADDED]:
+        kept[c] = fresh(names, "own_" + c)
+        names.append(kept[c])
+    out = mix(docs.withColumnsRenamed(kept), **options)
+    return out.select(*[F.col(f"`{kept.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_before")
+    thin = _thin(table(spark, sf_dir, "documents"))
+    chosen = _choose(thin, BUDGET_PERCENT, MAX_EPOCHS, SEED, DOMAIN_WEIGHTS, LANG_WEIGHTS, None)
+    return _taken(thin, chosen).select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_before")
 
 
 def oracle(percent: int = BUDGET_PERCENT, epochs: int = MAX_EPOCHS, seed: int = SEED, table: str = "documents", tail: str = "") -> str:

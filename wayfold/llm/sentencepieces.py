@@ -301,7 +301,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
 
 
 def with_ids(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
-    """docs with n_tokens and ids (array of int) in place of the text."""
+    """docs with n_tokens and ids (array of int) in place of the text, and of columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
     rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
     thin = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
