@@ -145,39 +145,61 @@ def test_mixing_of_many_sources_in_one_family(spark):
         assert got == plain_mix(docs, percent, epochs, mixing.SEED, mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, weights)
 
 
-def test_neighbours(spark, monkeypatch):
+def exact_neighbours(rows, q, k, measure):
+    """(vec_id, score) of the k nearest, from rows of (vec_id, vector)."""
+    own = next(v for i, v in rows if i == q)
+    score = [(i, float(np.dot(v, own)) if measure == "product" else -float(((v - own) ** 2).sum())) for i, v in rows if i != q]
+    return sorted(score, key=lambda s: (-s[1], s[0]))[:k]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours(spark, monkeypatch, kind):
+    """Blocks of 300 of which 40 are scored exactly, and cells of about 250 rows of which some are visited."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 16)).astype(np.float32)
-    x[100:160] = x[100]  # many copies of one vector
-    bad = [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [1.0] * 15 + [None]), (2080, [1.0] * 15 + [float("nan")]), (2100, [1.0] * 15 + [float("inf")]), (None, [1.0] * 16), (2120, [1.0] * 3)]
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 3000)] + 0.5 * rng.normal(size=(3000, 16))).astype(np.float32 if kind == "float" else np.float64)
+    x[100:400] = x[100]  # many copies of one vector
+    if kind == "double":
+        x[7] *= 1e39  # finite, and beyond float
+    bad = [(9000, None), (9020, []), (9040, [0.0] * 16), (9060, [1.0] * 15 + [None]), (9080, [1.0] * 15 + [float("nan")]), (9100, [1.0] * 15 + [float("inf")]), (None, [1.0] * 16), (9120, [1.0] * 3)]
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(i, v, 2) for i, v in bad] + [(20, x[20].tolist(), 1)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, rank int")
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 500)
+    df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>, cell int")
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 250)
+    rows = [(i, v.astype(float)) for i, v in enumerate(x)] + [(20, x[20].astype(float))]
     for measure in ("product", "distance"):
-        out = neighbours.search(df, df.where("vec_id % 20 = 0"), 20, measure).collect()
         by = {}
-        for r in out:
+        for r in neighbours.search(df, df.where("vec_id % 20 = 0"), 20, measure, rerank=40).collect():
             by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-        assert set(by) == set(range(0, 1500, 20))
-        hit = total = 0
-        for q, found in by.items():
-            v = x.astype(float)
-            s = v @ v[q] if measure == "product" else -((v - v[q]) ** 2).sum(1)
-            ids = np.concatenate([np.arange(1500), [20]])
-            s = np.concatenate([s, s[20:21]])
-            ids, s = ids[ids != q], s[ids != q]
-            top = ids[np.lexsort((ids, -s))][:20]
-            found.sort()
+        assert set(by) == set(range(0, 3000, 20))
+        hit = 0
+        for q in list(by)[::3]:
+            want = exact_neighbours(rows, q, 20, measure)
+            found = sorted(by[q])
             assert [a for a, _, _ in found] == list(range(1, 21))
-            hit += len(set(top.tolist()) & {b for _, b, _ in found})
-            total += len(set(top.tolist()))
-        assert hit / total >= 0.9
+            assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+            exact = {i: s for i, s in exact_neighbours(rows, q, 4000, measure)}
+            assert all(np.isclose(s, exact[i], rtol=1e-12) for _, i, s in found)
+            hit += sum(s >= want[-1][1] - 1e-12 * abs(want[-1][1]) for _, _, s in found)
+        assert hit / (20 * len(list(by)[::3])) >= 0.9
+    everything = neighbours.search(df, df.where("vec_id = 40"), 20, rerank=4000, cells=1).orderBy("rank").collect()
+    assert [r.vec_id for r in everything] == [i for i, _ in exact_neighbours(rows, 40, 20, "product")]
     few = df.where("vec_id < 5")
-    assert [r.vec_id for r in neighbours.search(few, few.where("vec_id = 0"), 20).orderBy("rank").collect()] == [i for i in np.argsort(-(x[:5].astype(float) @ x[0].astype(float)), kind="stable") if i]
+    assert [r.vec_id for r in neighbours.search(few, few.where("vec_id = 0"), 20).orderBy("rank").collect()] == [i for i, _ in exact_neighbours(rows[:5], 0, 20, "product")]
     assert neighbours.search(df.limit(0), df.limit(0), 20).collect() == []
 
 
+def test_cells_are_visited_until_recall_holds():
+    rng = np.random.default_rng(4)
+    loose = rng.normal(size=(2000, 24)).astype(np.float32)
+    tight = (20 * rng.normal(size=(16, 24))[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 24))).astype(np.float32)
+    for x, low, high in ((loose, 8, 16), (tight, 1, 4)):
+        centres = neighbours._kmeans(x, 16, np.random.default_rng(1))
+        probes = neighbours.cells_to_visit(x, centres, 20, "distance")
+        assert low <= probes <= high
+
+
 def test_secrets(spark):
     fresh = secrets_scan.labelled_findings(800, seed=99)
     forest = secrets_scan.default_forest()
