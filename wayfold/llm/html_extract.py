@@ -16,11 +16,14 @@ sidebars, notices, adverts, forms, related links and reader comments, under vari
 class names, around an article.
 
 The parser follows the rules of the HTML standard that matter for text: raw text elements,
-void elements, end tags that may be left out, comments, stray and unfinished tags.
+void elements, end tags that may be left out, comments, stray and unfinished tags. A tag with a
+quote that is never closed ends at the next >, so that no text is lost with it. Each tag costs
+the same however many elements are open, so stray tags don't slow a long page.
 Character references are decoded; white space in a block becomes one space and blocks are
 joined by one space. A null or empty page gives an empty text, as does a page without
 content. Very long pages are parsed whole; nesting depth is not limited. Repeated rows each
-get their row; extra columns are ignored.
+get their row; equal pages (ties) get equal texts. Extra columns, whatever their names, are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._tables import spread, table
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 500
 EPOCHS = 12
 RATE = 0.15
 DECAY = 1e-4
@@ -67,9 +70,9 @@ ENDS = {
 }
 P_FENCE = frozenset("html body table td th caption button object article section div aside nav header footer main form li blockquote".split())
 #: Elements whose text never is page text.
-SILENT = frozenset("head script style title textarea xmp iframe noembed noframes noscript template select option".split())
+SILENT = frozenset("head script style title textarea xmp iframe noembed noframes noscript template".split())
 
-_TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|/[^>]*>?)", re.S)
+_TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|([^>]*+)(>|\Z))|/[^>]*>?)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -91,8 +94,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """
     nodes = [Node("#root", -1, "", 0)]
     pieces: list[tuple[int, str, bool]] = []
-    # The open elements: tag, and the block that text in it belongs to.
-    stack: list[tuple[str, int]] = [("#root", 0)]
+    # The open elements: tag, the block that text in it belongs to, and where the p and the a are
+    # that a tag in it would end (0: none). And how many of each tag are open.
+    stack: list[tuple[str, int, int, int]] = [("#root", 0, 0, 0)]
+    opened: dict[str, int] = {}
     at, fresh, links = 0, True, 0
     n = len(page)
 
@@ -111,25 +116,37 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         if links:
             nodes[node].linked += size
 
+    def push(tag: str, node: int) -> None:
+        _, _, p, link = stack[-1]
+        here, fence = len(stack), tag in P_FENCE
+        stack.append((tag, node, here if tag == "p" else 0 if fence else p, here if tag == "a" else 0 if fence else link))
+        opened[tag] = opened.get(tag, 0) + 1
+
     def close(depth: int) -> None:
         nonlocal fresh, links
         while len(stack) > depth:
-            tag, _ = stack.pop()
+            tag = stack.pop()[0]
+            opened[tag] -= 1
             if tag == "a":
                 links -= 1
             if tag not in INLINE:
                 fresh = True
 
     def end_open(targets: frozenset, fence: frozenset) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
+        """Close the nearest of each kind of target above the nearest fence."""
+        targets = {t for t in targets if opened.get(t)}
+        depth = len(stack) - 1
+        lowest = 0
+        while targets and depth:
             tag = stack[depth][0]
             if tag in targets:
-                close(depth)
-                targets = targets - {tag}
-                if not targets or tag == "p":
-                    return
+                lowest = depth
+                targets.discard(tag)
             elif tag in fence:
-                return
+                break
+            depth -= 1
+        if lowest:
+            close(lowest)
 
     for found in iter(lambda: _TAG.search(page, at), None):
         text(at, found.start())
@@ -137,23 +154,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         name = found.group(2)
         if name is None:
             continue
-        if not found.group(4):  # an unfinished tag at the end of the page
+        if not (found.group(4) or found.group(6)):  # an unfinished tag at the end of the page
             break
         tag = name.lower()
         if found.group(1):
             if tag == "br":
                 fresh = True
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            else:
-                if tag not in INLINE:
-                    fresh = True
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+            elif tag not in INLINE:
+                fresh = True
             continue
-        rest = found.group(3)
-        if tag in CLOSES_P:
-            end_open(frozenset({"p"}), P_FENCE)
+        rest = found.group(3) or found.group(5)
+        if tag in CLOSES_P and stack[-1][2]:
+            close(stack[-1][2])
         if tag in ENDS:
             end_open(*ENDS[tag])
         if tag == "br" or tag == "hr":
@@ -166,16 +183,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
             continue
         if tag in INLINE:
             if tag == "a":
-                end_open(frozenset({"a"}), P_FENCE)
+                if stack[-1][3]:
+                    close(stack[-1][3])
                 links += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         up = stack[-1][1]
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower() if rest else ""
         node = Node(tag, up, names, len(nodes))
         nodes[up].kids.append(node.index)
         nodes.append(node)
-        stack.append((tag, node.index))
+        push(tag, node.index)
         fresh = True
     else:
         text(at, n)
@@ -403,7 +421,8 @@ def labelled_pages(many: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str,
         return div(["cookie", "cookie-notice", "notice", "consent", "gdpr-banner", "alert", "newsletter", "subscribe", "popup", "modal"], (f"<p>{words(4, 25)}</p>" if rng.random() < 0.6 else words(4, 25)) + ("<button>ok</button>" if rng.random() < 0.5 else ""))
 
     def form() -> str:
-        return f"<form action='/s'><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>" + (f"<p>{words(2, 14)}</p>" if rng.random() < 0.5 else "") + "</form>"
+        choice = f"<select>{''.join(f'<option>{words(1, 2)}</option>' for _ in range(rng.randint(2, 6)))}</select>" if rng.random() < 0.4 else ""
+        return f"<form action='/s'><label>{words(1, 3)}</label><input name=q>{choice}<button>{words(1, 2)}</button>" + (f"<p>{words(2, 14)}</p>" if rng.random() < 0.5 else "") + "</form>"
 
     def comments() -> str:
         one = lambda: rng.choice(["<div class='comment'>{}</div>", "<li class='comment'>{}</li>", "<article class='comment'>{}</article>"]).format(f"<p>{words(3, 40)}</p>" if rng.random() < 0.7 else words(3, 40))
@@ -422,11 +441,28 @@ def labelled_pages(many: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str,
         if rng.random() < 0.25:
             body += comments()
         shell = rng.random()
-        if shell < 0.55:
+        if shell < 0.08:  # plain text in the body or in one element
+            tag = rng.choice(["body", "body", "div", "p", "td", "section"])
+            text = f'<{tag} class="{mark}">{words(1, 60)}{rng.choice(["", f"<br>{words(1, 30)}", f" <i>{words(1, 4)}</i> {words(1, 9)}"])}</{tag}>'
+            text = text if tag != "td" else f"<table><tr>{text}</tr></table>"
+            if rng.random() < 0.6:
+                text = f"<html><head><title>{words(2, 8)}</title></head>{text if tag == 'body' else f'<body>{text}</body>'}</html>"
+            out.append((text, mark))
+            continue
+        if shell < 0.18:  # paragraphs with no container of their own
+            article = body
+        elif shell < 0.26:  # a layout of tables or of unnamed elements
+            left = f"<ul>{links(3, 9)}</ul>" if rng.random() < 0.7 else f"<p>{links(2, 5, '')}</p>"
+            cell = rng.choice(["td", "div"])
+            article = f'<{cell}>{left}</{cell}><{cell} class="{mark}">{body}</{cell}>'
+            article = f"<table><tr>{article}</tr></table>" if cell == "td" else article
+        elif shell < 0.33:  # sections
+            article = "".join(f'<section class="{mark}">{content()}</section>' for _ in range(rng.randint(1, 3)))
+        elif shell < 0.65:
             article = f'<article class="{mark}">{body}</article>'
-        elif shell < 0.7:
+        elif shell < 0.76:
             article = f'<main class="{mark}">{body}</main>'
-        elif shell < 0.8:
+        elif shell < 0.84:
             article = f'<main class="{mark}"><article class="{mark}">{body}</article></main>'
         else:
             article = f'<div class="{mark} {rng.choice(["content", "post", "entry-content", "article-body", "story", "main", "text"])}">{body}</div>'
