@@ -5,6 +5,8 @@ text with the words around it. Its features are its length and classes of charac
 character transitions are against ordinary words (a table of letter pairs), how much of it
 dictionary words cover, its path (whether it is part of a path or URL, and the extension), and
 what its neighbouring words say (words like token or password, words like checksum or commit).
+Dictionary and transitions are learned from the whole words of a public tokenizer's vocabulary
+(some 30,000; its file is a parameter), which goes to the executors with the forest.
 A forest of randomised trees, trained from labelled findings, gives the share of trees that
 call it a secret; findings at THRESHOLD or more are reported. Most candidates are plain words, so
 Forest.most() is asked first, once for a run: a run whose own features keep its share under the
@@ -15,13 +17,16 @@ default labelled_findings() writes them: issued keys of various make beside assi
 the usual false alarms, among them digests in checksum lists, commit ids, identifiers, paths,
 placeholders and encoded media, and plain words and numbers behind words like password.
 
-A null or empty text has no findings. A secret that occurs twice is two findings, told apart by
-its place. Rows that are repeated each give theirs. Extra columns are ignored.
+A null or empty text has no findings. Texts and candidates of any length are taken whole. A
+secret that occurs twice is two findings, told apart by its place. Rows that are repeated each
+give theirs. Extra columns, whatever their names, are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -54,28 +59,69 @@ COMMON = (
 EXTENSIONS = frozenset("png jpg jpeg gif svg css js html htm json xml txt md py java c h cpp go rs rb php pdf zip gz tar mp3 mp4 woff ttf ico".split())
 
 
-def _pairs() -> np.ndarray:
-    """Surprise in bits of each letter following another, from the common words."""
-    count = np.ones((27, 27))
-    for word in COMMON:
-        last = 26
-        for ch in word:
-            now = ord(ch) - 97
-            count[last, now] += 1
-            last = now
-        count[last, 26] += 1
-    return -np.log2(count / count.sum(1, keepdims=True))
+VOCABULARY = "word_bpe_49k.json"
+#: Letters of dictionary words, least and most.
+SHORTEST, LONGEST = 4, 12
+
+
+class Words:
+    """A dictionary, and the surprise in bits of each letter following another in its words."""
+
+    def __init__(self, words: list[str]):
+        self.listed = sorted(set(words))
+        self.known = frozenset(w for w in self.listed if SHORTEST <= len(w) <= LONGEST)
+        count = np.ones((27, 27))
+        for word in self.listed:
+            last = 26
+            for ch in word:
+                now = ord(ch) - 97
+                count[last, now] += 1
+                last = now
+            count[last, 26] += 1
+        self.pairs = (-np.log2(count / count.sum(1, keepdims=True))).tolist()
+
+    def covered(self, low: str) -> int:
+        """Letters of a lower-cased string that dictionary words cover, the longest first."""
+        out = 0
+        for run in _WORD.finditer(low):
+            part = run.group()
+            i, n = 0, len(part)
+            while i + SHORTEST <= n:
+                for k in range(min(LONGEST, n - i), SHORTEST - 1, -1):
+                    if part[i : i + k] in self.known:
+                        out += k
+                        i += k - 1
+                        break
+                i += 1
+        return out
+
+
+_words: dict[str | None, Words] = {}
+
+
+def words_of(path: str | None = None) -> Words:
+    """The whole words of a vocabulary file (by default a public tokenizer's), read once in a process."""
+    if path not in _words:
+        place = path
+        if place is None:
+            import public_tokenizers
+
+            place = public_tokenizers.path(VOCABULARY)
+        with open(place, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        whole = (w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>"))
+        _words[path] = Words([w for w in whole if len(w) > 1 and re.fullmatch("[a-z]+", w)])
+    return _words[path]
 
 
-_PAIRS = _pairs()
-_BY_LENGTH = [frozenset(w for w in COMMON if len(w) == k) for k in range(3, 9)]
 NAMES = ("length", "upper", "lower", "digit", "hex", "entropy", "classes", "transitions", "turns", "dictionary", "slashes", "dots", "dashes", "extension", "url", "assigned", "quoted", "beside", "not_beside", "repeats", "padding", "run")
 #: Features that a candidate's context can change.
 OF_CONTEXT = frozenset(NAMES.index(n) for n in ("url", "assigned", "quoted", "beside", "not_beside"))
 
 
-def describe(before: str, key: str, after: str) -> list[float]:
+def describe(before: str, key: str, after: str, words: Words | None = None) -> list[float]:
     """The features of a candidate, as NAMES."""
+    words = words or words_of()
     n = len(key)
     low = key.lower()
     upper, lower, digit = sum(c.isupper() for c in key), sum(c.islower() for c in key), sum(c.isdigit() for c in key)
@@ -86,18 +132,10 @@ def describe(before: str, key: str, after: str) -> list[float]:
         turns += (a.isdigit() != c.isdigit()) or (a.isupper() != c.isupper())
         now = ord(c.lower()) - 97
         if 0 <= now < 26:
-            steps.append(_PAIRS[last, now])
+            steps.append(words.pairs[last][now])
             last = now
         else:
             last = 26
-    covered, i = 0, 0
-    while i < n - 2:
-        for k in range(min(8, n - i), 2, -1):
-            if low[i : i + k] in _BY_LENGTH[k - 3]:
-                covered += k
-                i += k - 1
-                break
-        i += 1
     context = [w.lower() for w in _WORD.findall(before[-AROUND:])]
     near = set(context[-4:])
     near |= {p for w in _WORD.findall(before[-AROUND:])[-4:] for p in re.findall(r"[a-z]+", re.sub(r"([A-Z])", r" \1", w).lower())}
@@ -105,7 +143,7 @@ def describe(before: str, key: str, after: str) -> list[float]:
     run = max((len(m.group()) for m in re.finditer(r"(.)\1*", key)), default=0)
     return [
         n, upper / n, lower / n, digit / n, sum(c in "0123456789abcdef" for c in low) / n, -sum(p * math.log2(p) for p in share),
-        (upper > 0) + (lower > 0) + (digit > 0) + any(not c.isalnum() for c in key), sum(steps) / len(steps) if steps else 8.0, turns / n, covered / n,
+        (upper > 0) + (lower > 0) + (digit > 0) + any(not c.isalnum() for c in key), sum(steps) / len(steps) if steps else 8.0, turns / n, words.covered(low) / n,
         key.count("/"), key.count("."), key.count("-") + key.count("_"), float(low.rpartition(".")[2] in EXTENSIONS), float("://" in before[-AROUND:].rpartition(" ")[2] or low.startswith("www.") or "//" in key),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(tail[-1:] in ("\"", "'") and after[:1] in ("\"", "'")), float(len(near & BESIDE)), float(len(near & NOT_BESIDE)),
         n / max(1, len(set(key))), float(key.endswith("=")), run,
@@ -113,10 +151,13 @@ def describe(before: str, key: str, after: str) -> list[float]:
 
 
 class Forest:
-    """Randomised trees as flat arrays: feature (-1: leaf), bar, left, right, value."""
+    """Randomised trees as flat arrays: feature (-1: leaf), bar, left, right, value; and the words that features are made with."""
+
+    def __init__(self, trees: list[np.ndarray], words: Words):
+        self.trees, self.words = trees, words
 
-    def __init__(self, trees: list[np.ndarray]):
-        self.trees = trees
+    def describe(self, found: list[tuple[str, str, str]]) -> np.ndarray:
+        return np.array([describe(*f, self.words) for f in found])
 
     def share(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -187,19 +228,21 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.array(nodes)
 
 
-def train(findings: list[tuple[str, str, str, int]], trees: int = TREES, seed: int = SEED) -> Forest:
+def train(findings: list[tuple[str, str, str, int]], trees: int = TREES, seed: int = SEED, words: Words | None = None) -> Forest:
+    words = words or words_of()
     rng = np.random.default_rng(seed)
-    x = np.array([describe(*f[:3]) for f in findings])
+    x = np.array([describe(*f[:3], words) for f in findings])
     y = np.array([f[3] for f in findings], float)
-    return Forest([_grow(x, y, rng) for _ in range(trees)])
+    return Forest([_grow(x, y, rng) for _ in range(trees)], words)
 
 
-def labelled_findings(many: int = TRAIN_FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
+def labelled_findings(many: int = TRAIN_FINDINGS, seed: int = SEED, words: Words | None = None) -> list[tuple[str, str, str, int]]:
     """Candidates with their contexts: half of them secrets, half false alarms."""
     rng = random.Random(seed)
+    listed = (words or words_of()).listed
     hexa, alnum = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
-    word = lambda: rng.choice(COMMON) if rng.random() < 0.5 else draw("abcdefghilmnoprstuvwy", 2, 9)
+    word = lambda: rng.choice(COMMON) if (r := rng.random()) < 0.3 else rng.choice(listed) if r < 0.8 else draw("abcdefghilmnoprstuvwy", 2, 9)
     prose = lambda: " ".join(word() for _ in range(rng.randint(1, 8)))
     digitise = lambda s: s if any(c.isdigit() for c in s) else s + draw("0123456789", 1, 2)
     out = []
@@ -268,7 +311,7 @@ def candidates(text: str) -> list[tuple[int, str]]:
 
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, at (place in characters), size, score, key_sha256 of every reported secret."""
-    sent = docs.sparkSession.sparkContext.broadcast(forest or default_forest())  # some thousand numbers
+    sent = docs.sparkSession.sparkContext.broadcast(forest or default_forest())  # some thousand numbers, and the vocabulary's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
@@ -276,7 +319,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest
 
         def judge(held: list[tuple[int | None, str, int, str]]) -> pa.RecordBatch | None:
             fresh = list({key for _, _, _, key in held})
-            most = trees.most(np.array([describe("", key, "") for key in fresh]))
+            most = trees.most(trees.describe([("", key, "") for key in fresh]))
             out = {key for key, m in zip(fresh, most) if m < threshold}
             if len(refused) > REMEMBERED:
                 refused.clear()
@@ -284,7 +327,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest
             held = [h for h in held if h[3] not in out]
             if not held:
                 return None
-            score = trees.share(np.array([describe(whole[max(0, at - AROUND) : at], key, whole[at + len(key) : at + len(key) + AROUND]) for _, whole, at, key in held]))
+            score = trees.share(trees.describe([(whole[max(0, at - AROUND) : at], key, whole[at + len(key) : at + len(key) + AROUND]) for _, whole, at, key in held]))
             made = pa.RecordBatch.from_arrays(
                 [pa.array([h[0] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int64()), pa.array([len(h[3]) for h in held], pa.int64()), pa.array(score), pa.array([hashlib.sha256(h[3].encode()).hexdigest() for h in held], pa.string())],
                 ["doc_id", "at", "size", "score", "key_sha256"],
