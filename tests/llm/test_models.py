@@ -61,6 +61,42 @@ def test_quality_on_held_out_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out if r.predicted)
 
 
+def test_quality_query_equals_plain_python(spark, tmp_path):
+    """The whole query, labels and all, against features, updates and scores made number by number."""
+    import math
+    import zlib
+
+    from wayfold.llm import _text
+
+    data = labelled(160, 5) + [(500, None, 1), (501, "", 0), (502, "A a a 1x!! é", 1), (503, "  \t\n", 0)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in data] + [(None, "no id", "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, _, q in data if i % 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    feats = {i: brute.quality_features(t, [int(x) for x in _text._TABLE], _text.BASE, [int(x) for x in quality._SALT], quality.BITS) for i, t, _ in data}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in data}
+    examples = [(feats[i], q) for i, _, q in sorted(data, key=lambda d: d[0]) if i % 5 and not held[i]]
+    passes = min(quality.EPOCHS[1], max(quality.EPOCHS[0], -(-quality.UPDATES // len(examples))))
+    weight = brute.quality_model(examples, passes, quality.SEED, quality.ALPHA, quality.BETA, quality.L1, quality.L2)
+    got = {r.doc_id: r for r in quality.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data) + 1
+    for i, _, _ in data:
+        dot = sum(weight.get(s, 0.0) * v for s, v in feats[i].items()) + 0.1 * weight[None]
+        assert abs(got[i].score - 1 / (1 + math.exp(-dot))) < 1e-4 and got[i].held_out == held[i]
+        assert got[i].predicted == int(got[i].score >= 0.7)
+
+
+def test_quality_training_is_bounded(spark, monkeypatch):
+    """One text of an id that is repeated, and texts until they make TRAIN_BYTES."""
+    docs = spark.createDataFrame([(1, f"copy {k} " + "long " * 50_000) for k in range(40)] + [(i, "some words " * 9) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 2000)
+    seen = []
+    monkeypatch.setattr(quality, "_train_rows", lambda rows: __import__("pyarrow").table({"weights": [rows.num_rows.to_bytes(4, "little") * (1 << quality.BITS)], "bias": [0.0]}))
+    weights, _ = quality.model(docs, labels)
+    seen = int(weights.view(np.int32)[0])
+    assert 1 <= seen <= 2000 // 99 + 2
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -9,12 +9,14 @@ leader updates (per-coordinate rates, L1 and L2), and a score is the sigmoid of
 dot product of features and weights.
 
 Training uses at most TRAIN_ROWS labelled documents, those with the smallest seeded hash of
-their id; that bound is the size of what the one training task holds. Scoring reads every
-whole text. Only the text is an input of a score.
+their id, one text of each (the smallest), until their texts make TRAIN_BYTES; these bounds are
+the size of what the one training task holds. Scoring reads every whole text, of any length.
+Only the text is an input of a score.
 
 A null or empty text has no features; its score is that of the bias. Rows with a null label or
 id are not trained on; of several labels of one document the smallest counts. Without any
-label, every score is 0.5. Repeated rows each get their row; extra columns are ignored.
+label, every score is 0.5. Repeated rows each get their row, with equal scores. Extra columns,
+whatever their names, are ignored; accepted() returns them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _parts, _text
 from ._tables import table
 
 BITS = 20
-TRAIN_ROWS = 5000
+TRAIN_ROWS, TRAIN_BYTES = 5000, 64 << 20
 #: Passes over the examples: as many as give UPDATES updates, within these bounds.
 EPOCHS = (3, 20)
 UPDATES = 15_000
@@ -133,12 +136,15 @@ def _train_rows(rows: pa.Table) -> pa.Table:
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
-    """Weights and bias from the labelled documents (at most TRAIN_ROWS of them)."""
+    """Weights and bias from the labelled documents (at most TRAIN_ROWS ids, one text of each, until they make TRAIN_BYTES)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
     few = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(TRAIN_ROWS)
     thin = docs.select("doc_id", "text")
     # At most TRAIN_ROWS pairs of numbers are broadcast; no text is shuffled but theirs.
-    rows = thin.join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = thin.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
+    # In the order in which they were chosen, so many as make TRAIN_BYTES (the first in any case).
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN_BYTES).drop("before")
     one = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_train_rows, "weights binary, bias double").first()
     if one is None:
         return np.zeros(1 << BITS, np.float32), 0.0
