@@ -6,6 +6,8 @@ written apart for each. A user is a session; its events, by (ts, event_id), are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The relations, in order; each may use those before it.
@@ -82,6 +84,26 @@ SELECT session_id, CASE WHEN session_id % 13 = 0 THEN 'MISSING' WHEN session_id
   CASE WHEN session_id % 10 = 0 THEN 'GNSS' WHEN session_id % 15 = 0 THEN 'NONE' ELSE 'BAROMETER' END AS ascent_source,
   CASE WHEN session_id % 21 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST((session_id % 9) * 60 + (session_id * 7) % 25 AS DOUBLE) END AS ascent
 FROM base GROUP BY session_id""",
+    # Decisions of a resting session: eight jitter reasons and keepalives, now and then something else.
+    "resting": """
+SELECT session_id, seq * 4 + 4 AS line_no, e AS decision_id, CASE WHEN e % 29 = 0 THEN 'moving_good_fix' WHEN e % 41 = 0 THEN 'weak_signal_stage1' WHEN e % 9 = 0 THEN 'stationary_keepalive' WHEN e % 9 = 1 THEN 'stationary_jitter' WHEN e % 9 = 2 THEN 'stationary_anchor_refined'
+  WHEN e % 9 = 3 THEN 'stationary_accel_supported_jitter' WHEN e % 9 = 4 THEN 'rest_candidate' WHEN e % 9 = 5 THEN 'rest_paused_keepalive' WHEN e % 9 = 6 THEN 'rest_probing_stationary' WHEN e % 9 = 7 THEN 'stationary_motion_blocked_recovery' ELSE 'rest_probing_confirming_moving' END AS reason
+FROM base""",
+    # Logs by session: also empty ones, and ones with a fix or a decision only.
+    "log_session": """
+SELECT session_id, CASE WHEN session_id % 33 = 0 THEN 2 ELSE 0 END AS bad_lines FROM base WHERE seq = 1
+UNION ALL SELECT session_id + 1000000, 0 FROM base WHERE seq = 1 UNION ALL SELECT session_id + 2000000, 0 FROM base WHERE seq = 1 UNION ALL SELECT session_id + 3000000, 1 FROM base WHERE seq = 1""",
+    "log_fix": """
+SELECT session_id, line_no, raw_id, t, recv, acc, snap_id, stale FROM fix UNION ALL SELECT session_id + 3000000, line_no, raw_id, t, recv, acc, snap_id, stale FROM fix WHERE seq = 1""",
+    "log_decision": """
+SELECT session_id, line_no, decision_id, raw_id, result, reason, t, snap_id, point_id, metres, moving FROM decision
+UNION ALL SELECT session_id + 2000000, line_no, decision_id, raw_id, result, reason, t, snap_id, point_id, metres, moving FROM decision WHERE line_no = 8""",
+    "sample": """
+SELECT m.session_id, read_status, completion, integrity, log_exists, raws, weaks, points, last_seq, log_seq, g.gaps + CASE WHEN m.session_id % 25 = 0 THEN 1 ELSE 0 END AS gaps,
+  CASE WHEN m.session_id % 27 = 0 THEN 'INVALID_JSONL' WHEN m.session_id % 45 = 0 THEN 'READ_ERROR' ELSE 'OK' END AS log_status, m.session_id % 27 = 0 AS parse_failed
+FROM manifest m JOIN (SELECT session_id, count(*) FILTER (WHERE seq > 1 AND e % 11 = 7) AS gaps FROM base GROUP BY session_id) g ON m.session_id = g.session_id
+UNION ALL SELECT session_id + 1000000, 'OK', 'FINISHED', 'OK', true, 0, 0, 0, 0, 0, 0, 'OK', false FROM base WHERE seq = 1 UNION ALL SELECT session_id + 2000000, 'OK', 'FINISHED', 'OK', true, 0, 0, 1, 0, 0, 0, 'OK', false FROM base WHERE seq = 1
+UNION ALL SELECT session_id + 3000000, 'OK', 'FINISHED', 'OK', true, 1, 0, 0, 0, 0, 0, 'OK', false FROM base WHERE seq = 1""",
     "sat": """
 SELECT session_id, e AS snap_id, k AS ord, (e * 7 + k * 3) % 9 AS kind, (e + k * 5) % 32 + 1 AS svid, (e + k) % 3 <> 0 AS used, CAST(10 + (e * 3 + k * 7) % 35 AS DOUBLE) AS cn0,
   CASE WHEN (e + k) % 4 = 0 THEN CAST(NULL AS DOUBLE) WHEN (e * k) % 10 = 3 THEN CAST(1176450000 AS DOUBLE) ELSE CAST(1575420000 AS DOUBLE) END AS carrier
@@ -89,16 +111,31 @@ FROM base CROSS JOIN (SELECT explode(array(0, 1, 2, 3, 4, 5, 6, 7)) AS k) s WHER
 }
 
 
+_EIGHT = "explode(array(0, 1, 2, 3, 4, 5, 6, 7))"
+
+
+def _needed(names: set[str]) -> list[str]:
+    """The named relations and those that they are made from, in order."""
+    wanted = {"base", *names}
+    for name in reversed(VIEWS):
+        if name in wanted:
+            wanted |= {n for n in re.findall(r"(?:FROM|JOIN) (\w+)", VIEWS[name]) if n in VIEWS}
+    return [n for n in VIEWS if n in wanted]
+
+
 def sql_with(*names: str) -> str:
     """A WITH clause (for DuckDB) of the named relations and what they need."""
-    wanted = set(names) | {"base"}
-    text = ",\n".join(f"{n} AS ({q})" for n, q in VIEWS.items() if n in wanted)
-    return "WITH RECURSIVE " + text.replace("explode(array(0, 1, 2, 3, 4, 5, 6, 7))", "unnest([0, 1, 2, 3, 4, 5, 6, 7])").replace("AS STRING)", "AS VARCHAR)")
+    text = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _needed(set(names)))
+    return "WITH RECURSIVE " + text.replace(_EIGHT, "unnest([0, 1, 2, 3, 4, 5, 6, 7])").replace("AS STRING)", "AS VARCHAR)")
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the relations as a DataFrame."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    wanted = "base" if name == "base" else f"base\0{name}"
-    text = ",\n".join(f"{n} AS ({q})" for n, q in VIEWS.items() if n in wanted.split("\0"))
+    """One of the relations as a DataFrame.
+
+    The events are dealt by user before anything is computed from them, so that all relations of a
+    query can share that one scan and exchange.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type", "value").repartition("user_id")
+    text = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _needed({name}))
+    text = text.replace(f"CROSS JOIN (SELECT {_EIGHT} AS k) s", f"LATERAL VIEW {_EIGHT} s AS k")
     return spark.sql(f"WITH {text.replace('FROM events', 'FROM {events}')} SELECT * FROM {name}", events=events)
