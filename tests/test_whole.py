@@ -54,7 +54,8 @@ def test_markers_use_every_fix(spark, name):
         if r.lat:
             back += r.raw_id % 53 == 0
             by.setdefault((r.session_id, r.seq // 20 if name == "route_markers" else None), []).append((r.line_no, r.t, r.lat, r.lng))
-    want = {(s, part, k): (at, la, ln) for (s, part), rows in by.items() for k, at, la, ln in marks(sorted(rows))}
+    every = 600_000_000_000 if name == "time_markers" else 60_000_000_000
+    want = {(s, part, k): (at, la, ln) for (s, part), rows in by.items() for k, at, la, ln in marks(sorted(rows), every)}
     got = {(r.session_id, getattr(r, "segment", None), r.k): r for r in QUERIES[name](spark, SF).collect()}
     assert back and set(got) == set(want)
     for key, (at, la, ln) in want.items():

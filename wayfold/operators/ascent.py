@@ -60,6 +60,25 @@ def sound_satellite(alt: Column, vacc: Column, acc: Column) -> Column:
     return F.coalesce(alt.isNotNull() & (vacc > 0) & (vacc <= 12) & (acc > 0) & (acc <= 30), F.lit(False))
 
 
+#: Reasons of anchors and of points that a vehicle made, and the least step of a satellite sample in metres.
+ANCHORS = ("first_fix_good", "first_fix_relaxed", "forced_weak_first_fix", "gap_recovery", "transport_recovery", "rest_moving_recovery", "stationary_anchor_refined")
+RIDES = ("transport_suspected", "transport_confirmed", "impossible_speed")
+LEAST_STEP = 5.0
+
+
+def satellite_samples(points: DataFrame) -> DataFrame:
+    """Samples of track points (session_id, ord, t, alt, vacc, acc, reason, metres): anchors restart, walking steps of LEAST_STEP count."""
+    anchor = F.col("reason").isin(*ANCHORS)
+    taken = sound_satellite(F.col("alt"), F.col("vacc"), F.col("acc")) & (anchor | ((F.col("reason") == "moving_good_fix") & (F.col("metres") >= LEAST_STEP)))
+    return points.where(taken).select("session_id", "ord", "t", "alt", "vacc", anchor.alias("reset"), F.lit(False).alias("bad"))
+
+
+def barometer_samples(points: DataFrame) -> DataFrame:
+    """Samples of track points that carry a pressure (session_id, ord, t, alt, hpa, reason): anchors restart, those of rides don't count."""
+    taken = (F.col("hpa") > 0) & ~F.isnan("hpa") & ~F.col("reason").isin(*RIDES)
+    return points.where(taken).select("session_id", "ord", "t", "alt", F.lit(0.0).alias("vacc"), F.col("reason").isin(*ANCHORS).alias("reset"), F.lit(False).alias("bad"))
+
+
 def selected(barometer: DataFrame, satellite: DataFrame) -> DataFrame:
     """The barometer's ascent if it has one, else the satellites', else none."""
     rows = barometer.select("session_id", F.col("ascent").alias("baro")).join(satellite.select("session_id", F.col("ascent").alias("sat")), "session_id", "full_outer")

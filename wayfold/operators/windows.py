@@ -113,6 +113,28 @@ def since_reset(rows: DataFrame, reset: F.Column, order: str = "line_no") -> Dat
     return rows.withColumn("island_", F.sum(F.when(reset, 1).otherwise(0)).over(running(order)))
 
 
+#: Reasons that count as resting, and how many of them or of keepalives pause the sampling.
+JITTERS = ("stationary_jitter", "stationary_anchor_refined", "stationary_accel_supported_jitter", "rest_candidate", "rest_paused_keepalive", "rest_probing_stationary", "stationary_motion_blocked_recovery", "rest_probing_confirming_moving")
+KEEPALIVES_TO_PAUSE, JITTERS_TO_PAUSE = 2, 10
+#: Live points kept of a session, and the least distance that gives a heading in metres.
+LIVE_POINTS = 1000
+HEADING_METRES = 5.0
+
+
+def stationary_runs(decisions: DataFrame) -> DataFrame:
+    """decisions with keepalives and jitters since the last decision that was neither, and whether they pause the sampling."""
+    keep, jitter = F.col("reason") == "stationary_keepalive", F.col("reason").isin(*JITTERS)
+    w = W.partitionBy("session_id", "island_").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = since_reset(decisions, ~(keep | jitter)).withColumns({"keepalives": F.count_if(keep).over(w), "jitters": F.count_if(jitter).over(w)})
+    return rows.withColumn("paused", (F.col("keepalives") >= KEEPALIVES_TO_PAUSE) | (F.col("jitters") >= JITTERS_TO_PAUSE)).drop("island_")
+
+
+def newest(rows: DataFrame, many: int, order: str = "line_no") -> DataFrame:
+    """The last rows of each session, as a bounded buffer keeps them."""
+    rank = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc(order)))
+    return rows.withColumn("rank_", rank).where(F.col("rank_") <= many).drop("rank_")
+
+
 def heading_reliability(samples: DataFrame, width: int = 3 * SECOND) -> DataFrame:
     """samples (t, heading, field, gyro, accurate) with the spread over the last width and the verdict."""
     w = W.partitionBy("session_id").orderBy("t").rangeBetween(-width, 0)

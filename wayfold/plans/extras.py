@@ -9,6 +9,7 @@ from ..functions import geo as G
 from ..operators import windows as O
 from ..sources import sinks
 from .registry import query
+from .windows import MARKERS
 
 c = F.col
 
@@ -52,8 +53,8 @@ def timeline_filter(x):
     return rows.withColumn("filter", name).where("filter IS NOT NULL").select("filter", "session_id", "id")
 
 
-@query("route_markers", """, p AS (SELECT session_id, seq // 20 AS segment, line_no AS ord, t, lat, lng FROM fix WHERE raw_id % 53 <> 0 AND lat <> 0), w AS (SELECT *, lag(t) OVER o AS pt, lag(lat) OVER o AS pla, first_value(t) OVER o AS ft FROM p WINDOW o AS (PARTITION BY session_id, segment ORDER BY ord)),
-m AS (SELECT *, unnest(range((pt - ft) // 60000000000 + 1, (t - ft) // 60000000000 + 1)) AS k FROM w WHERE t > pt) SELECT session_id, segment, CAST(k AS BIGINT) AS k, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat FROM m""", "fix")
+@query("route_markers", ", p AS (SELECT session_id, seq // 20 AS part, line_no AS ord, t, lat, lng FROM fix WHERE lat <> 0)" + MARKERS.replace("{every}", "60000000000") + """
+SELECT session_id, part AS segment, CAST(k AS BIGINT) AS k, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat FROM m WHERE ft + k * 60000000000 >= pt""", "fix")
 def route_markers(x):
     rows = x.fix.where("lat <> 0").withColumns({"segment": F.expr("seq DIV 20"), "ord": c("line_no")})
     # Marks begin anew with each segment of the route.

@@ -51,14 +51,12 @@ def sampling_durations(x):
     return rows.groupBy("session_id", "state").agg(F.count(F.lit(1)).alias("requests"), F.round(F.coalesce(F.sum(F.when(end > F.col("t"), (end - F.col("t")) / 1e9)), F.lit(0.0)), 6).alias("seconds"))
 
 
-@query("consecutive_stationary", """, w AS (SELECT *, sum(CASE WHEN reason <> 'stationary_jitter' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS isle FROM decision),
-c AS (SELECT session_id, decision_id, count(*) FILTER (WHERE reason = 'stationary_jitter') OVER (PARTITION BY session_id, isle ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM w)
-SELECT session_id, decision_id, run, run >= 2 AS paused FROM c""", "decision")
+@query("consecutive_stationary", """, k AS (SELECT *, reason = 'stationary_keepalive' AS keep, reason IN ('stationary_jitter', 'stationary_anchor_refined', 'stationary_accel_supported_jitter', 'rest_candidate', 'rest_paused_keepalive', 'rest_probing_stationary', 'stationary_motion_blocked_recovery', 'rest_probing_confirming_moving') AS jit FROM resting),
+w AS (SELECT *, sum(CASE WHEN keep OR jit THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS isle FROM k),
+n AS (SELECT session_id, decision_id, count(*) FILTER (WHERE keep) OVER o AS keepalives, count(*) FILTER (WHERE jit) OVER o AS jitters FROM w WINDOW o AS (PARTITION BY session_id, isle ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT session_id, decision_id, keepalives, jitters, keepalives >= 2 OR jitters >= 10 AS paused FROM n""", "resting")
 def consecutive_stationary(x):
-    still = F.col("reason") == "stationary_jitter"
-    rows = O.since_reset(x.decision, ~still)
-    run = F.count_if(still).over(W.partitionBy("session_id", "island_").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("session_id", "decision_id", run.alias("run"), (run >= 2).alias("paused"))
+    return O.stationary_runs(x.resting).select("session_id", "decision_id", "keepalives", "jitters", "paused")
 
 
 @query("segment_ids", """SELECT session_id, decision_id, CAST(1 + sum(CASE WHEN reason IN ('gap_recovery', 'transport_recovery') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id,
@@ -85,13 +83,16 @@ def pair_lines(x):
     return x.decision.where("result != 'weak'").withColumn("before", before).where("before IS NOT NULL").select("session_id", "decision_id", F.when(rides, "transport").otherwise("walking").alias("line"))
 
 
-@query("prev_heading", """, w AS (SELECT session_id, raw_id, lat, lng, lag(lat) OVER o AS pla, lag(lng) OVER o AS pln FROM fix WHERE lat <> 0 WINDOW o AS (PARTITION BY session_id ORDER BY line_no))
-SELECT session_id, raw_id, round((degrees(atan2(sin(radians(lng - pln)) * cos(radians(lat)), cos(radians(pla)) * sin(radians(lat)) - sin(radians(pla)) * cos(radians(lat)) * cos(radians(lng - pln)))) + 360) % 360, 6) AS heading FROM w
-WHERE abs(lat - pla) + abs(lng - pln) >= 0.0001""", "fix")
+@query("prev_heading", """, p AS (SELECT d.session_id, d.decision_id, d.line_no, f.lat, f.lng FROM decision d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result IN ('accept', 'anchor')),
+w AS (SELECT *, lag(lat) OVER o AS pla, lag(lng) OVER o AS pln FROM p WINDOW o AS (PARTITION BY session_id ORDER BY line_no)),
+h AS (SELECT *, power(sin(radians(lat - pla) / 2), 2) + cos(radians(pla)) * cos(radians(lat)) * power(sin(radians(lng - pln) / 2), 2) AS h FROM w)
+SELECT session_id, decision_id, CASE WHEN 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) >= 5 THEN round((degrees(atan2(sin(radians(lng - pln)) * cos(radians(lat)), cos(radians(pla)) * sin(radians(lat)) - sin(radians(pla)) * cos(radians(lat)) * cos(radians(lng - pln)))) + 360) % 360, 6) END AS heading FROM h""", "fix decision")
 def prev_heading(x):
     o = W.partitionBy("session_id").orderBy("line_no")
-    rows = x.fix.where("lat != 0").withColumns({"pla": F.lag("lat").over(o), "pln": F.lag("lng").over(o)})
-    return rows.where((F.abs(F.col("lat") - F.col("pla")) + F.abs(F.col("lng") - F.col("pln"))) >= 0.0001).select("session_id", "raw_id", F.round(geo.bearing(F.col("pla"), F.col("pln"), F.col("lat"), F.col("lng")), 6).alias("heading"))
+    trusted = x.decision.where("result IN ('accept', 'anchor')").select("session_id", "decision_id", "line_no", "raw_id").join(x.fix.select("session_id", "raw_id", "lat", "lng"), ["session_id", "raw_id"])
+    rows = trusted.withColumns({"pla": F.lag("lat").over(o), "pln": F.lag("lng").over(o)})
+    there = F.col("pla"), F.col("pln"), F.col("lat"), F.col("lng")
+    return rows.select("session_id", "decision_id", F.when(geo.haversine(*there) >= O.HEADING_METRES, F.round(geo.bearing(*there), 6)).alias("heading"))
 
 
 @query("heading_reliability", """, s AS (SELECT session_id, raw_id, seq * 700000000 AS t, bearing AS heading, CAST(15 + raw_id % 60 AS DOUBLE) AS field, CAST(raw_id % 8 AS DOUBLE) / 10 AS gyro, raw_id % 10 <> 0 AS accurate, CASE WHEN raw_id % 12 = 0 THEN 600000000 ELSE 100000000 END AS late FROM fix),
@@ -105,31 +106,35 @@ def heading_reliability(x):
     return O.heading_reliability(s).select("session_id", "raw_id", "n", F.round("top_gyro", 6).alias("top_gyro"), "verdict")
 
 
-@query("time_markers", """, p AS (SELECT session_id, line_no AS ord, t, lat, lng FROM fix WHERE raw_id % 53 <> 0 AND lat <> 0),
-w AS (SELECT *, lag(t) OVER o AS pt, lag(lat) OVER o AS pla, lag(lng) OVER o AS pln, first_value(t) OVER o AS ft FROM p WINDOW o AS (PARTITION BY session_id ORDER BY ord)),
-m AS (SELECT *, unnest(range((pt - ft) // 60000000000 + 1, (t - ft) // 60000000000 + 1)) AS k FROM w WHERE t > pt)
-SELECT session_id, CAST(k AS BIGINT) AS k, CAST(ft + k * 60000000000 AS BIGINT) AS t, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat, round(pln + (lng - pln) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lng FROM m""", "fix")
+#: Marks at whole multiples of `every` after a part's first point; a step back in time bears none, and time that was passed before is not passed again.
+MARKERS = """, w AS (SELECT *, lag(t) OVER o AS pt, lag(lat) OVER o AS pla, lag(lng) OVER o AS pln, first_value(t) OVER o AS ft, max(t) OVER (PARTITION BY session_id, part ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p WINDOW o AS (PARTITION BY session_id, part ORDER BY ord)),
+m AS (SELECT *, unnest(range((greatest(pt, top) - ft) // {every} + 1, (t - ft) // {every} + 1)) AS k FROM w WHERE t > pt)"""
+MARKERS_10 = MARKERS.replace("{every}", "600000000000")
+
+
+@query("time_markers", ", p AS (SELECT session_id, 0 AS part, line_no AS ord, t, lat, lng FROM fix WHERE lat <> 0)" + MARKERS_10 + """
+SELECT session_id, CAST(k AS BIGINT) AS k, CAST(ft + k * 600000000000 AS BIGINT) AS t, round(pla + (lat - pla) * ((ft + k * 600000000000 - pt) / (t - pt)), 9) AS lat, round(pln + (lng - pln) * ((ft + k * 600000000000 - pt) / (t - pt)), 9) AS lng FROM m WHERE ft + k * 600000000000 >= pt""", "fix")
 def time_markers(x):
     p = x.fix.where("lat <> 0").select("session_id", F.col("line_no").alias("ord"), "t", "lat", "lng")
-    return O.time_markers(p, 60_000_000_000).withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
+    return O.time_markers(p).withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
 
 
 @query("pressure_throttle", """, s AS (SELECT session_id, line_no, sample_id, t, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rn FROM pressure),
 r AS (SELECT session_id, sample_id, t, rn, t AS kept, true AS keep FROM s WHERE rn = 1 UNION ALL
-  SELECT s.session_id, s.sample_id, s.t, s.rn, CASE WHEN s.t - r.kept >= 5000000000 THEN s.t ELSE r.kept END, s.t - r.kept >= 5000000000 FROM r JOIN s ON s.session_id = r.session_id AND s.rn = r.rn + 1)
+  SELECT s.session_id, s.sample_id, s.t, s.rn, CASE WHEN s.t - r.kept >= 1000000000 THEN s.t ELSE r.kept END, s.t - r.kept >= 1000000000 FROM r JOIN s ON s.session_id = r.session_id AND s.rn = r.rn + 1)
 SELECT session_id, sample_id FROM r WHERE keep""", "pressure")
 def pressure_throttle(x):
-    return O.throttled(x.pressure, 5_000_000_000).select("session_id", "sample_id")
+    return O.throttled(x.pressure).select("session_id", "sample_id")
 
 
 @query("dedup_live_points", """, s AS (SELECT session_id, raw_id, round(lat, 4) AS lat, round(lng, 4) AS lng, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rn FROM fix),
 r AS (SELECT session_id, raw_id, rn, lat, lng, true AS keep FROM s WHERE rn = 1 UNION ALL
   SELECT s.session_id, s.raw_id, s.rn, CASE WHEN abs(s.lat - r.lat) > 1e-7 OR abs(s.lng - r.lng) > 1e-7 THEN s.lat ELSE r.lat END, CASE WHEN abs(s.lat - r.lat) > 1e-7 OR abs(s.lng - r.lng) > 1e-7 THEN s.lng ELSE r.lng END,
     abs(s.lat - r.lat) > 1e-7 OR abs(s.lng - r.lng) > 1e-7 FROM r JOIN s ON s.session_id = r.session_id AND s.rn = r.rn + 1)
-SELECT session_id, raw_id FROM r WHERE keep""", "fix")
+SELECT session_id, raw_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rn DESC) AS newest FROM r WHERE keep) WHERE newest <= 1000""", "fix")
 def dedup_live_points(x):
     rows = x.fix.withColumns({"lat": F.round("lat", 4), "lng": F.round("lng", 4)})
-    return O.distinct_steps(rows).select("session_id", "raw_id")
+    return O.newest(O.distinct_steps(rows), O.LIVE_POINTS).select("session_id", "raw_id")
 
 
 @query("motion_windows", """, s AS (SELECT session_id, t1 // 1000000 * 250000 AS t, rms AS d, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rn FROM motion),
@@ -137,10 +142,10 @@ r AS (SELECT session_id, rn, t, t AS t0, CAST(1 AS BIGINT) AS n, d * d AS sq, fa
   SELECT s.session_id, s.rn, s.t, CASE WHEN r.closed THEN s.t ELSE r.t0 END, CASE WHEN r.closed THEN 1 ELSE r.n + 1 END, CASE WHEN r.closed THEN 0 ELSE r.sq END + s.d * s.d,
     CASE WHEN r.closed THEN false ELSE s.t - r.t0 >= 1000000000 END, r.wid + CASE WHEN r.closed THEN 1 ELSE 0 END FROM r JOIN s ON s.session_id = r.session_id AND s.rn = r.rn + 1),
 l AS (SELECT *, row_number() OVER (PARTITION BY session_id, wid ORDER BY rn DESC) AS last FROM r)
-SELECT session_id, wid AS window_id, t0, t AS t1, n AS samples, round(sqrt(sq / n), 6) AS rms, round(least(1, greatest(0, 1 - sqrt(sq / n) / 0.3)), 6) AS score FROM l WHERE last = 1""", "motion")
+SELECT session_id, wid AS window_id, t0, t AS t1, n AS samples, round(sqrt(sq / n), 6) AS rms, round(least(1, greatest(0, 1 - sqrt(sq / n) / 0.3)), 6) AS score, n >= 5 AND 1 - sqrt(sq / n) / 0.3 >= 0.7 AS still FROM l WHERE last = 1""", "motion")
 def motion_windows(x):
     s = x.motion.select("session_id", "line_no", (F.expr("t1 DIV 1000000") * 250000).alias("t"), F.col("rms").alias("dynamic"))
-    return O.motion_windows(s).select("session_id", "window_id", "t0", "t1", "samples", F.round("rms", 6).alias("rms"), F.round("score", 6).alias("score"))
+    return O.motion_windows(s).select("session_id", "window_id", "t0", "t1", "samples", F.round("rms", 6).alias("rms"), F.round("score", 6).alias("score"), "still")
 
 
 def ascent_sql(rows: str, alpha: float, climb: str, drop: str, climb_s: str, gap: str, name: str = "asc_") -> str:
@@ -160,8 +165,11 @@ def ascent_sql(rows: str, alpha: float, climb: str, drop: str, climb_s: str, gap
 """
 
 
+ANCHORS = "'first_fix_good', 'first_fix_relaxed', 'forced_weak_first_fix', 'gap_recovery', 'transport_recovery', 'rest_moving_recovery', 'stationary_anchor_refined'"
 BARO_ROWS = "SELECT session_id, line_no AS ord, t, alt, CAST(0 AS DOUBLE) AS vacc, false AS reset, hpa <= 0 AS bad FROM pressure"
-SAT_ROWS = "SELECT session_id, line_no AS ord, t, alt, vacc, seq = 1 OR raw_id % 29 = 0 AS reset, false AS bad FROM fix WHERE alt IS NOT NULL AND vacc > 0 AND vacc <= 12 AND acc > 0 AND acc <= 30"
+#: Track points: those of an anchor's reason restart the fold, of the others only steps of five metres are samples.
+SAT_ROWS = f"SELECT d.session_id, d.line_no AS ord, f.t, f.alt, f.vacc, d.reason IN ({ANCHORS}) AS reset, false AS bad FROM decision d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE f.alt IS NOT NULL AND f.vacc > 0 AND f.vacc <= 12 AND f.acc > 0 AND f.acc <= 30 AND (d.reason IN ({ANCHORS}) OR d.reason = 'moving_good_fix' AND d.metres >= 5)"
+BARO_POINT_ROWS = f"SELECT d.session_id, d.line_no AS ord, p.t, p.alt, CAST(0 AS DOUBLE) AS vacc, d.reason IN ({ANCHORS}) AS reset, false AS bad FROM decision d JOIN pressure p ON d.session_id = p.session_id AND d.decision_id = p.sample_id WHERE p.hpa > 0 AND d.point_id IS NOT NULL AND d.reason NOT IN ('transport_suspected', 'transport_confirmed', 'impossible_speed')"
 
 
 def barometer_rows(x):
@@ -169,8 +177,14 @@ def barometer_rows(x):
 
 
 def satellite_rows(x):
-    sound = A.sound_satellite(F.col("alt"), F.col("vacc"), F.col("acc"))
-    return x.fix.where(sound).select("session_id", F.col("line_no").alias("ord"), "t", "alt", "vacc", ((F.col("seq") == 1) | (F.col("raw_id") % 29 == 0)).alias("reset"), F.lit(False).alias("bad"))
+    points = x.decision.select("session_id", F.col("line_no").alias("ord"), "raw_id", "reason", "metres").join(x.fix.select("session_id", "raw_id", "t", "alt", "vacc", "acc"), ["session_id", "raw_id"])
+    return A.satellite_samples(points)
+
+
+def barometer_point_rows(x):
+    own = x.pressure.select("session_id", F.col("sample_id").alias("decision_id"), "t", "alt", "hpa")
+    points = x.decision.where("point_id IS NOT NULL").select("session_id", F.col("line_no").alias("ord"), "decision_id", "reason").join(own, ["session_id", "decision_id"])
+    return A.barometer_samples(points)
 
 
 BARO_SQL = ascent_sql(BARO_ROWS, 0.35, "3", "1.5", "3", "s.t - r.lt > 30000000000", "baro")
@@ -182,12 +196,28 @@ def ascent_baro(x):
     return A.fold(barometer_rows(x), A.BAROMETER, A.BAROMETER_GAP).withColumn("ascent", F.round("ascent", 6))
 
 
-@query("ascent_gnss", SAT_SQL + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM sat_", "fix")
+@query("ascent_baro_points", ascent_sql(BARO_POINT_ROWS, 0.35, "3", "1.5", "3", "s.t - r.lt > 30000000000", "bp_") + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM bp_", "pressure decision")
+def ascent_baro_points(x):
+    return A.fold(barometer_point_rows(x), A.BAROMETER, A.BAROMETER_GAP).withColumn("ascent", F.round("ascent", 6))
+
+
+#: Heights of the ground under the track, where a raster has them: here by whole-number arithmetic from the place.
+TERRAIN_ROWS = "SELECT session_id, line_no AS ord, t, 400 + CAST((raw_id * 13) % 40 AS DOUBLE) / 4 AS alt, CAST(0 AS DOUBLE) AS vacc, seq = 1 AS reset, raw_id % 83 = 0 AS bad FROM fix"
+
+
+@query("ascent_terrain", ascent_sql(TERRAIN_ROWS, 0.25, "5", "3", "5", "false", "dem_") + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM dem_", "fix")
+def ascent_terrain(x):
+    ground = 400 + ((F.col("raw_id") * 13) % 40).cast("double") / 4
+    rows = x.fix.select("session_id", F.col("line_no").alias("ord"), "t", ground.alias("alt"), F.lit(0.0).alias("vacc"), (F.col("seq") == 1).alias("reset"), (F.col("raw_id") % 83 == 0).alias("bad"))
+    return A.fold(rows, A.TERRAIN).withColumn("ascent", F.round("ascent", 6))
+
+
+@query("ascent_gnss", SAT_SQL + " SELECT session_id, round(ascent, 6) AS ascent, n, rejected FROM sat_", "fix decision")
 def ascent_gnss(x):
     return A.fold(satellite_rows(x), A.SATELLITE).withColumn("ascent", F.round("ascent", 6))
 
 
-@query("ascent_selected", BARO_SQL + SAT_SQL + """ SELECT session_id, round(CASE WHEN b.ascent >= 0 THEN b.ascent WHEN s.ascent >= 0 THEN s.ascent ELSE -1 END, 6) AS ascent, CASE WHEN b.ascent >= 0 THEN 'BAROMETER' WHEN s.ascent >= 0 THEN 'GNSS' ELSE 'NONE' END AS source FROM baro b FULL JOIN sat_ s USING (session_id)""", "pressure fix")
+@query("ascent_selected", BARO_SQL + SAT_SQL + """ SELECT session_id, round(CASE WHEN b.ascent >= 0 THEN b.ascent WHEN s.ascent >= 0 THEN s.ascent ELSE -1 END, 6) AS ascent, CASE WHEN b.ascent >= 0 THEN 'BAROMETER' WHEN s.ascent >= 0 THEN 'GNSS' ELSE 'NONE' END AS source FROM baro b FULL JOIN sat_ s USING (session_id)""", "pressure fix decision")
 def ascent_selected(x):
     return A.selected(A.fold(barometer_rows(x), A.BAROMETER, A.BAROMETER_GAP), A.fold(satellite_rows(x), A.SATELLITE)).withColumn("ascent", F.round("ascent", 6))
 
@@ -218,27 +248,32 @@ def timeline_union(x):
     return u.select("session_id", "kind", "id", F.row_number().over(W.partitionBy("session_id").orderBy("t", "line_no")).cast("long").alias("pos"))
 
 
-@query("points_in_order", "SELECT session_id, raw_id, row_number() OVER (PARTITION BY session_id ORDER BY t, raw_id) AS by_time, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN has_t THEN t ELSE wall * 1000000 END, line_no) AS by_either FROM fix", "fix")
+@query("points_in_order", "SELECT session_id, raw_id, row_number() OVER (PARTITION BY session_id ORDER BY t, raw_id) AS by_time, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN has_t THEN t ELSE wall * 1000000 END, line_no) AS by_either, row_number() OVER (PARTITION BY session_id ORDER BY t // 20000000000, CASE WHEN raw_id % 11 IN (1, 2) THEN 1 ELSE 0 END, line_no) AS trusted_first FROM fix", "fix")
 def points_in_order(x):
     either = F.when(F.col("has_t"), F.col("t")).otherwise(F.col("wall") * 1_000_000)
     rank = lambda *o: F.row_number().over(W.partitionBy("session_id").orderBy(*o)).cast("long")
-    return x.fix.select("session_id", "raw_id", rank("t", "raw_id").alias("by_time"), rank(either, "line_no").alias("by_either"))
+    return x.fix.select("session_id", "raw_id", rank("t", "raw_id").alias("by_time"), rank(either, "line_no").alias("by_either"), rank(F.expr("t DIV 20000000000"), F.when(F.col("raw_id") % 11 < 3, (F.col("raw_id") % 11 > 0).cast("int")).otherwise(0), "line_no").alias("trusted_first"))
 
 
-@query("newest_sessions", "SELECT session_id, created FROM manifest ORDER BY created DESC, session_id LIMIT 20", "manifest")
+@query("newest_sessions", "SELECT session_id, created FROM manifest ORDER BY created DESC, session_id", "manifest")
 def newest_sessions(x):
     return x.manifest.orderBy(F.desc("created"), "session_id").select("session_id", "created")
 
 
-@query("kept_last_300", ", l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn, max(t) OVER (PARTITION BY session_id) AS top FROM snap) SELECT session_id, snap_id FROM l WHERE rn <= 20 AND top - t <= 300000000000", "snap")
+@query("kept_last_300", ", l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rn, max(t) OVER (PARTITION BY session_id) AS top FROM snap) SELECT session_id, snap_id FROM l WHERE rn <= 300 AND top - t <= 300000000000", "snap")
 def kept_last(x, rows: int = 300, age: int = 300_000_000_000):
     w = W.partitionBy("session_id")
     return x.snap.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("line_no"))), "top": F.max("t").over(w)}).where((F.col("rn") <= rows) & (F.col("top") - F.col("t") <= age)).select("session_id", "snap_id")
 
 
-@query("first_exportable", "SELECT session_id FROM manifest WHERE log_exists AND read_status = 'OK' ORDER BY created DESC, session_id LIMIT 1", "manifest")
+@query("first_exportable", """SELECT kind, session_id FROM (SELECT 'log' AS kind, session_id, row_number() OVER (ORDER BY created DESC, session_id) AS rn FROM manifest WHERE log_exists UNION ALL
+ SELECT 'track', session_id, row_number() OVER (ORDER BY created DESC, session_id) FROM manifest WHERE read_status = 'OK' AND completion = 'FINISHED' AND integrity = 'OK' AND points > 0 AND gpx_exists) WHERE rn = 1""", "manifest")
 def first_exportable(x):
-    return x.manifest.where("log_exists AND read_status = 'OK'").orderBy(F.desc("created"), "session_id").limit(1).select("session_id")
+    from ..functions.fields import can_export
+
+    whole = can_export(*[F.col(n) for n in ("read_status", "completion", "integrity", "points", "gpx_exists")])
+    first = lambda kind, which: x.manifest.where(which).orderBy(F.desc("created"), "session_id").limit(1).select(F.lit(kind).alias("kind"), "session_id")
+    return first("log", F.col("log_exists")).unionByName(first("track", whole))
 
 
 @query("map_points_union", "SELECT session_id, decision_id, 'trusted' AS layer FROM decision WHERE result IN ('accept', 'anchor') UNION ALL SELECT session_id, decision_id, 'weak' FROM decision WHERE result = 'weak' UNION ALL SELECT session_id, decision_id, 'transport' FROM decision WHERE reason IN ('transport_suspected', 'transport_confirmed')", "decision")
