@@ -88,3 +88,12 @@ def latest_before(rows: DataFrame, other: DataFrame, fields: list[str], valid: F
     b = o.select("session_id", "line_no", F.lit(0).alias("of_"), F.struct(*fields).alias("seen_"))
     w = W.partitionBy("session_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     return a.unionByName(b, allowMissingColumns=True).withColumn("latest", F.last("seen_", ignorenulls=True).over(w)).where("of_ = 1").drop("of_", "seen_")
+
+
+def diagnostic_points(fixes: DataFrame, decisions: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Fixes with result and reason of their last decision (null: none), and the snapshot that it, else the fix, names."""
+    last = decisions.groupBy("session_id", "raw_id").agg(F.max_by(F.struct("result", "reason", "snap_id"), "line_no").alias("d"))
+    rows = fixes.join(last, ["session_id", "raw_id"], "left").withColumn("wanted", F.coalesce("d.snap_id", "snap_id"))
+    s = snaps.select(F.col("session_id").alias("s_session"), F.col("snap_id").alias("linked_id"), "used", "used_cn0", "top4_cn0", "all_cn0")
+    joined = rows.join(s, (F.col("session_id") == F.col("s_session")) & (F.col("wanted") == F.col("linked_id")), "left")
+    return joined.select("session_id", "raw_id", "acc", "stale", "d.result", "d.reason", "linked_id", "used", "used_cn0", "top4_cn0", "all_cn0")

@@ -33,7 +33,8 @@ def weak_signal(decisions: DataFrame, fixes: DataFrame, gaps: DataFrame, status:
     r = fixes.groupBy("session_id").agg(F.count("*").alias("raw_n"), F.count_if("stale").alias("stale_n"))
     g = gaps.groupBy("session_id").agg(F.count("before_top4").alias("before_n"), F.count("after_top4").alias("after_n"), F.coalesce(F.avg("before_top4"), F.lit(0.0)).alias("before_top4"), F.coalesce(F.avg("after_top4"), F.lit(0.0)).alias("after_top4"))
     s = status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count("*").alias("timeout_n"), (F.max("waited") / 1000.0).alias("timeout_max"))
-    out = r.join(d, "session_id", "left").join(g, "session_id", "left").join(s, "session_id", "left").fillna(0)
+    # A session may have decisions, or a timeout, and no fix.
+    out = r.join(d, "session_id", "full").join(g, "session_id", "left").join(s, "session_id", "full").fillna(0)
     stale = F.when(F.col("raw_n") > 0, F.col("stale_n") / F.col("raw_n")).otherwise(0.0)
     c = F.col
     findings = chosen(
@@ -45,20 +46,77 @@ def weak_signal(decisions: DataFrame, fixes: DataFrame, gaps: DataFrame, status:
     return out.withColumn("stale_ratio", stale).withColumn("findings", F.when(quiet, F.array(F.lit("NONE"))).otherwise(findings))
 
 
+#: What a sample report leaves out: power, and how other maps read the tracks.
+NOT_JUDGED = ("POWER", "MAP_COMPATIBILITY")
+
+
+def sample_counts(fixes: DataFrame, decisions: DataFrame, policies: DataFrame, status: DataFrame, snaps: DataFrame, motions: DataFrame) -> DataFrame:
+    """The counts of a session's log by kind of event, and its times; one row for each session that has any."""
+    from .windows import earlier
+
+    one = F.lit(1)
+    top = F.max(F.when(F.col("t") > 0, F.col("t"))).over(earlier("line_no"))
+    gap = F.when(F.col("t") > F.col("top"), (F.col("t") - F.col("top")) / 1e9)
+    r = fixes.withColumn("top", top).groupBy("session_id").agg(
+        F.count(one).alias("raw_n"), F.count_if("stale").alias("stale_n"), ((F.max("t") - F.min_by("t", F.when(F.col("t") > 0, F.col("line_no")))) / 1e9).alias("raw_seconds"), F.count_if(gap > 60).alias("long_gaps"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("longest_gap"))
+    why, res = F.col("reason"), F.col("result")
+    rides = ((res == "reject") & why.isin("transport_suspected", "transport_confirmed")) | ((res == "accept") & (why == "transport_recovery"))
+    d = decisions.groupBy("session_id").agg(
+        F.count(one).alias("decision_n"), trusted_points().alias("trusted_n"), F.count_if(res == "weak").alias("weak_n"), F.count_if(res == "reject").alias("reject_n"), F.count_if(why == "gap_recovery").alias("gap_n"),
+        F.count_if((why == "gap_recovery") & (F.col("metres") == 0) & (F.col("moving") == 0)).alias("gap_zero_n"), F.count_if(rides).alias("ride_n"))
+    p = policies.groupBy("session_id").agg(F.count(one).alias("policy_n"), F.count_if(F.col("min_distance") != 0).alias("distance_requests"))
+    s = status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count(one).alias("timeout_n"))
+    events = fixes.select("session_id", "line_no", F.col("recv").alias("t"))
+    for other, at in ((decisions, "t"), (policies, "t"), (status, "t"), (motions, "t1")):
+        events = events.unionAll(other.select("session_id", "line_no", at))
+    span = F.greatest(F.lit(0).cast("long"), F.max("t") - F.min_by("t", "line_no")) / 1e9
+    out = events.where("t > 0").groupBy("session_id").agg(span.alias("diagnostic_seconds"))
+    for counts in (r, d, p, s, snaps.groupBy("session_id").agg(F.count(one).alias("snap_n")), motions.groupBy("session_id").agg(F.count(one).alias("motion_n"))):
+        out = out.join(counts, "session_id", "full")
+    return out
+
+
+def evidence(sessions: DataFrame, points: DataFrame, decisions: DataFrame, status: DataFrame) -> DataFrame:
+    """Counts, averages and findings (level:CODE) of each session, also of one without fixes or decisions.
+
+    sessions: session_id, bad_lines. points: fixes with their last decision's result and reason, and their snapshot.
+    """
+    has = F.col("linked_id").isNotNull()
+
+    def totals(kind: str, cond: Column) -> list[Column]:
+        linked = F.count_if(cond & has)
+        averages = [F.coalesce(F.try_divide(F.sum(F.when(cond & has, F.coalesce(F.col(m), F.lit(0)))), linked), F.lit(0.0)).alias(f"{kind}_{m}") for m in ("used", "used_cn0", "top4_cn0", "all_cn0")]
+        return [F.count_if(cond).alias(f"{kind}_n"), linked.alias(f"{kind}_linked"), F.coalesce(F.avg(F.when(cond, F.col("acc"))), F.lit(0.0)).alias(f"{kind}_acc"), *averages]
+
+    c = F.col
+    m = points.groupBy("session_id").agg(F.count(F.lit(1)).alias("raw_n"), F.count_if("stale").alias("stale_n"), F.count_if(c("reason") == "gap_recovery").alias("gap_n"),
+                                         *totals("weak", c("result") == "weak"), *totals("reject", c("result") == "reject"), *totals("ride", c("reason").startswith("transport_")))
+    d = decisions.groupBy("session_id").agg(F.count(F.lit(1)).alias("decision_n"))
+    t = status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count(F.lit(1)).alias("timeout_n"), (F.max("waited") / 1000.0).alias("timeout_max"))
+    out = sessions.join(m, "session_id", "left").join(d, "session_id", "left").join(t, "session_id", "left").fillna(0)
+    findings = chosen(
+        ("fail:PARSE_ERRORS", c("bad_lines") > 0), ("fail:NO_RAW", c("raw_n") == 0), ("fail:NO_DECISION", c("decision_n") == 0), ("review:RAW_DECISION_COUNT", (c("raw_n") > 0) & (c("decision_n") > 0) & (c("raw_n") != c("decision_n"))),
+        ("review:WEAK_UNLINKED", c("weak_n") > c("weak_linked")), ("review:REJECT_UNLINKED", c("reject_n") > c("reject_linked")), ("review:STALE_RATIO", (c("raw_n") > 0) & (F.try_divide(c("stale_n"), c("raw_n")) > 0.2)),
+        ("review:WEAK_LOW_CN0", (c("weak_n") > 0) & (c("weak_used_cn0") > 0) & (c("weak_used_cn0") < 25)), ("review:WEAK_FEW_SATS", (c("weak_n") > 0) & (c("weak_used") > 0) & (c("weak_used") < 5)),
+        ("review:GAP_OR_NO_FIX", (c("gap_n") > 0) | (c("timeout_n") > 0)), ("info:TRANSPORT_GOOD_SIGNAL", (c("ride_n") > 0) & (c("ride_used_cn0") >= 25)),
+    )
+    return out.withColumn("findings", F.when(F.size(findings) > 0, findings).otherwise(F.array(F.lit("pass:COMPLETE"))))
+
+
 def sample_verdict(m: DataFrame) -> DataFrame:
     """Verdict and rule codes of a session. m: one row a session with the counts of manifest and log."""
     c = F.col
     blocking = chosen(
-        ("MANIFEST_UNREADABLE", c("read_status") != "OK"), ("LOG_MISSING", ~c("log_exists")), ("NOT_FINISHED", c("completion") != "FINISHED"), ("INTEGRITY", c("integrity") != "OK"), ("NO_RAW", c("raw_n") == 0), ("NO_DECISION", c("decision_n") == 0),
-        ("NO_TRACK_POINT", c("points") <= 0), ("RAW_COUNT", c("raws") != c("raw_n")), ("TRACK_COUNT", c("points") != c("trusted_n")), ("WEAK_COUNT", c("weaks") != c("weak_n")), ("RAW_DECISION_COUNT", c("raw_n") != c("decision_n")),
+        ("MANIFEST_UNREADABLE", c("read_status") != "OK"), ("LOG_MISSING", ~c("log_exists")), ("LOG_STATUS", c("log_status") != "OK"), ("LOG_PARSE", c("parse_failed")), ("NOT_FINISHED", c("completion") != "FINISHED"), ("INTEGRITY", c("integrity") != "OK"), ("NO_RAW", c("raw_n") == 0), ("NO_DECISION", c("decision_n") == 0),
+        ("NO_TRACK_POINT", c("points") <= 0), ("RAW_COUNT", c("raws") != c("raw_n")), ("TRACK_COUNT", c("points") != c("trusted_n")), ("WEAK_COUNT", c("weaks") != c("weak_n")), ("GAP_COUNT", c("gaps") != c("gap_n")), ("RAW_DECISION_COUNT", c("raw_n") != c("decision_n")),
         ("MIN_DISTANCE", c("distance_requests") > 0), ("GAP_DELTA", c("gap_n") != c("gap_zero_n")),
     )
     minutes = c("raw_seconds") / 60.0
     review = chosen(
         ("SEQ_MISMATCH", c("last_seq") != c("log_seq")), ("SHORT", minutes < 30), ("LONG", minutes > 65), ("SLIGHTLY_LONG", (minutes > 60) & (minutes <= 65)), ("RAW_INTERVAL", c("long_gaps") > 0), ("MEAN_INTERVAL", c("mean_gap") > 15),
-        ("NO_POLICY", c("policy_n") == 0), ("TIMEOUT", c("timeout_n") > 0), ("TRANSPORT", c("ride_n") > 0), ("WEAK_RATIO", (c("decision_n") > 0) & (c("weak_n") / c("decision_n") > 0.30)), ("REJECT_RATIO", (c("decision_n") > 0) & (c("reject_n") / c("decision_n") > 0.50)),
+        ("NO_POLICY", c("policy_n") == 0), ("TIMEOUT", c("timeout_n") > 0), ("TRANSPORT", c("ride_n") > 0), ("WEAK_RATIO", F.try_divide(c("weak_n"), c("decision_n")) > 0.30), ("REJECT_RATIO", F.try_divide(c("reject_n"), c("decision_n")) > 0.50),
     )
-    out = m.withColumns({"blocking": blocking, "review": review})
+    out = m.withColumns({"blocking": blocking, "review": review, "excluded": F.array(*map(F.lit, NOT_JUDGED))})
     return out.withColumn("verdict", F.when(F.size("blocking") > 0, "FAIL").when(F.size("review") > 0, "REVIEW").otherwise("PASS"))
 
 
@@ -120,15 +178,17 @@ def consistency(sessions: DataFrame, batch: str = "batch") -> tuple[DataFrame, D
     return devices, batches
 
 
+#: Constellation numbers by the name of their counts; the rest are unknown or other.
+SYSTEMS_SQL = {"gps": "kind = 1", "sbas": "kind = 2", "glonass": "kind = 3", "qzss": "kind = 4", "beidou": "kind = 5", "galileo": "kind = 6", "irnss": "kind = 7", "unknown": "kind = 0", "other": "kind > 7"}
+
+
 def satellite_summary(sats: DataFrame, keys: list[str]) -> DataFrame:
     """One quality snapshot of each set of satellites."""
-    from ..functions.geo import CONSTELLATIONS
-
     used, cn0 = F.col("used"), F.col("cn0")
     ranked = F.slice(F.sort_array(F.collect_list("cn0"), asc=False), 1, 4)
     kinds = []
-    for number, name in CONSTELLATIONS.items():
-        kinds += [F.count_if(F.col("kind") == number).alias(f"{name.lower()}_visible"), F.count_if((F.col("kind") == number) & used).alias(f"{name.lower()}_used")]
+    for name, which in SYSTEMS_SQL.items():
+        kinds += [F.count_if(F.expr(which)).alias(f"{name}_visible"), F.count_if(F.expr(which) & used).alias(f"{name}_used")]
     first = F.min_by("carrier", F.when(F.col("carrier") > 0, F.col("ord")))
     return sats.groupBy(*keys).agg(
         F.count("*").alias("visible"), F.count_if(used).alias("used"), mean(used & (cn0 > 0), cn0).alias("used_cn0"), mean(cn0 > 0, cn0).alias("all_cn0"), F.aggregate(ranked, F.lit(0.0), lambda a, b: a + b).alias("top4_sum"), F.size(ranked).alias("top4_n"),

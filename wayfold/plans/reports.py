@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 
 from ..operators import joins as J
 from ..operators import reports as R
-from .joins import GAPS, LINKED
+from ..sources import jsonl
+from . import decide as D
+from .joins import FOLD, GAPS, LINKED
 from .registry import query
 
 
@@ -49,36 +51,29 @@ def decision_gnss_metrics(x):
     return linked(x).groupBy("result").agg(F.count("*").alias("n"), F.count("linked_id").alias("linked"), F.round(F.avg("used_cn0"), 6).alias("cn0"), F.round(F.avg("top4_cn0"), 6).alias("top4"), F.round(F.avg(F.when(F.col("raw_acc") > 0, F.col("raw_acc"))), 6).alias("acc"))
 
 
-SAMPLE_SQL = """, iv AS (SELECT *, max(CASE WHEN t > 0 THEN t END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM fix),
-r AS (SELECT session_id, count(*) AS raw_n, (max(t) - arg_min(t, line_no) FILTER (WHERE t > 0)) / 1e9 AS raw_seconds, count(*) FILTER (WHERE t > top AND t - top > 60000000000) AS long_gaps, coalesce(avg(CASE WHEN t > top THEN (t - top) / 1e9 END), 0) AS mean_gap FROM iv GROUP BY 1),
+_SAMPLE_COUNTS = ("raw_n", "stale_n", "decision_n", "trusted_n", "weak_n", "reject_n", "gap_n", "gap_zero_n", "ride_n", "policy_n", "distance_requests", "timeout_n", "snap_n", "motion_n", "long_gaps")
+_SAMPLE_PARTS = ("raw_seconds", "diagnostic_seconds", "mean_gap", "longest_gap")
+SAMPLE_SQL = """, iv AS (SELECT *, max(CASE WHEN t > 0 THEN t END) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM log_fix),
+r AS (SELECT session_id, count(*) AS raw_n, count(*) FILTER (WHERE stale) AS stale_n, (max(t) - arg_min(t, line_no) FILTER (WHERE t > 0)) / 1e9 AS raw_seconds, count(*) FILTER (WHERE t > top AND t - top > 60000000000) AS long_gaps, coalesce(avg(CASE WHEN t > top THEN (t - top) / 1e9 END), 0) AS mean_gap, coalesce(max(CASE WHEN t > top THEN (t - top) / 1e9 END), 0) AS longest_gap FROM iv GROUP BY 1),
 d AS (SELECT session_id, count(*) AS decision_n, count(DISTINCT CASE WHEN result IN ('anchor', 'accept') AND point_id > 0 THEN point_id END) + count(*) FILTER (WHERE result IN ('anchor', 'accept') AND NOT coalesce(point_id > 0, false)) AS trusted_n, count(*) FILTER (WHERE result = 'weak') AS weak_n,
-  count(*) FILTER (WHERE result = 'reject') AS reject_n, count(*) FILTER (WHERE reason = 'gap_recovery') AS gap_n, count(*) FILTER (WHERE reason = 'gap_recovery' AND metres = 0 AND moving = 0) AS gap_zero_n, count(*) FILTER (WHERE (result = 'reject' AND reason IN ('transport_suspected', 'transport_confirmed')) OR (result = 'accept' AND reason = 'transport_recovery')) AS ride_n FROM decision GROUP BY 1),
+  count(*) FILTER (WHERE result = 'reject') AS reject_n, count(*) FILTER (WHERE reason = 'gap_recovery') AS gap_n, count(*) FILTER (WHERE reason = 'gap_recovery' AND metres = 0 AND moving = 0) AS gap_zero_n, count(*) FILTER (WHERE (result = 'reject' AND reason IN ('transport_suspected', 'transport_confirmed')) OR (result = 'accept' AND reason = 'transport_recovery')) AS ride_n FROM log_decision GROUP BY 1),
 p AS (SELECT session_id, count(*) AS policy_n, count(*) FILTER (WHERE min_distance <> 0) AS distance_requests FROM policy GROUP BY 1), s AS (SELECT session_id, count(*) AS timeout_n FROM status WHERE kind = 'no_location_timeout' GROUP BY 1),
-j AS (SELECT m.*, raw_n, raw_seconds, long_gaps, mean_gap, decision_n, trusted_n, weak_n, reject_n, gap_n, gap_zero_n, ride_n, coalesce(policy_n, 0) AS policy_n, coalesce(distance_requests, 0) AS distance_requests, coalesce(timeout_n, 0) AS timeout_n FROM manifest m JOIN r USING (session_id) JOIN d USING (session_id) LEFT JOIN p USING (session_id) LEFT JOIN s USING (session_id)),
-f AS (SELECT *, concat_ws(',', CASE WHEN read_status <> 'OK' THEN 'MANIFEST_UNREADABLE' END, CASE WHEN NOT log_exists THEN 'LOG_MISSING' END, CASE WHEN completion <> 'FINISHED' THEN 'NOT_FINISHED' END, CASE WHEN integrity <> 'OK' THEN 'INTEGRITY' END, CASE WHEN raw_n = 0 THEN 'NO_RAW' END, CASE WHEN decision_n = 0 THEN 'NO_DECISION' END,
-  CASE WHEN points <= 0 THEN 'NO_TRACK_POINT' END, CASE WHEN raws <> raw_n THEN 'RAW_COUNT' END, CASE WHEN points <> trusted_n THEN 'TRACK_COUNT' END, CASE WHEN weaks <> weak_n THEN 'WEAK_COUNT' END, CASE WHEN raw_n <> decision_n THEN 'RAW_DECISION_COUNT' END, CASE WHEN distance_requests > 0 THEN 'MIN_DISTANCE' END, CASE WHEN gap_n <> gap_zero_n THEN 'GAP_DELTA' END) AS blocking,
- concat_ws(',', CASE WHEN last_seq <> log_seq THEN 'SEQ_MISMATCH' END, CASE WHEN raw_seconds < 1800 THEN 'SHORT' END, CASE WHEN raw_seconds > 3900 THEN 'LONG' END, CASE WHEN raw_seconds > 3600 AND raw_seconds <= 3900 THEN 'SLIGHTLY_LONG' END, CASE WHEN long_gaps > 0 THEN 'RAW_INTERVAL' END, CASE WHEN mean_gap > 15 THEN 'MEAN_INTERVAL' END, CASE WHEN policy_n = 0 THEN 'NO_POLICY' END,
-  CASE WHEN timeout_n > 0 THEN 'TIMEOUT' END, CASE WHEN ride_n > 0 THEN 'TRANSPORT' END, CASE WHEN weak_n / decision_n > 0.3 THEN 'WEAK_RATIO' END, CASE WHEN reject_n / decision_n > 0.5 THEN 'REJECT_RATIO' END) AS review FROM j)
-SELECT session_id, blocking, review, CASE WHEN blocking <> '' THEN 'FAIL' WHEN review <> '' THEN 'REVIEW' ELSE 'PASS' END AS verdict, round(raw_seconds, 6) AS raw_seconds, trusted_n FROM f"""
-
-
-@query("sample_report_verdict", SAMPLE_SQL, "fix decision policy status manifest")
+sn AS (SELECT session_id, count(*) AS snap_n FROM snap GROUP BY 1), mo AS (SELECT session_id, count(*) AS motion_n FROM motion GROUP BY 1),
+ev AS (SELECT session_id, line_no, recv AS t FROM log_fix UNION ALL SELECT session_id, line_no, t FROM log_decision UNION ALL SELECT session_id, line_no, t FROM policy UNION ALL SELECT session_id, line_no, t FROM status UNION ALL SELECT session_id, line_no, t1 FROM motion),
+du AS (SELECT session_id, greatest(0, max(t) - arg_min(t, line_no)) / 1e9 AS diagnostic_seconds FROM ev WHERE t > 0 GROUP BY 1),
+j AS (SELECT m.*, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n in (*_SAMPLE_COUNTS, *_SAMPLE_PARTS)) + """ FROM sample m LEFT JOIN r USING (session_id) LEFT JOIN d USING (session_id) LEFT JOIN p USING (session_id) LEFT JOIN s USING (session_id) LEFT JOIN sn USING (session_id) LEFT JOIN mo USING (session_id) LEFT JOIN du USING (session_id)),
+f AS (SELECT *, concat_ws(',', CASE WHEN read_status <> 'OK' THEN 'MANIFEST_UNREADABLE' END, CASE WHEN NOT log_exists THEN 'LOG_MISSING' END, CASE WHEN log_status <> 'OK' THEN 'LOG_STATUS' END, CASE WHEN parse_failed THEN 'LOG_PARSE' END, CASE WHEN completion <> 'FINISHED' THEN 'NOT_FINISHED' END, CASE WHEN integrity <> 'OK' THEN 'INTEGRITY' END, CASE WHEN raw_n = 0 THEN 'NO_RAW' END, CASE WHEN decision_n = 0 THEN 'NO_DECISION' END,
+  CASE WHEN points <= 0 THEN 'NO_TRACK_POINT' END, CASE WHEN raws <> raw_n THEN 'RAW_COUNT' END, CASE WHEN points <> trusted_n THEN 'TRACK_COUNT' END, CASE WHEN weaks <> weak_n THEN 'WEAK_COUNT' END, CASE WHEN gaps <> gap_n THEN 'GAP_COUNT' END, CASE WHEN raw_n <> decision_n THEN 'RAW_DECISION_COUNT' END, CASE WHEN distance_requests > 0 THEN 'MIN_DISTANCE' END, CASE WHEN gap_n <> gap_zero_n THEN 'GAP_DELTA' END) AS blocking,
+ concat_ws(',', CASE WHEN last_seq <> log_seq THEN 'SEQ_MISMATCH' END, CASE WHEN raw_seconds < 1800 THEN 'SHORT' WHEN raw_seconds > 3900 THEN 'LONG' WHEN raw_seconds > 3600 THEN 'SLIGHTLY_LONG' END, CASE WHEN long_gaps > 0 THEN 'RAW_INTERVAL' END, CASE WHEN mean_gap > 15 THEN 'MEAN_INTERVAL' END, CASE WHEN policy_n = 0 THEN 'NO_POLICY' END,
+  CASE WHEN timeout_n > 0 THEN 'TIMEOUT' END, CASE WHEN ride_n > 0 THEN 'TRANSPORT' END, CASE WHEN decision_n > 0 AND weak_n / decision_n > 0.3 THEN 'WEAK_RATIO' END, CASE WHEN decision_n > 0 AND reject_n / decision_n > 0.5 THEN 'REJECT_RATIO' END) AS review FROM j)
+SELECT session_id, blocking, review, 'POWER,MAP_COMPATIBILITY' AS excluded, CASE WHEN blocking <> '' THEN 'FAIL' WHEN review <> '' THEN 'REVIEW' ELSE 'PASS' END AS verdict, """ + ", ".join([*_SAMPLE_COUNTS, *[f"round({n}, 6) AS {n}" for n in _SAMPLE_PARTS]]) + " FROM f"
+
+
+@query("sample_report_verdict", SAMPLE_SQL, "log_fix log_decision policy status snap motion sample")
 def sample_report_verdict(x):
-    from ..operators.windows import earlier
-
-    top = F.max(F.when(F.col("t") > 0, F.col("t"))).over(earlier("line_no"))
-    gap = F.when(F.col("t") > F.col("top"), (F.col("t") - F.col("top")) / 1e9)
-    r = x.fix.withColumn("top", top).groupBy("session_id").agg(
-        F.count("*").alias("raw_n"), ((F.max("t") - F.min_by("t", F.when(F.col("t") > 0, F.col("line_no")))) / 1e9).alias("raw_seconds"), F.count_if(gap > 60).alias("long_gaps"), F.coalesce(F.avg(gap), F.lit(0.0)).alias("mean_gap"))
-    why, res = F.col("reason"), F.col("result")
-    rides = ((res == "reject") & why.isin("transport_suspected", "transport_confirmed")) | ((res == "accept") & (why == "transport_recovery"))
-    d = x.decision.groupBy("session_id").agg(
-        F.count("*").alias("decision_n"), R.trusted_points().alias("trusted_n"), F.count_if(res == "weak").alias("weak_n"), F.count_if(res == "reject").alias("reject_n"), F.count_if(why == "gap_recovery").alias("gap_n"),
-        F.count_if((why == "gap_recovery") & (F.col("metres") == 0) & (F.col("moving") == 0)).alias("gap_zero_n"), F.count_if(rides).alias("ride_n"))
-    p = x.policy.groupBy("session_id").agg(F.count("*").alias("policy_n"), F.count_if(F.col("min_distance") != 0).alias("distance_requests"))
-    s = x.status.where("kind = 'no_location_timeout'").groupBy("session_id").agg(F.count("*").alias("timeout_n"))
-    m = x.manifest.join(r, "session_id").join(d, "session_id").join(p, "session_id", "left").join(s, "session_id", "left").fillna(0, ["policy_n", "distance_requests", "timeout_n"])
-    return R.sample_verdict(m).select("session_id", F.array_join("blocking", ",").alias("blocking"), F.array_join("review", ",").alias("review"), "verdict", F.round("raw_seconds", 6).alias("raw_seconds"), "trusted_n")
+    m = x.sample.join(R.sample_counts(x.log_fix, x.log_decision, x.policy, x.status, x.snap, x.motion), "session_id", "left").fillna(0, [*_SAMPLE_COUNTS, *_SAMPLE_PARTS])
+    lists = [F.array_join(n, ",").alias(n) for n in ("blocking", "review", "excluded")]
+    return R.sample_verdict(m).select("session_id", *lists, "verdict", *_SAMPLE_COUNTS, *[F.round(n, 6).alias(n) for n in _SAMPLE_PARTS])
 
 
 @query("gap_summaries", ", g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rn FROM decision WHERE reason = 'gap_recovery') SELECT session_id, rn, concat('decision=', decision_id, ' raw=', raw_id, ' point=', coalesce(point_id, 0)) AS line FROM g WHERE rn <= 10", "decision")
@@ -103,25 +98,34 @@ def diagnostic_summary(x):
         n(F.col("reason") == "gap_recovery").alias("gaps"), n(F.col("reason").startswith("transport")).alias("rides"), ((F.max("t") - F.min("t")) / 1e9).alias("seconds"))
 
 
-EVIDENCE = LINKED + """, m AS (SELECT session_id, count(*) AS decision_n, count(*) FILTER (WHERE result = 'weak') AS weak_n, count(linked_id) FILTER (WHERE result = 'weak') AS weak_linked, count(*) FILTER (WHERE result = 'reject') AS reject_n, count(linked_id) FILTER (WHERE result = 'reject') AS reject_linked,
-  count(*) FILTER (WHERE reason LIKE 'transport%') AS ride_n, sum(coalesce(used_cn0, 0)) FILTER (WHERE result = 'weak' AND linked_id IS NOT NULL) AS weak_cn0, sum(coalesce(used, 0)) FILTER (WHERE result = 'weak' AND linked_id IS NOT NULL) AS weak_used, sum(coalesce(used_cn0, 0)) FILTER (WHERE reason LIKE 'transport%' AND linked_id IS NOT NULL) AS ride_cn0,
-  count(linked_id) FILTER (WHERE reason LIKE 'transport%') AS ride_linked, count(*) FILTER (WHERE reason = 'gap_recovery') AS gap_n FROM linked GROUP BY 1), r AS (SELECT session_id, count(*) AS raw_n, count(*) FILTER (WHERE stale) AS stale_n FROM fix GROUP BY 1),
-f AS (SELECT session_id, concat_ws(',', CASE WHEN raw_n <> decision_n THEN 'RAW_DECISION_COUNT' END, CASE WHEN weak_n > weak_linked THEN 'WEAK_UNLINKED' END, CASE WHEN reject_n > reject_linked THEN 'REJECT_UNLINKED' END, CASE WHEN stale_n / raw_n > 0.2 THEN 'STALE_RATIO' END, CASE WHEN weak_linked > 0 AND weak_cn0 / weak_linked < 25 THEN 'WEAK_LOW_CN0' END,
-  CASE WHEN weak_linked > 0 AND weak_used / weak_linked < 5 THEN 'WEAK_FEW_SATS' END, CASE WHEN gap_n > 0 THEN 'GAP_OR_NO_FIX' END, CASE WHEN ride_linked > 0 AND ride_cn0 / ride_linked >= 25 THEN 'TRANSPORT_GOOD_SIGNAL' END) AS codes FROM m JOIN r USING (session_id))
-SELECT session_id, CASE WHEN codes = '' THEN 'COMPLETE' ELSE codes END AS codes FROM f"""
+_METRICS = ("used", "used_cn0", "top4_cn0", "all_cn0")
+_KINDS = (("weak", "result = 'weak'"), ("reject", "result = 'reject'"), ("ride", "reason LIKE 'transport\\_%' ESCAPE '\\'"))
+
+
+def _totals(kind: str, cond: str) -> str:
+    """A kind's points, those with a snapshot, and averages over these; a field that is missing adds nothing but counts."""
+    averages = [f"coalesce(sum(coalesce({m}, 0)) FILTER (WHERE {cond} AND linked_id IS NOT NULL) / nullif(count(linked_id) FILTER (WHERE {cond}), 0), 0) AS {kind}_{m}" for m in _METRICS]
+    return f"count(*) FILTER (WHERE {cond}) AS {kind}_n, count(linked_id) FILTER (WHERE {cond}) AS {kind}_linked, coalesce(avg(acc) FILTER (WHERE {cond}), 0) AS {kind}_acc, " + ", ".join(averages)
 
 
-@query("evidence_findings", EVIDENCE, "fix snap decision")
+_EVIDENCE_SHOWN = [f"{k}_{m}" for k, _ in _KINDS for m in ("acc", *_METRICS)]
+_EVIDENCE_COUNTS = ["raw_n", "decision_n", "stale_n", "bad_lines", "timeout_n", *[f"{k}_{m}" for k, _ in _KINDS for m in ("n", "linked")], "gap_n"]
+EVIDENCE = f""", l AS (SELECT *, row_number() OVER (PARTITION BY session_id, raw_id ORDER BY line_no DESC) AS rn FROM log_decision),
+pts AS (SELECT f.session_id, f.acc, f.stale, d.result, d.reason, s.snap_id AS linked_id, s.used, s.used_cn0, s.top4_cn0, s.all_cn0 FROM log_fix f LEFT JOIN l d ON f.session_id = d.session_id AND f.raw_id = d.raw_id AND d.rn = 1
+ LEFT JOIN snap s ON s.session_id = f.session_id AND s.snap_id = coalesce(d.snap_id, f.snap_id)),
+m AS (SELECT session_id, count(*) AS raw_n, count(*) FILTER (WHERE stale) AS stale_n, count(*) FILTER (WHERE reason = 'gap_recovery') AS gap_n, {', '.join(_totals(k, w) for k, w in _KINDS)} FROM pts GROUP BY 1),
+dn AS (SELECT session_id, count(*) AS decision_n FROM log_decision GROUP BY 1), tn AS (SELECT session_id, count(*) AS timeout_n, max(waited) / 1000.0 AS timeout_max FROM status WHERE kind = 'no_location_timeout' GROUP BY 1),
+e AS (SELECT g.session_id, bad_lines, coalesce(timeout_max, 0) AS timeout_max, {', '.join(f'coalesce({n}, 0) AS {n}' for n in [*_EVIDENCE_COUNTS, *_EVIDENCE_SHOWN] if n != 'bad_lines')} FROM log_session g LEFT JOIN m USING (session_id) LEFT JOIN dn USING (session_id) LEFT JOIN tn USING (session_id)),
+f AS (SELECT *, concat_ws(',', CASE WHEN bad_lines > 0 THEN 'fail:PARSE_ERRORS' END, CASE WHEN raw_n = 0 THEN 'fail:NO_RAW' END, CASE WHEN decision_n = 0 THEN 'fail:NO_DECISION' END, CASE WHEN raw_n > 0 AND decision_n > 0 AND raw_n <> decision_n THEN 'review:RAW_DECISION_COUNT' END,
+ CASE WHEN weak_n > weak_linked THEN 'review:WEAK_UNLINKED' END, CASE WHEN reject_n > reject_linked THEN 'review:REJECT_UNLINKED' END, CASE WHEN raw_n > 0 AND stale_n / raw_n > 0.2 THEN 'review:STALE_RATIO' END, CASE WHEN weak_n > 0 AND weak_used_cn0 > 0 AND weak_used_cn0 < 25 THEN 'review:WEAK_LOW_CN0' END,
+ CASE WHEN weak_n > 0 AND weak_used > 0 AND weak_used < 5 THEN 'review:WEAK_FEW_SATS' END, CASE WHEN gap_n > 0 OR timeout_n > 0 THEN 'review:GAP_OR_NO_FIX' END, CASE WHEN ride_n > 0 AND ride_used_cn0 >= 25 THEN 'info:TRANSPORT_GOOD_SIGNAL' END) AS codes FROM e)
+SELECT session_id, {', '.join(_EVIDENCE_COUNTS)}, round(timeout_max, 6) AS timeout_max, {', '.join(f'round({n}, 6) AS {n}' for n in _EVIDENCE_SHOWN)}, CASE WHEN codes = '' THEN 'pass:COMPLETE' ELSE codes END AS codes FROM f"""
+
+
+@query("evidence_findings", EVIDENCE, "log_session log_fix log_decision snap status")
 def evidence_findings(x):
-    weak, ride, has = F.col("result") == "weak", F.col("reason").startswith("transport"), F.col("linked_id").isNotNull()
-    m = linked(x).groupBy("session_id").agg(
-        F.count("*").alias("decision_n"), F.count_if(weak & ~has).alias("weak_lost"), F.count_if((F.col("result") == "reject") & ~has).alias("reject_lost"), F.when(F.count_if(weak & has) > 0, F.try_divide(F.sum(F.when(weak & has, F.coalesce("used_cn0", F.lit(0.0)))), F.count_if(weak & has))).alias("weak_cn0"),
-        F.try_divide(F.sum(F.when(weak & has, F.col("used"))), F.count_if(weak & has)).alias("weak_used"), F.try_divide(F.sum(F.when(ride & has, F.coalesce("used_cn0", F.lit(0.0)))), F.count_if(ride & has)).alias("ride_cn0"), F.count_if(F.col("reason") == "gap_recovery").alias("gap_n"))
-    r = x.fix.groupBy("session_id").agg(F.count("*").alias("raw_n"), F.count_if("stale").alias("stale_n"))
-    c = F.col
-    codes = R.chosen(("RAW_DECISION_COUNT", c("raw_n") != c("decision_n")), ("WEAK_UNLINKED", c("weak_lost") > 0), ("REJECT_UNLINKED", c("reject_lost") > 0), ("STALE_RATIO", c("stale_n") / c("raw_n") > 0.2), ("WEAK_LOW_CN0", c("weak_cn0") < 25),
-                     ("WEAK_FEW_SATS", c("weak_used") < 5), ("GAP_OR_NO_FIX", c("gap_n") > 0), ("TRANSPORT_GOOD_SIGNAL", c("ride_cn0") >= 25))
-    return m.join(r, "session_id").select("session_id", F.coalesce(F.nullif(F.array_join(codes, ","), F.lit("")), F.lit("COMPLETE")).alias("codes"))
+    out = R.evidence(x.log_session, J.diagnostic_points(x.log_fix, x.log_decision, x.snap), x.log_decision, x.status)
+    return out.select("session_id", *_EVIDENCE_COUNTS, F.round("timeout_max", 6).alias("timeout_max"), *[F.round(n, 6).alias(n) for n in _EVIDENCE_SHOWN], F.array_join("findings", ",").alias("codes"))
 
 
 @query("trusted_segments", """, s AS (SELECT *, CAST(1 + sum(CASE WHEN reason IN ('gap_recovery', 'transport_recovery') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id FROM decision)
@@ -134,14 +138,30 @@ def trusted_segments(x):
     return rows.groupBy("session_id", "segment_id").agg(F.array_join(ids, ",").alias("ids"), F.min("line_no").alias("first_line"))
 
 
-@query("map_bounds", "SELECT session_id, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east, count(*) AS n FROM fix WHERE lat <> 0 GROUP BY 1", "fix")
+@query("map_bounds", "SELECT session_id, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east, count(*) AS n FROM fix GROUP BY 1", "fix")
 def map_bounds(x):
-    return x.fix.where("lat <> 0").groupBy("session_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count("*").alias("n"))
+    return x.fix.groupBy("session_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count("*").alias("n"))
+
 
+@query("map_frame", """, p AS (SELECT d.session_id, f.lat, f.lng FROM decision d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result <> 'reject' UNION ALL SELECT session_id, 29.0 + session_id % 7 / 1000.0, 106.0 - session_id % 5 / 1000.0 FROM manifest WHERE gpx_exists UNION ALL SELECT session_id, arg_max(lat, line_no), arg_max(lng, line_no) FROM fix GROUP BY 1)
+SELECT session_id, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east, count(*) AS n FROM p GROUP BY 1""", "fix decision manifest")
+def map_frame(x):
+    """The frame over a session's points, the imported reference track and the current place."""
+    points = x.decision.where("result <> 'reject'").select("session_id", "raw_id").join(x.fix.select("session_id", "raw_id", "lat", "lng"), ["session_id", "raw_id"]).drop("raw_id")
+    reference = x.manifest.where("gpx_exists").select("session_id", (29.0 + F.col("session_id") % 7 / 1000.0).alias("lat"), (106.0 - F.col("session_id") % 5 / 1000.0).alias("lng"))
+    current = x.fix.groupBy("session_id").agg(F.max_by("lat", "line_no").alias("lat"), F.max_by("lng", "line_no").alias("lng"))
+    every = points.unionByName(reference).unionByName(current)
+    return every.groupBy("session_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count("*").alias("n"))
 
-@query("log_duration", "SELECT session_id, (arg_max(t, line_no) - arg_min(t, line_no)) / 1e9 AS seconds FROM fix GROUP BY 1", "fix")
+
+@query("log_duration", """, f AS (SELECT session_id, wall, line_no, CASE WHEN session_id % 6 <> 0 OR raw_id % 2 = 0 THEN t END AS t FROM fix), e AS (SELECT session_id, arg_min(struct_pack(t, wall), line_no) AS a, arg_max(struct_pack(t, wall), line_no) AS z, count(*) AS n FROM f GROUP BY 1)
+SELECT session_id, CASE WHEN n < 2 THEN 0 WHEN a.t IS NOT NULL AND z.t IS NOT NULL THEN (z.t - a.t) / 1e9 WHEN a.wall IS NOT NULL AND z.wall IS NOT NULL THEN (z.wall - a.wall) / 1e3 ELSE 0 END AS seconds FROM e""", "fix")
 def log_duration(x):
-    return x.fix.groupBy("session_id").agg(((F.max_by("t", "line_no") - F.min_by("t", "line_no")) / 1e9).alias("seconds"))
+    """From the first fix to the last: by the elapsed clock, by wall time where one of them has none."""
+    rows = x.fix.withColumn("t", F.when((F.col("session_id") % 6 != 0) | (F.col("raw_id") % 2 == 0), F.col("t")))
+    ends = rows.groupBy("session_id").agg(F.min_by(F.struct("t", "wall"), "line_no").alias("a"), F.max_by(F.struct("t", "wall"), "line_no").alias("z"), F.count("*").alias("n"))
+    seconds = F.coalesce((F.col("z.t") - F.col("a.t")) / 1e9, (F.col("z.wall") - F.col("a.wall")) / 1e3, F.lit(0.0))
+    return ends.select("session_id", F.when(F.col("n") < 2, 0.0).otherwise(seconds).alias("seconds"))
 
 
 @query("pressure_summary", "SELECT session_id, count(*) AS n, count(*) FILTER (WHERE hpa > 0) AS good, min(hpa) FILTER (WHERE hpa > 0) AS low, max(hpa) FILTER (WHERE hpa > 0) AS high, arg_min(hpa, line_no) FILTER (WHERE hpa > 0) AS first, arg_max(hpa, line_no) FILTER (WHERE hpa > 0) AS last FROM pressure GROUP BY 1", "pressure")
@@ -153,13 +173,36 @@ def pressure_summary(x):
     return x.pressure.groupBy("session_id").agg(F.count("*").alias("n"), F.count(good).alias("good"), F.min(good).alias("low"), F.max(good).alias("high"), F.min_by("hpa", line).alias("first"), F.max_by("hpa", line).alias("last"))
 
 
-@query("replay_status", """, e AS (SELECT session_id, decision_id, result, CASE WHEN decision_id % 6 = 0 THEN NULL WHEN decision_id % 200 = 1 THEN 'weak' ELSE result END AS expected FROM decision)
-, s AS (SELECT session_id, count(*) AS n, count(expected) AS expected_n, count(*) FILTER (WHERE expected = result) AS hits FROM e GROUP BY 1) SELECT CASE WHEN expected_n = n AND hits = n THEN 'EXACT' WHEN hits = expected_n THEN 'UNCHECKED' ELSE 'BEST_EFFORT' END AS status, count(*) AS n FROM s GROUP BY 1""", "decision")
+def replay_logs(x):
+    """Logs with what a replay of each is to give: one fix in fifty expected wrongly in a third of them, one in six without expectation in another; some with a bad line, without a header, without a fix."""
+    told = D.decide(x.fix, x.motion, x.snap).select("session_id", "line_no", F.col("result").alias("right"), F.col("reason").alias("why"))
+    sid, raw = F.col("session_id"), F.col("raw_id")
+    none, wrong = (sid % 3 == 2) & (raw % 6 == 0), (sid % 3 == 1) & (raw % 50 == 1)
+    fix = x.fix.join(told, ["session_id", "line_no"]).where("session_id % 11 <> 3").select("session_id", "line_no", F.to_json(F.struct(
+        F.lit("raw_location").alias("event"), raw.alias("rawPointId"), "provider", F.col("has_t").alias("hasElapsedRealtimeNanos"), F.col("t").alias("elapsedRealtimeNanos"), F.col("recv").alias("eventElapsedRealtimeNanos"), "lat", "lng", F.col("acc").isNotNull().alias("hasAccuracy"), F.col("acc").alias("accuracy"),
+        "speed", "mock", F.col("snap_id").alias("sourceGnssSnapshotId"), F.when(~none, F.when(wrong, "altered").otherwise(F.col("right"))).alias("expectedResult"), F.when(~none, F.col("why")).alias("expectedReason"))).alias("line"))
+    motion = x.motion.select("session_id", "line_no", F.to_json(F.struct(F.lit("motion_summary").alias("event"), F.col("motion_id").alias("motionSummaryId"), F.col("t0").alias("firstElapsedRealtimeNanos"), F.col("t1").alias("lastElapsedRealtimeNanos"), F.col("samples").alias("sampleCount"),
+                                                                         F.col("rms").alias("dynamicAccelRmsMps2"), F.col("score").alias("stillScore"), F.col("still").alias("isDeviceStill"))).alias("line"))
+    snap = x.snap.select("session_id", "line_no", F.to_json(F.struct(F.lit("gnss_snapshot").alias("event"), F.col("snap_id").alias("snapshotId"), F.col("t").alias("receivedElapsedRealtimeNanos"), F.col("used").alias("usedInFixTotal"), F.col("used_cn0").alias("usedAvgCn0"), F.col("top4_cn0").alias("top4AvgCn0"))).alias("line"))
+    head = x.manifest.where("session_id % 11 <> 5").select("session_id", F.lit(1).cast("long").alias("line_no"), F.lit('{"event":"session_metadata","createdElapsedRealtimeNanos":1000000000}').alias("line"))
+    cut = x.manifest.where("session_id % 11 = 7").select("session_id", F.lit(2).cast("long").alias("line_no"), F.lit('{"event":"raw_lo').alias("line"))
+    rows = head.unionByName(cut).unionByName(fix).unionByName(motion).unionByName(snap)
+    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
+
+
+REPLAY = FOLD + """, g AS (SELECT session_id, CASE session_id % 11 WHEN 3 THEN 'no_raw_location_events' WHEN 5 THEN 'missing_session_metadata_before_raw_location' WHEN 7 THEN 'malformed_json_line_2' END AS why FROM manifest),
+rp AS (SELECT session_id, why, CASE WHEN why IS NULL THEN count(*) ELSE 0 END AS n, CASE WHEN why IS NULL THEN count(*) FILTER (WHERE session_id % 3 = 1 AND raw_id % 50 = 1) ELSE 0 END AS misses, count(*) FILTER (WHERE session_id % 3 = 2 AND raw_id % 6 = 0) AS untold FROM d JOIN g USING (session_id) GROUP BY 1, 2),
+st AS (SELECT session_id, CASE WHEN why IS NOT NULL THEN 'INVALID_LOG' WHEN misses = 0 AND untold = 0 THEN 'EXACT' ELSE 'BEST_EFFORT' END AS status, why, n, misses FROM rp)"""
+
+
+@query("replay_reports", REPLAY + " SELECT * FROM st", "fix snap motion manifest")
+def replay_reports(x):
+    return jsonl.replay_reports(replay_logs(x))
+
+
+@query("replay_status", REPLAY + " SELECT status, count(*) AS n FROM st GROUP BY 1", "fix snap motion manifest")
 def replay_status(x):
-    expected = F.when(F.col("decision_id") % 6 == 0, None).when(F.col("decision_id") % 200 == 1, "weak").otherwise(F.col("result"))
-    s = x.decision.withColumn("expected", expected).groupBy("session_id").agg(F.count("*").alias("n"), F.count("expected").alias("expected_n"), F.count_if(F.col("expected") == F.col("result")).alias("hits"))
-    status = F.when((F.col("expected_n") == F.col("n")) & (F.col("hits") == F.col("n")), "EXACT").when(F.col("hits") == F.col("expected_n"), "UNCHECKED").otherwise("BEST_EFFORT")
-    return s.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return jsonl.replay_batch(jsonl.replay_reports(replay_logs(x)))
 
 
 @query("map_state", """SELECT d.session_id, arg_max(d.decision_id, d.line_no) FILTER (WHERE result IN ('accept', 'anchor')) AS last_trusted, coalesce(any_value(m.metres), sum(d.metres)) AS metres, count(*) FILTER (WHERE result <> 'reject' OR reason LIKE 'transport%') AS drawable FROM decision d LEFT JOIN (SELECT * FROM manifest WHERE read_status = 'OK') m USING (session_id) GROUP BY 1""", "decision manifest")
@@ -202,10 +245,10 @@ def consistency_batch(x):
 @query("satellite_snapshot", """, top AS (SELECT session_id, snap_id, avg(cn0) AS top4_cn0 FROM (SELECT *, row_number() OVER (PARTITION BY session_id, snap_id ORDER BY cn0 DESC) AS rn FROM sat) WHERE rn <= 4 GROUP BY 1, 2),
 c AS (SELECT session_id, snap_id, arg_min(carrier, ord) AS first FROM sat WHERE carrier > 0 GROUP BY 1, 2)
 SELECT s.session_id, s.snap_id, count(*) AS visible, count(*) FILTER (WHERE used) AS used, round(coalesce(avg(cn0) FILTER (WHERE used AND cn0 > 0), 0), 6) AS used_cn0, round(avg(cn0), 6) AS all_cn0, round(any_value(top4_cn0), 6) AS top4_cn0, count(*) FILTER (WHERE cn0 < 20) AS low_visible, count(*) FILTER (WHERE used AND cn0 < 25) AS weak_used,
-  count(*) FILTER (WHERE kind = 1) AS gps_visible, count(*) FILTER (WHERE kind = 5 AND used) AS beidou_used, coalesce(max(abs(carrier - first)) >= 1000000, false) AS dual FROM sat s JOIN top USING (session_id, snap_id) LEFT JOIN c USING (session_id, snap_id) GROUP BY 1, 2""", "sat")
+  """ + ", ".join(f"count(*) FILTER (WHERE {w}) AS {n}_visible, count(*) FILTER (WHERE ({w}) AND used) AS {n}_used" for n, w in R.SYSTEMS_SQL.items()) + """, coalesce(max(abs(carrier - first)) >= 1000000, false) AS dual FROM sat s JOIN top USING (session_id, snap_id) LEFT JOIN c USING (session_id, snap_id) GROUP BY 1, 2""", "sat")
 def satellite_snapshot(x):
     out = R.satellite_summary(x.sat, ["session_id", "snap_id"])
-    return out.select("session_id", "snap_id", "visible", "used", *[F.round(c, 6).alias(c) for c in ("used_cn0", "all_cn0", "top4_cn0")], "low_visible", "weak_used", "gps_visible", "beidou_used", "dual")
+    return out.select("session_id", "snap_id", "visible", "used", *[F.round(c, 6).alias(c) for c in ("used_cn0", "all_cn0", "top4_cn0")], "low_visible", "weak_used", *[f"{n}_{k}" for n in R.SYSTEMS_SQL for k in ("visible", "used")], "dual")
 
 
 @query("constellation_summary", """SELECT CASE kind WHEN 1 THEN 'GPS' WHEN 2 THEN 'SBAS' WHEN 3 THEN 'GLONASS' WHEN 4 THEN 'QZSS' WHEN 5 THEN 'BeiDou' WHEN 6 THEN 'Galileo' WHEN 7 THEN 'IRNSS' ELSE 'UNK' END AS name, count(*) AS visible, count(*) FILTER (WHERE used) AS used, max(cn0) AS top, round(avg(cn0), 6) AS mean FROM sat GROUP BY 1""", "sat")

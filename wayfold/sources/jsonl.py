@@ -131,3 +131,8 @@ def replay_reports(logs: DataFrame, key: str = "session_id") -> DataFrame:
     d = replay(logs, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("expected_n"), F.count_if(~F.col("hit")).alias("misses"))
     status = F.when(F.col("why").isNotNull(), "INVALID_LOG").when((F.col("misses") == 0) & (F.col("expected_n") == F.col("n")), "EXACT").otherwise("BEST_EFFORT")
     return gates.join(d, key, "left").select(key, status.alias("status"), "why", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("misses", F.lit(0)).alias("misses"))
+
+
+def replay_batch(reports: DataFrame) -> DataFrame:
+    """How many logs have each status."""
+    return reports.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
