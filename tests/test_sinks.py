@@ -2,12 +2,17 @@
 
 import glob
 import json
+import re
 
+from pyspark.sql import functions as F
+
+from wayfold.operators import joins, reports
 from wayfold.plans import scenario
+from wayfold.plans.reports import linked
 from wayfold.plans.fields import points
 from wayfold.plans.catalogue import QUERIES
 from wayfold.plans.registry import Inputs
-from wayfold.sources import manifest, sinks
+from wayfold.sources import gpx, manifest, sinks
 
 SF = "/root/testdata/sf0.001"
 COLS = "session_id long, ord long, point_id long, raw_id long, decision_id long, result string, reason string"
@@ -32,12 +37,17 @@ def test_tracks_reports_and_logs_are_written(spark, tmp_path):
     errors = QUERIES["trusted_export_error"](spark, SF)
     sinks.write_tracks(points(x), errors, f"{tmp_path}/gpx")
     fine = {r.session_id for r in errors.where("error IS NULL").collect()}
-    assert {r.session_id for r in spark.read.parquet(f"{tmp_path}/gpx/trusted").collect()} == fine
-    assert spark.read.parquet(f"{tmp_path}/gpx/partial").count() == 15
-    sinks.write_reports(QUERIES["weak_report"](spark, SF), f"{tmp_path}/report")
+    files = {kind: {int(f.split("session_id=")[1].split("/")[0]): open(f).read() for f in glob.glob(f"{tmp_path}/gpx/{kind}/*/*.txt")} for kind in ("trusted", "partial")}
+    assert set(files["trusted"]) == fine and len(files["partial"]) == 15
+    for kind, texts in files.items():
+        for sid, text in texts.items():
+            assert len(gpx.parse(text)) == text.count("<trkpt") == int(re.search("<hike:trackPointCount>(\\d+)<", text)[1]) and f"<hike:partial>{str(kind == 'partial').lower()}<" in text
+            assert all(f"<hike:{name}>" in text for name in gpx.POINT_FIELDS)
+    weak = reports.weak_signal(linked(x), x.fix, joins.gap_windows(x.decision, x.snap), x.status)
+    sinks.write_reports(weak, f"{tmp_path}/report", "Weak signal", sinks.WEAK_SECTIONS)
     rows = [json.loads(line) for f in glob.glob(f"{tmp_path}/report/json/*.json") for line in open(f)]
     assert len(rows) == 15 and all("findings" in r for r in rows)
-    assert sum(open(f).read().count("# session ") for f in glob.glob(f"{tmp_path}/report/text/*.txt")) == 15
+    assert sum(open(f).read().count("# Weak signal") for f in glob.glob(f"{tmp_path}/report/text/*.txt")) == 15
     from pyspark.sql import functions as F
 
     status = scenario.relation(spark, SF, "status").withColumn("body", F.to_json(F.struct(F.col("kind").alias("eventType"))))
@@ -49,3 +59,11 @@ def test_tracks_reports_and_logs_are_written(spark, tmp_path):
     (tmp_path / "s" / "one").mkdir(parents=True)
     (tmp_path / "s" / "one" / "session.json").write_text('{"completionState": "FINISHED"}')
     assert [(r.session_id, r.completionState) for r in manifest.listed(spark, f"{tmp_path}/s").collect()] == [("one", "FINISHED")]
+
+
+def test_weak_report_of_sessions_without_fixes(spark):
+    x = Inputs(spark, SF)
+    d = linked(x).where("session_id = 1").withColumn("session_id", F.lit(77).cast("long"))
+    late = x.status.where("kind = 'no_location_timeout'").limit(1).withColumn("session_id", F.lit(78).cast("long"))
+    out = {r.session_id: r for r in reports.weak_signal(d, x.fix.where("session_id = 2"), joins.gap_windows(x.decision, x.snap).limit(0), late).collect()}
+    assert set(out) == {2, 77, 78} and out[77].raw_n == 0 and out[77].weak_n > 0 and out[78].timeout_n == 1 and out[2].findings == ["NONE"] or "STALE_RATIO" in out[2].findings

@@ -74,10 +74,11 @@ GPX = """<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1"><wp
 
 
 def test_gpx(spark):
-    rows = [(1, GPX), (2, "<gpx><wpt lat='1' lon='2'/></gpx>"), (3, "not xml"), (4, "<!DOCTYPE gpx><gpx><wpt lat='1' lon='2'/></gpx>"), (5, None)]
+    nested = "<gpx><trk><trkseg><extensions><trkpt lat='5' lon='6'><x><time> 2024-01-02T03:04:05Z\n</time></x></trkpt></extensions></trkseg></trk></gpx>"
+    rows = [(6, nested), (1, GPX), (2, "<gpx><wpt lat='1' lon='2'/></gpx>"), (3, "not xml"), (4, "<!DOCTYPE gpx><gpx><wpt lat='1' lon='2'/></gpx>"), (5, None)]
     out = gpx.read(spark.createDataFrame(rows, "session_id long, gpx string")).orderBy("session_id", "ord").collect()
     assert [(r.session_id, r.segment, r.lat, r.lng, r.ele, r.wall) for r in out] == [
-        (1, 0, 29.1, 106.1, 5.5, 1704164645000), (1, 1, 29.2, 106.2, None, 1704161045500), (1, 2, 3.0, 4.0, None, 0), (2, 0, 1.0, 2.0, None, 0)]
+        (1, 1, 29.1, 106.1, 5.5, 1704164645000), (1, 2, 29.2, 106.2, None, 1704161045500), (1, 3, 3.0, 4.0, None, 0), (2, 1, 1.0, 2.0, None, 0), (6, 1, 5.0, 6.0, None, 1704164645000)]
     assert spark.range(1).select(gpx.escape(F.lit("<a & 'b\">"))).first()[0] == "&lt;a &amp; &apos;b&quot;&gt;"
 
 

@@ -159,34 +159,40 @@ def session_exclusions(x):
 
 
 def points(x):
-    return x.decision.where("result <> 'reject'").select("session_id", "raw_id", "line_no", "result", "reason").join(x.fix.drop("line_no", "seq"), ["session_id", "raw_id"]).where("lat <> 0")
+    """Track points of the decisions that are no rejections, with what exports write of them."""
+    from ..operators.windows import since_reset
 
+    kept = since_reset(x.decision, c("reason").isin("gap_recovery", "transport_recovery")).where("result <> 'reject'")
+    own = kept.select("session_id", "raw_id", "line_no", "decision_id", "point_id", (c("island_") + 1).alias("segment_id"), "result", "reason", "metres", "moving")
+    return own.join(x.fix.drop("line_no", "seq"), ["session_id", "raw_id"]).where("lat <> 0")
 
-PTS = """, pts AS (SELECT d.session_id, d.raw_id, d.line_no, d.result, d.reason, f.lat, f.lng, f.acc, f.bearing, f.wall, f.t, f.alt, f.vacc FROM decision d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result <> 'reject' AND f.lat <> 0)"""
 
+PTS = """, sd AS (SELECT *, CAST(1 + sum(CASE WHEN reason IN ('gap_recovery', 'transport_recovery') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id FROM decision),
+pts AS (SELECT d.session_id, d.raw_id, d.line_no, d.decision_id, d.point_id, d.segment_id, d.result, d.reason, d.metres, d.moving, f.snap_id, f.lat, f.lng, f.acc, f.bearing, f.wall, f.t, f.alt, f.vacc FROM sd d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result <> 'reject' AND f.lat <> 0)"""
 
-@query("export_validator", """, p AS (SELECT *, row_number() OVER o AS rn, lag(decision_id) OVER o AS before FROM decision WHERE point_id IS NOT NULL WINDOW o AS (PARTITION BY session_id ORDER BY line_no)),
-e AS (SELECT session_id, line_no, CASE WHEN rn <> CASE WHEN decision_id % 239 = 0 THEN rn + 1 ELSE rn END THEN 'POINT_ID' WHEN raw_id > 100000000 THEN 'RAW_ID' WHEN decision_id <= before THEN 'ORDER' WHEN result NOT IN ('anchor', 'accept') THEN 'RESULT' WHEN reason = '' THEN 'REASON' END AS error FROM p)
-SELECT session_id, arg_min(error, line_no) FILTER (WHERE error IS NOT NULL) AS error FROM e GROUP BY 1""", "decision")
-def export_validator(x):
-    o = W.partitionBy("session_id").orderBy("line_no")
-    rn = F.row_number().over(o)
-    claimed = F.when(c("decision_id") % 239 == 0, rn + 1).otherwise(rn)
-    rows = x.decision.where("point_id IS NOT NULL").withColumns({"rn": rn, "claimed": claimed, "before": F.lag("decision_id").over(o)})
-    error = F.when(c("claimed") != c("rn"), "POINT_ID").when((c("raw_id") < 0) | (c("raw_id") > 100_000_000), "RAW_ID").when(c("decision_id") <= c("before"), "ORDER").when(~c("result").isin("anchor", "accept"), "RESULT").when(F.coalesce("reason", F.lit("")) == "", "REASON")
-    return rows.withColumn("error", error).groupBy("session_id").agg(F.min_by("error", F.when(c("error").isNotNull(), c("line_no"))).alias("error"))
 
+def _tag(name: str, value: str) -> str:
+    return f"'<hike:{name}>' || {value} || '</hike:{name}>'"
 
-@query("gpx_text", PTS + """, b AS (SELECT *, CASE WHEN result = 'weak' OR coalesce(lag(result = 'weak') OVER (PARTITION BY session_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS brk FROM pts),
-s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS seg FROM b),
-g AS (SELECT session_id, seg, concat('<trkseg>', string_agg(concat(printf('<trkpt lat="%.7f" lon="%.7f">', lat, lng), CASE WHEN alt IS NOT NULL THEN printf('<ele>%.1f</ele>', alt) ELSE '' END, '<time>', strftime(make_timestamp(wall * 1000), '%Y-%m-%dT%H:%M:%SZ'), '</time><extensions><result>', result, '</result></extensions></trkpt>'), '' ORDER BY line_no), '</trkseg>') AS t FROM s GROUP BY 1, 2)
-SELECT session_id, md5(concat('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><trk>', string_agg(t, '' ORDER BY seg), '</trk></gpx>')) AS gpx_md5 FROM g GROUP BY 1""", "fix decision")
+
+_CELLS = {
+    "sessionId": "session_id", "partial": "'false'", "trackPointId": "coalesce(point_id, 0)", "segmentId": "segment_id", "sourceRawPointId": "raw_id", "sourceDecisionId": "decision_id", "elapsedRealtimeNanos": "t", "accuracy": "coalesce(acc, 0.0::DOUBLE)", "decisionResult": "result", "decisionReason": "reason",
+    "distanceDeltaMeters": "metres", "movingTimeDeltaSeconds": "moving",
+}
+_UTC = "'<time>' || strftime(make_timestamp(wall * 1000), '%Y-%m-%dT%H:%M:%SZ') || '</time>'"
+
+
+@query("gpx_text", PTS + f""", b AS (SELECT *, CASE WHEN result = 'weak' OR coalesce(lag(result = 'weak') OVER (PARTITION BY session_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS brk FROM pts),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS seg, '<trkpt lat="' || lat || '" lon="' || lng || '">' || coalesce('<ele>' || alt || '</ele>', '') || {_UTC} || '<extensions>' || {' || '.join(_tag(k, v) for k, v in _CELLS.items())} || coalesce({_tag('sourceGnssSnapshotId', 'snap_id')}, '') || '</extensions></trkpt>' AS p FROM b),
+g AS (SELECT session_id, seg, concat('<trkseg>', string_agg(p, '' ORDER BY line_no), '</trkseg>') AS t, sum(metres) AS metres, sum(moving) AS moving, count(*) AS n, min(wall) AS wall FROM s GROUP BY 1, 2),
+w AS (SELECT session_id, string_agg(t, '' ORDER BY seg) AS trk, sum(metres) AS metres, sum(moving) AS moving, CAST(sum(n) AS BIGINT) AS n, min(wall) AS wall FROM g GROUP BY 1)
+SELECT session_id, md5('{gpx.HEAD}<metadata><name>Track ' || session_id || '</name>' || {_UTC} || '<extensions>' || {_tag('totalDistanceMeters', 'metres')} || {_tag('movingTimeSeconds', 'moving')} || {_tag('trackPointCount', 'n')} || {_tag('partial', "'false'")} || '</extensions></metadata><trk><name>Track</name>' || trk || '</trk></gpx>') AS gpx_md5 FROM w""", "fix decision")
 def gpx_text(x):
     return gpx.written(points(x)).select("session_id", F.md5("gpx").alias("gpx_md5"))
 
 
 @query("gpx_roundtrip", PTS + """, b AS (SELECT *, CASE WHEN result = 'weak' OR coalesce(lag(result = 'weak') OVER (PARTITION BY session_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS brk FROM pts)
-SELECT session_id, row_number() OVER o - 1 AS ord, CAST(sum(brk) OVER o AS BIGINT) - 1 AS segment, round(lat, 7) AS lat, round(lng, 7) AS lng, alt AS ele, wall FROM b WINDOW o AS (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)""", "fix decision")
+SELECT session_id, row_number() OVER o - 1 AS ord, CAST(sum(brk) OVER o AS BIGINT) AS segment, lat, lng, alt AS ele, wall FROM b WINDOW o AS (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)""", "fix decision")
 def gpx_roundtrip(x):
     return gpx.read(gpx.written(points(x)))
 

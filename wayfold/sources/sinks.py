@@ -31,23 +31,83 @@ def export_error(points: DataFrame, raw_count: Column, decision_count: Column, a
     return rows.withColumn("error", error).groupBy("session_id").agg(F.min_by("error", F.when(c("error").isNotNull(), c("ord"))).alias("error"))
 
 
+def _write_files(texts: DataFrame, folder: str, name: str) -> None:
+    """One file a session: folder/session_id=<id>/<part>.txt, each written whole by its task."""
+    texts.select("session_id", F.col(name).alias("value")).repartition("session_id").write.mode("overwrite").partitionBy("session_id").text(folder, lineSep="\n")
+
+
 def write_tracks(points: DataFrame, errors: DataFrame, folder: str) -> None:
-    """GPX of sessions without an error under folder/trusted, and of all with points under folder/partial."""
+    """GPX files of sessions without an error under folder/trusted, and of all with points under folder/partial."""
     fine = errors.where("error IS NULL").select("session_id")
-    gpx.written(points.where("result IN ('anchor', 'accept')").join(fine, "session_id", "left_semi")).write.mode("overwrite").parquet(f"{folder}/trusted")
-    gpx.written(points).write.mode("overwrite").parquet(f"{folder}/partial")
+    _write_files(gpx.written(points.where("result IN ('anchor', 'accept')").join(fine, "session_id", "left_semi")), f"{folder}/trusted", "gpx")
+    _write_files(gpx.written(points, partial=True), f"{folder}/partial", "gpx")
+
+
+def replay_json(reports: DataFrame, decisions: DataFrame, key: str = "session_id") -> DataFrame:
+    """session_id and json: each log's replay report with its decisions in line order.
+
+    reports: as jsonl.replay_reports(). decisions: as jsonl.replay().
+    """
+    c = F.col
+    one = F.struct(c("line_no").alias("lineNumber"), c("raw_id").alias("rawPointId"), c("result").alias("actualResult"), c("reason").alias("actualReason"), c("expected_result").alias("expectedResult"), c("expected_reason").alias("expectedReason"), F.coalesce("hit", F.lit(True)).alias("matchesExpectation"))
+    made = decisions.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("decisions"))
+    rows = reports.join(made, key, "left")
+    body = F.struct("status", F.coalesce("why", F.lit("")).alias("invalidReason"), c("n").alias("decisionCount"), c("misses").alias("mismatchCount"), F.coalesce("decisions", F.array()).alias("decisions"))
+    return rows.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def replay_batch_json(reports: DataFrame, name: str = "file_name") -> DataFrame:
+    """One row with json: the counts of a batch, and its items in the order of their file names."""
+    c = F.col
+    item = F.struct(c(name).alias("inputFileName"), "status", F.coalesce("why", F.lit("")).alias("invalidReason"), c("n").alias("decisionCount"), c("misses").alias("mismatchCount"))
+    kinds = [F.count_if(c("status") == status).alias(label) for status, label in (("EXACT", "exactCount"), ("BEST_EFFORT", "bestEffortCount"), ("INVALID_LOG", "invalidLogCount"))]
+    whole = reports.agg(F.count(F.lit(1)).alias("totalCount"), *kinds, F.array_sort(F.collect_list(item)).alias("items"))  # one line a log, of a batch that a user chose
+    return whole.select(F.to_json(F.struct(*whole.columns)).alias("json"))
+
+
+def sectioned(reports: DataFrame, title: str, sections: dict[str, dict[str, str]]) -> DataFrame:
+    """session_id and text of reports: a title, the id, and sections of lines, each a label and the column whose value it shows."""
+    kinds = dict(reports.dtypes)
+
+    def shown(column: str) -> Column:
+        if kinds[column].startswith("array"):
+            return F.when(F.size(column) > 0, F.array_join(column, "; ")).otherwise(F.lit("-"))
+        value = F.format_string("%.1f", column) if kinds[column] == "double" else F.col(column).cast("string")
+        return F.coalesce(value, F.lit("-"))
+
+    lines = [F.concat(F.lit(f"# {title}\n\nsessionId="), F.col("session_id").cast("string"))]
+    for name, fields in sections.items():
+        lines.append(F.lit(f"\n## {name}"))
+        lines += [F.concat(F.lit(f"- {label}="), shown(column)) for label, column in fields.items()]
+    return reports.select("session_id", F.concat_ws("\n", *lines).alias("text"))
+
+
+#: Sections of the two reports.
+WEAK_SECTIONS = {
+    "Fixes": {"RawLocation": "raw_n", "stale": "stale_n", "staleRatio": "stale_ratio"},
+    "Weak": {"decisions": "weak_n", "withGnss": "weak_linked", "accuracy": "weak_acc", "used": "weak_used", "usedCn0": "weak_cn0", "top4Cn0": "weak_top4"},
+    "Rejected": {"decisions": "reject_n", "withGnss": "reject_linked", "accuracy": "reject_acc", "used": "reject_used", "usedCn0": "reject_cn0", "top4Cn0": "reject_top4"},
+    "Transport": {"decisions": "ride_n", "withGnss": "ride_linked", "usedCn0": "ride_cn0", "top4Cn0": "ride_top4"},
+    "Gaps": {"recoveries": "gap_n", "withBefore": "before_n", "withAfter": "after_n", "beforeTop4": "before_top4", "afterTop4": "after_top4", "timeouts": "timeout_n", "longestTimeout": "timeout_max"},
+    "Findings": {"findings": "findings"},
+}
+SAMPLE_SECTIONS = {
+    "Verdict": {"verdict": "verdict", "blocking": "blocking", "review": "review", "excluded": "excluded"},
+    "Times": {"diagnosticSeconds": "diagnostic_seconds", "rawSeconds": "raw_seconds", "longestInterval": "longest_gap", "meanInterval": "mean_gap", "longIntervals": "long_gaps"},
+    "Counts": {"raw": "raw_n", "decisions": "decision_n", "trusted": "trusted_n", "weak": "weak_n", "rejected": "reject_n", "gaps": "gap_n", "gapsWithoutDistance": "gap_zero_n", "timeouts": "timeout_n", "snapshots": "snap_n", "motions": "motion_n", "policies": "policy_n"},
+}
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """Reports as JSON lines, and as text: a heading and a line for each column."""
+def write_reports(reports: DataFrame, folder: str, title: str = "Report", sections: dict[str, dict[str, str]] | None = None) -> None:
+    """Reports as JSON lines, and as text in their sections (by default one with every column)."""
     reports.write.mode("overwrite").json(f"{folder}/json")
-    lines = [F.concat(F.lit(f"- {c}: "), F.coalesce(F.to_json(F.col(c)) if t.startswith(("array", "struct", "map")) else F.col(c).cast("string"), F.lit("-"))) for c, t in reports.dtypes if c != "session_id"]
-    text = F.concat_ws("\n", F.concat(F.lit("# session "), F.col("session_id").cast("string")), *lines)
-    reports.select(text.alias("value")).write.mode("overwrite").text(f"{folder}/text")
+    sections = sections or {"Values": {c: c for c in reports.columns if c != "session_id"}}
+    sectioned(reports, title, sections).select(F.col("text").alias("value")).write.mode("overwrite").text(f"{folder}/text")
 
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append the lines of jsonl.with_envelope() to a log's folder."""
     from .jsonl import with_envelope
 
-    with_envelope(events).orderBy("session_id", "event_seq").select("line").write.mode("append").text(path)
+    # A session's lines stay together and in order; sessions need none among them.
+    with_envelope(events).repartition("session_id").sortWithinPartitions("session_id", "event_seq").select("line").write.mode("append").text(path)
