@@ -67,3 +67,48 @@ def test_weak_report_of_sessions_without_fixes(spark):
     late = x.status.where("kind = 'no_location_timeout'").limit(1).withColumn("session_id", F.lit(78).cast("long"))
     out = {r.session_id: r for r in reports.weak_signal(d, x.fix.where("session_id = 2"), joins.gap_windows(x.decision, x.snap).limit(0), late).collect()}
     assert set(out) == {2, 77, 78} and out[77].raw_n == 0 and out[77].weak_n > 0 and out[78].timeout_n == 1 and out[2].findings == ["NONE"] or "STALE_RATIO" in out[2].findings
+
+
+def test_replay_and_batch_reports_as_json(spark, tmp_path):
+    from test_sources import A, HEAD, raw
+
+    from wayfold.sources import jsonl
+
+    logs = {"b.jsonl": [HEAD, raw(1, 0, 10, 2, *A), raw(2, 0.00018, 3, 12, "weak", "no")], "a.jsonl": [HEAD, raw(1, 0, 10, 2, *A)], "c.jsonl": [{"event": "x"}]}
+    for name, events in logs.items():
+        (tmp_path / name).write_text("\n".join(json.dumps(e) for e in events))
+    found = jsonl.batch(spark, str(tmp_path))
+    names = {r.session_id: r.file_name for r in found.select("session_id", "file_name").collect()}
+    assert names == {1: "a.jsonl", 2: "b.jsonl", 3: "c.jsonl"}
+    out = jsonl.replay_reports(found)
+    one = {r.session_id: json.loads(r.json) for r in sinks.replay_json(out, jsonl.replay(found)).collect()}
+    assert (one[1]["status"], one[1]["mismatchCount"], one[1]["decisions"][0]["matchesExpectation"]) == ("EXACT", 0, True)
+    assert (one[2]["status"], one[2]["decisionCount"], [d["matchesExpectation"] for d in one[2]["decisions"]]) == ("BEST_EFFORT", 2, [True, False])
+    assert (one[3]["status"], one[3]["invalidReason"], one[3]["decisions"]) == ("INVALID_LOG", "no_raw_location_events", [])
+    batch = json.loads(sinks.replay_batch_json(out.join(found.select("session_id", "file_name"), "session_id")).first().json)
+    assert (batch["totalCount"], batch["exactCount"], batch["bestEffortCount"], batch["invalidLogCount"]) == (3, 1, 1, 1)
+    assert [i["inputFileName"] for i in batch["items"]] == ["a.jsonl", "b.jsonl", "c.jsonl"]
+    assert {r.status: r.n for r in jsonl.replay_batch(out).collect()} == {"EXACT": 1, "BEST_EFFORT": 1, "INVALID_LOG": 1}
+
+
+def test_sample_report_sections_and_acceptance_markdown(spark, tmp_path):
+    x = Inputs(spark, SF)
+    counts = reports.sample_counts(x.log_fix, x.log_decision, x.policy, x.status, x.snap, x.motion)
+    made = reports.sample_verdict(x.sample.join(counts, "session_id", "left").fillna(0))
+    text = {r.session_id: r.text for r in sinks.sectioned(made, "Sample report", sinks.SAMPLE_SECTIONS).collect()}
+    assert len(text) == made.count() and all(t.startswith("# Sample report\n\nsessionId=") and "\n## Verdict\n- verdict=" in t for t in text.values())
+    devices, batches = reports.consistency(x.manifest.withColumns({"batch": F.expr("session_id DIV 4"), "samples": F.col("session_id") % 27}))
+    done = {r.batch: r.report for r in sinks.acceptance_markdown(devices, batches).collect()}
+    assert set(done) == {r.batch for r in batches.collect()}
+    for b, report in done.items():
+        assert report.count("\n| ") == 2 + devices.where(F.col("batch") == b).count() and "- Verdict: " in report
+
+
+def test_geojson_collections(spark):
+    from wayfold.sources import polyline
+
+    p = spark.createDataFrame([(1, 1, 106.0, 29.0, "accept"), (1, 2, 106.1, 29.1, "weak"), (2, 1, 107.0, 30.0, "accept")], "session_id long, line_no long, lng double, lat double, result string")
+    dots = {r.session_id: json.loads(r.collection) for r in polyline.collection(polyline.point_features(p, {"kind": F.col("result")}), ["session_id"]).collect()}
+    assert [f["properties"]["kind"] for f in dots[1]["features"]] == ["accept", "weak"] and dots[2]["features"][0]["geometry"] == {"type": "Point", "coordinates": [107.0, 30.0]}
+    lines = [json.loads(r.feature) for r in polyline.line_features(p, ["session_id"]).collect()]
+    assert [f["geometry"]["coordinates"] for f in lines] == [[[106.0, 29.0], [106.1, 29.1]]]

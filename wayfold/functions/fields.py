@@ -140,3 +140,90 @@ def marker_time(elapsed: Column, wall: Column) -> Column:
 def pressure_text(hpa: Column) -> Column:
     """Non-finite pressures as text, for JSON; null for those that are numbers."""
     return F.when(F.isnan(hpa), "NaN").when(hpa == float("inf"), "Infinity").when(hpa == -float("inf"), "-Infinity")
+
+
+def seconds_text(x: Column) -> Column:
+    """0.0s, seconds with one decimal, or minutes from 60 seconds on."""
+    return F.when(x <= 0, "0.0s").when(x >= 60, F.concat(one_decimal(x / 60), F.lit("min"))).otherwise(F.concat(one_decimal(x), F.lit("s")))
+
+
+def metres_text(x: Column) -> Column:
+    return F.when(x.isNull() | F.isnan(x), "-").otherwise(F.concat(one_decimal(x), F.lit("m")))
+
+
+def climb_text(x: Column) -> Column:
+    """Metres of ascent; none is below zero."""
+    return F.when(x.isNull() | F.isnan(x) | (x < 0), "-").otherwise(F.concat(one_decimal(x), F.lit("m")))
+
+
+def long_duration_text(seconds: Column) -> Column:
+    """The two largest of hours, minutes and seconds; - for none."""
+    whole = F.floor(seconds + 0.5).cast("long")
+    h, m, s = F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), whole % 60
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0), "-").when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def device_path(brand: Column, maker: Column, model: Column, name: Column) -> Column:
+    """Brand (else maker), model and name as far as they are known."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws(" / ", F.coalesce(some(brand), some(maker)), some(model), some(name))
+
+
+def sensor_name(kind: Column) -> Column:
+    """The platform's numbers of acceleration sensors."""
+    return F.when(kind == 10, "TYPE_LINEAR_ACCELERATION").when(kind == 1, "TYPE_ACCELEROMETER").otherwise(F.concat(F.lit("TYPE_"), kind.cast("string")))
+
+
+def reason_of(key: Column) -> Column:
+    """What is behind the first colon of result:reason; without a colon all of it; - for nothing."""
+    rest = F.when(F.contains(key, F.lit(":")), F.substring(key, F.instr(key, ":") + 1, F.length(key))).otherwise(key)
+    return F.coalesce(F.nullif(rest, F.lit("")), F.lit("-"))
+
+
+#: Our text for reasons without an explanation.
+UNEXPLAINED = ("No reason recorded", "No explanation of this reason; look at the result, its context and the raw fields")
+
+TRAVEL = ("transport_suspected", "transport_confirmed")
+
+
+def is_travel(result: Column, reason: Column) -> Column:
+    return F.coalesce((result == "transport") | reason.isin(*TRAVEL), F.lit(False))
+
+
+def travel_segment(from_result: Column, from_reason: Column, to_result: Column, to_reason: Column) -> Column:
+    """Whether the line between two points is a ride's: either end is, or the second ends one."""
+    return is_travel(from_result, from_reason) | is_travel(to_result, to_reason) | F.coalesce(to_reason == "transport_recovery", F.lit(False))
+
+
+def track_outcome(read: Column, completion: Column, integrity: Column, points: Column, weaks: Column, raws: Column, metres: Column, gpx: Column, partial: Column) -> Column:
+    """What became of a session's track."""
+    return (
+        F.when(read != "OK", "UNREADABLE").when(completion != "FINISHED", F.when(partial, "INTERRUPTED_PARTIAL").otherwise("NOT_FINISHED_LOG_ONLY")).when(integrity != "OK", "INTEGRITY_LOG_ONLY")
+        .when(points <= 0, F.when(weaks > 0, "WEAK_ONLY_PARTIAL").when(raws > 0, "NO_TRUSTED_POINT").otherwise("NO_FIX")).when((points == 1) & (metres <= 0), "ANCHOR_ONLY").when(gpx, "EXPORTABLE").otherwise("FILE_MISSING")
+    )
+
+
+def track_outcome_short(read: Column, completion: Column, integrity: Column, points: Column, weaks: Column, gpx: Column, partial: Column) -> Column:
+    return (
+        F.when(read != "OK", "BROKEN").when(completion != "FINISHED", F.when(partial, "INTERRUPTED").otherwise("NOT_FINISHED")).when(integrity != "OK", "CHECK")
+        .when(gpx & (points > 0), "EXPORTABLE").when(weaks > 0, "WEAK").otherwise("NO_TRACK")
+    )
+
+
+def lifecycle(events: Column) -> Column:
+    """(completion, integrity, active) after a session's events (kinds in order): start, finish, interrupt, or an error code."""
+    state = lambda completion, integrity, active: F.struct(completion.alias("completion"), integrity.alias("integrity"), active.alias("active"))
+    start = state(F.lit("ACTIVE"), F.lit("OK"), F.lit(False))
+
+    def step(s: Column, e: Column) -> Column:
+        return (
+            F.when(e == "start_recording", state(F.lit("ACTIVE"), F.lit("OK"), F.lit(True))).when(e == "finish_recording", state(F.lit("FINISHED"), s["integrity"], F.lit(False)))
+            .when(e == "interrupted", state(F.lit("INTERRUPTED"), s["integrity"], F.lit(False))).when(F.startswith(e, F.lit("error:")), state(F.lit("ERROR"), F.lit("ERROR"), F.lit(False))).otherwise(s)
+        )
+
+    return F.aggregate(events, start, step)
+
+
+def preferred_log(kind: Column, size: Column) -> Column:
+    """Rank of a file among those dropped in: a log by its name, else one that is not empty, else any."""
+    return F.when(kind == "log", 0).when(size > 0, 1).otherwise(2)

@@ -135,6 +135,17 @@ def newest(rows: DataFrame, many: int, order: str = "line_no") -> DataFrame:
     return rows.withColumn("rank_", rank).where(F.col("rank_") <= many).drop("rank_")
 
 
+#: Tiles that one drawing may ask for, and that may be under way together.
+TILES_A_DRAWING, TILES_UNDER_WAY = 6, 18
+
+
+def requested(tiles: DataFrame, priority: str, tie: str) -> DataFrame:
+    """tiles (session_id, active: how many are under way) that a drawing asks for, with pos, the most urgent first."""
+    pos = F.row_number().over(W.partitionBy("session_id").orderBy(priority, tie)).cast("long")
+    room = F.least(F.lit(TILES_A_DRAWING), TILES_UNDER_WAY - F.col("active"))
+    return tiles.withColumn("pos", pos).where((F.col("pos") <= TILES_A_DRAWING) & (F.col("pos") <= room))
+
+
 def heading_reliability(samples: DataFrame, width: int = 3 * SECOND) -> DataFrame:
     """samples (t, heading, field, gyro, accurate) with the spread over the last width and the verdict."""
     w = W.partitionBy("session_id").orderBy("t").rangeBetween(-width, 0)

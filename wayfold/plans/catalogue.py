@@ -1,4 +1,4 @@
 """All queries of the engine (its training-data queries apart)."""
 
-from . import extras, fields, joins, reports, windows  # noqa: F401
+from . import details, extras, fields, joins, reports, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

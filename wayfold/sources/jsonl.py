@@ -136,3 +136,23 @@ def replay_reports(logs: DataFrame, key: str = "session_id") -> DataFrame:
 def replay_batch(reports: DataFrame) -> DataFrame:
     """How many logs have each status."""
     return reports.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summaries(logs: DataFrame, key: str = "session_id") -> DataFrame:
+    """summary() of logs (text, there) with their state: MISSING where there is none, READ_ERROR where it gave no text."""
+    made = summary(lines(logs.where("there AND text IS NOT NULL"), key), key)
+    rows = logs.select(key, "there", F.col("text").isNull().alias("unread")).join(made, key, "left")
+    status = F.when(~F.col("there"), "MISSING").when(F.col("unread"), "READ_ERROR").otherwise(F.coalesce("status", F.lit("OK")))
+    none = F.lit(0).cast("long")
+    return rows.select(key, status.alias("status"), F.greatest(none, F.coalesce("last_seq", none)).alias("last_seq"), F.coalesce("n", none).alias("n"))
+
+
+def bad_lines(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Lines that are no JSON objects, with what is wrong and their first 160 characters."""
+    return permissive(rows, key)[1].select(key, "line_no", F.lit("not a JSON object").alias("message"), "text")
+
+
+def batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The logs of a folder: file_name (their order), session_id (its rank) and text."""
+    found = files(spark, f"{folder}/*.jsonl").withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
+    return found.withColumn("session_id", F.dense_rank().over(W.orderBy("file_name")).cast("long"))  # file names of one folder

@@ -36,9 +36,24 @@ def read(lines: DataFrame) -> DataFrame:
     return out.where(good).withColumns({"bearing": F.when(F.col("bearing") >= 0, F.col("bearing")), "alt": known("alt"), "vacc": known("vacc"), "hpa": known("hpa"), "baro_alt": known("baro_alt")})
 
 
-def line_features(points: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
+def line_features(points: DataFrame, keys: list[str], order: str = "line_no", properties: dict[str, Column] | None = None) -> DataFrame:
     """A GeoJSON line for each group of two points or more."""
     pair = F.transform(F.array_sort(F.collect_list(F.struct(order, "lng", "lat"))), lambda p: F.array(p["lng"], p["lat"]))
     rows = points.groupBy(*keys).agg(pair.alias("coordinates"))
-    geometry = F.struct(F.lit("LineString").alias("type"), F.col("coordinates"))
-    return rows.where(F.size("coordinates") > 1).select(*keys, F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"))).alias("feature"))
+    return rows.where(F.size("coordinates") > 1).select(*keys, _feature("LineString", F.col("coordinates"), properties or {}))
+
+
+def point_features(points: DataFrame, properties: dict[str, Column]) -> DataFrame:
+    """A GeoJSON point for each point."""
+    return points.select("session_id", _feature("Point", F.array("lng", "lat"), properties))
+
+
+def _feature(kind: str, coordinates: Column, properties: dict[str, Column]) -> Column:
+    named = F.struct(*[v.alias(k) for k, v in properties.items()]) if properties else F.create_map()
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), named.alias("properties"), geometry.alias("geometry"))).alias("feature")
+
+
+def collection(features: DataFrame, keys: list[str]) -> DataFrame:
+    """The features of each key as one GeoJSON collection."""
+    return features.groupBy(*keys).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("feature")), ","), F.lit("]}")).alias("collection"))

@@ -105,6 +105,21 @@ def write_reports(reports: DataFrame, folder: str, title: str = "Report", sectio
     sectioned(reports, title, sections).select(F.col("text").alias("value")).write.mode("overwrite").text(f"{folder}/text")
 
 
+def acceptance_markdown(devices: DataFrame, batches: DataFrame, batch: str = "batch") -> DataFrame:
+    """The acceptance report of each batch as Markdown: verdict block and a line for each device. Both frames as reports.consistency() gives them."""
+    from ..functions import fields as T
+
+    c = F.col
+    percent = lambda x: F.when(x.isNull(), "-").otherwise(T.percent_text(x))
+    cells = [c("verdict"), T.device_label(c("brand"), c("model"), F.lit(None), F.lit(None)), c("session_id").cast("string"), c("ascent_source"), T.metres_text(c("ascent")), T.metres_text(c("away")), percent(c("rel")), F.coalesce(F.nullif(F.array_join("reasons", "; "), F.lit("")), F.lit("-"))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    lines = devices.withColumn("line", line).groupBy(batch).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "line"))), lambda r: r["line"]), "\n").alias("lines"))
+    head = [F.concat(F.lit("- Devices: "), c("device_group")), F.concat(F.lit("- Verdict: "), c("verdict")), F.concat(F.lit("- Median ascent: "), T.metres_text(c("median_ascent"))), F.concat(F.lit("- Largest relative deviation: "), percent(c("max_rel"))), F.concat(F.lit("- Largest absolute deviation: "), T.metres_text(c("max_away")))]
+    names = ("Verdict", "Device", "Session", "Source", "Ascent", "Deviation", "Relative", "Notes")
+    table = f"| {' | '.join(names)} |\n|{' --- |' * len(names)}"
+    return batches.join(lines, batch).select(batch, F.concat_ws("\n", F.lit("# Consistency of barometer ascent\n"), *head, F.lit(f"\n{table}"), "lines").alias("report"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append the lines of jsonl.with_envelope() to a log's folder."""
     from .jsonl import with_envelope
