@@ -1,8 +1,10 @@
 """The decision pipeline on streams: the batch fold's steps behind keyed state.
 
 Rows of a session are sorted by arrival inside each micro-batch. Late and repeated fixes are
-not dropped by a watermark: they become decisions, as in batch. State is one small object a
-session; a session without rows for `ttl` loses it. A silence of `silence` milliseconds since the
+not dropped by a watermark: they become decisions, as in batch. Snapshots are rows of the stream
+too: a fix takes the one that it names, or without a name the nearest in time, from a buffer of
+those that came before it. State is one small object a session (its buffer holds 300 snapshots of
+300 seconds at most); a session without rows for `ttl` loses it. A silence of `silence` milliseconds since the
 last fix gives one no_location_timeout row, until the next fix.
 """
 
@@ -21,13 +23,34 @@ from ..plans import decide as D
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_FIX_MILLIS = 30_000
-#: Input of a stream: fixes and motion summaries in one relation.
+#: Snapshots that a buffer keeps, their age against the newest, and how far from a fix one may be.
+BUFFER_ROWS, BUFFER_AGE, REACH = 300, 300 * SECOND, 3 * SECOND
+#: Input of a stream: fixes, motion summaries and snapshots in one relation.
 INPUT = (
     "session_id long, line_no long, kind string, raw_id long, provider string, has_t boolean, t long, recv long, start_t long, lat double, lng double, acc double, speed double, mock boolean, forced boolean, "
-    "snap_used long, snap_top4 double, t0 long, t1 long, samples long, rms double, score double, still boolean"
+    "snap_id long, used long, used_cn0 double, top4_cn0 double, t0 long, t1 long, samples long, rms double, score double, still boolean"
 )
 
 
+class Snapshots:
+    """The snapshots of a session that may still be looked up, in the order of their arrival."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, int, float | None]] = []  # id, time, satellites used, best signal
+
+    def add(self, snap_id: int, t: int, used: int, top4: float | None) -> None:
+        self.rows.append((snap_id, t, used, top4))
+        newest = max(r[1] for r in self.rows)
+        self.rows = [r for r in self.rows[-BUFFER_ROWS:] if newest - r[1] <= BUFFER_AGE]
+
+    def find(self, snap_id: int | None, t: int) -> tuple[int, int, int, float | None] | None:
+        """The last one with the id; without an id the nearest one before t within REACH, else after it."""
+        if snap_id is not None:
+            return next((r for r in reversed(self.rows) if r[0] == snap_id), None)
+        near = [r for r in self.rows if abs(t - r[1]) <= REACH]
+        return min(near, key=lambda r: (t < r[1], abs(t - r[1])), default=None)
+
+
 def broken_rule(r: Any, now: int, c: Strategy = DEFAULT) -> str | None:
     """The first validation rule that a fix breaks (the row form of D.validated)."""
     if r.provider != "gps":
@@ -60,22 +83,28 @@ class DecisionProcessor(StatefulProcessor):
         self.held = handle.getValueState("session", "now long, blob binary", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, now = D.State(), -1
+        state, now, snaps = D.State(), -1, Snapshots()
         if self.held.exists():
             now, blob = self.held.get()
-            state = pickle.loads(blob)
+            state, snaps = pickle.loads(blob)
         part = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        why, fixes = [], 0
+        why, used, top4, fixes = [], [], [], 0
         for r in part.itertuples(index=False):
-            if r.kind != "fix":
-                why.append(None)
-                continue
-            fixes += 1
-            now = max(now, int(r.recv), int(r.start_t))
-            why.append(broken_rule(r, now))
-        part = part.assign(invalid=pd.Series(why, index=part.index, dtype=object))
-        made, state, _ = D.fold(state, part)
-        self.held.update((now, pickle.dumps(state)))
+            known = None
+            if r.kind == "snap":
+                best = r.top4_cn0 if D._some(r.top4_cn0) else r.used_cn0
+                snaps.add(int(r.snap_id), int(r.t), int(r.used), best if D._some(best) else None)
+            elif r.kind == "fix":
+                fixes += 1
+                now = max(now, int(r.recv), int(r.start_t))
+                known = snaps.find(int(r.snap_id) if D._some(r.snap_id) else None, int(r.t))
+            why.append(broken_rule(r, now) if r.kind == "fix" else None)
+            used.append(known[2] if known else None)
+            top4.append(known[3] if known else None)
+        listed = lambda values: pd.Series(values, index=part.index, dtype=object)
+        part = part.assign(invalid=listed(why), snap_used=listed(used), snap_top4=listed(top4))
+        made, state, _ = D.fold(state, part[part["kind"] != "snap"])
+        self.held.update((now, pickle.dumps((state, snaps))))
         if self.silence is not None and fixes:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
