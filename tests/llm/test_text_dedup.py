@@ -41,12 +41,76 @@ def test_exact(spark, name):
     assert got == brute.exact_rows(TABLES[name])
 
 
-@pytest.mark.parametrize("name", TABLES)
+def rearranged():
+    """Passages whose windows a source has in other order, repeats, and chains of copies; rows of one id."""
+    rng = random.Random(12)
+    words = lambda n: [rng.choice("ab cd ef gh ij kl".split()) for _ in range(n)]
+    base, line = words(80), words(9)
+    docs = [(5, " ".join(base)), (9, " ".join(base[40:] + base[:40])), (9, " ".join(base[10:70])), (None, " ".join(base[5:50])), (None, " ".join(base[5:50]))]
+    docs += [(20 + k, " ".join(line * k)) for k in range(1, 9)] + [(3, " ".join(line * 3 + base[:30] + line * 5))]
+    docs += [(40 + k, " ".join(words(3) + base[k * 5 : k * 5 + 30] + words(2) + base[60 - k * 3 :] + words(1))) for k in range(9)]
+    docs += [(60, " ".join(base[i // 2 % 80] for i in range(300))), (61, " \t".join(base[i // 2 % 80] for i in range(100, 290)))]
+    return docs
+
+
+@pytest.mark.parametrize("name", [*TABLES, "rearranged", "periodic"])
 def test_substring(spark, name, monkeypatch):
+    data = {"rearranged": rearranged, "periodic": periodic}.get(name, lambda: TABLES[name])()
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 300)
-    got = rows(substring_dedup.digests(frame(spark, TABLES[name])), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == brute.substring_rows(TABLES[name])
+    got = rows(substring_dedup.digests(frame(spark, data)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring_rows(data)
+
+
+@pytest.mark.parametrize("name", ["awkward", "rearranged"])
+def test_factors_have_their_words_in_the_source(spark, name, monkeypatch):
+    data = rearranged() if name == "rearranged" else TABLES[name]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
+    found = substring_dedup.spans(frame(spark, data)).collect()
+    texts = [(i, brute.WORD.findall(t or "")) for i, t in data]
+    assert found and max(r.n_words for r in found) > 13
+    for r in found:
+        assert r.source_id is not None and (r.doc_id is None or r.source_id < r.doc_id)
+        here = {tuple(w[r.start : r.start + r.n_words]) for i, w in texts if i == r.doc_id}
+        there = {tuple(w[r.source_start : r.source_start + r.n_words]) for i, w in texts if i == r.source_id}
+        assert any(len(w) == r.n_words for w in here & there)
+
+
+def test_substring_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With window hashes of eight bits the words decide: nothing goes that the source doesn't have."""
+    run_hash = _text.run_hash
+    monkeypatch.setattr(substring_dedup, "_windows", lambda *a, f=substring_dedup._windows: (lambda h, w, r: (h & np.uint64(0xFF << 56), w, r))(*f(*a)))
+    data = rearranged()
+    b = substring_dedup._Block(_parts_table(data), 13)
+    begin, many, source, rank = b.factors(_NO_ANSWERS)
+    assert len(np.unique(b.hashes)) < 257 and len(begin) and run_hash
+    claims = substring_dedup._claims(13, False)(_parts_table(data), _NO_ANSWERS)
+    out = substring_dedup._verify(13)(_parts_table(data), claims.select(list(substring_dedup._KEYS)))
+    at = out.column("at").to_pylist()
+    assert -1 in at
+    lists = [brute.WORD.findall(t or "") for _, t in sorted(data, key=lambda d: (d[0] is None, d[0] or 0, d[1] or ""))]
+    for k, place in enumerate(at):
+        w0 = int(b.word[begin[k]])
+        row = int(b.row[begin[k]])
+        words = lists[row][w0 - int(b.first[row]) :][: int(many[k]) + 12]
+        if place >= 0:
+            assert any(lists[r][place : place + len(words)] == words for r in np.flatnonzero(b.rank == rank[k]))
+
+
+def _parts_table(data):
+    import pyarrow as pa
+
+    return pa.table({"part": pa.array([0] * len(data), pa.int32()), "doc_id": pa.array([i for i, _ in data], pa.int64()), "text": pa.array([t for _, t in data], pa.string())})
+
+
+def _no_answers():
+    import pyarrow as pa
+
+    kinds = {"part": pa.int32(), "bucket": pa.int32(), "n": pa.int32(), "seen": pa.binary(), "source": pa.binary(), "rank": pa.binary(), "round": pa.int32(), "no": pa.int32(), "at": pa.int64(), "source_id": pa.int64()}
+    return pa.schema(list(kinds.items())).empty_table()
+
+
+_NO_ANSWERS = _no_answers()
 
 
 def periodic():

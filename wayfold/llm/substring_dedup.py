@@ -1,21 +1,30 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The documents, in order of their ids, are cut into reference blocks of bounded size. Every
-block is indexed: the hashes of its word windows (FACTOR consecutive words of one document),
-sorted, and dealt by range of the hash to index buckets. Each document is then parsed
-relative to all blocks before its own and to the documents before it in its own block: a
-factor starts at the first window that the index has and is extended greedily, window by
-window, while the next is in the index too. Where a factor ends, the windows that lie across
-its boundary have all been looked up as well, so none that straddles two factors is lost. A
-factor of FACTOR words or more is a duplicate span; its words are removed.
-
-A block sends each distinct window once and gets back one bit for it (whether an earlier
-block has the window), so a passage that a third of all documents share costs a row a block.
-Windows are compared by 64-bit hashes of 64-bit word hashes.
+The documents are dealt into reference blocks of bounded size. Every block is indexed: the
+hashes of its word windows (FACTOR consecutive words of one document), sorted, each with its
+first document, dealt by range of the hash to index buckets. A bucket tells each block which of
+its windows a document with a smaller id has, in whichever block, and names that source: the
+block and the document with the smallest id of all.
+
+Each document is then parsed relative to the reference blocks: a factor begins at the first
+window that a source has and is extended greedily, window by window, while the same source
+document has the next. Where a factor ends, the windows across its boundary have been looked up
+as well, and the next factor begins at the first of them that any source has, so that none that
+straddles two factors is lost. Every factor is claimed from its source block, which finds the
+place where its first window occurs in the source document and compares the factor's words, by
+a cryptographic digest of all of them. What a source can't show as one stretch (its windows may
+lie in other order there) is claimed again window by window. Only windows whose words were found
+in their source count. A factor of FACTOR words or more is a duplicate span; its words go.
+
+A block sends each distinct window once and gets one bit for it and, for the few that are
+repeated, their source; equal claims of all blocks are one. So a passage that a third of all
+documents share costs a few rows a block. No list of blocks or documents is collected.
 
 A null text has no words. A null id counts as larger than all others. Rows with one id are one
-document to each other: neither removes the other's words. Texts under FACTOR words keep all.
-Extra columns are ignored. An empty table gives an empty result.
+document to each other: neither removes the other's words. Texts under FACTOR words keep all;
+texts of any length are parsed whole. Extra columns, whatever their names, are ignored. An empty
+table gives an empty result. Hashes of 64 bits choose what is claimed; should two different
+windows share one, the words decide against the source that was named.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,20 +56,6 @@ def _windows(data: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.nda
     return _text.run_hash(sums, word, word + factor), word, row
 
 
-def parse(hit: np.ndarray, word: np.ndarray, row: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors, as starts and ends in words, from the windows that the index has.
-
-    A factor goes on while the next window of the same document is a hit.
-    """
-    if not len(hit):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    opens = hit.copy()
-    opens[1:] &= ~(hit[:-1] & (row[1:] == row[:-1]))
-    closes = hit.copy()
-    closes[:-1] &= ~(hit[1:] & (row[1:] == row[:-1]))
-    return word[opens], word[closes] + factor
-
-
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, starts, 1)
@@ -90,73 +86,197 @@ def kept_texts(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.nda
     return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _ranks(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a block's rows, ascending, and the place of each row's id among them."""
-    return np.unique(order, return_inverse=True)
+class _Block:
+    """A block's rows in order of their ids, with their words and windows."""
+
+    def __init__(self, rows: pa.Table, factor: int):
+        self.part = rows.column("part")[0].as_py() if rows.num_rows else -1
+        self.factor = factor
+        self.ids, order, self.data, self.off = _parts.arranged(rows)
+        with np.errstate(over="ignore"):
+            self.start, self.end, self.first = _text.words(self.data, self.off)
+            self.hashes, self.word, self.row = _windows(self.data, self.first, self.start, self.end, factor)
+        #: The distinct ids, ascending, and the place of each row's id among them.
+        self.known, self.rank = np.unique(order, return_inverse=True)
+        self._flat: tuple[bytes, np.ndarray] | None = None
+
+    def words_digest(self, word: int, many: int) -> bytes:
+        """Of so many words from one on, joined by single spaces."""
+        if self._flat is None:
+            size = self.end - self.start
+            flat = np.full(int(size.sum()) + len(size), 32, np.uint8)
+            ink = self.data[~_text.WHITE[self.data]]
+            flat[np.arange(len(ink)) + np.repeat(np.arange(len(size)), size)] = ink
+            self._flat = flat.tobytes(), np.concatenate([[0], np.cumsum(size + 1)])
+        text, at = self._flat
+        return hashlib.blake2b(text[at[word] : at[word + many] - 1], digest_size=16).digest()
+
+    def factors(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy factors: the first window and how many, and the source's block and document rank."""
+        found, at, back = np.unique(self.hashes, return_index=True, return_inverse=True)
+        seen, source, rank = np.zeros(len(found), bool), np.full(len(found), self.part), self.rank[self.row[at]]
+        if answers.num_rows:
+            answers = answers.sort_by("bucket")
+            cells = [[b.as_py() for b in answers.column(n)] for n in ("seen", "source", "rank")]
+            seen = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n.as_py()) for b, n in zip(cells[0], answers.column("n"))]).astype(bool)
+            source[seen], rank[seen] = np.frombuffer(b"".join(cells[1]), np.int32), np.frombuffer(b"".join(cells[2]), np.int32)
+        # Rows are in order of their ids and np.unique gives the first, so the block's own first document is known too.
+        hit = seen[back] | (rank[back] < self.rank[self.row])
+        source, rank = source[back], rank[back]
+        goes_on = np.zeros(len(hit), bool)
+        goes_on[1:] = hit[1:] & hit[:-1] & (self.row[1:] == self.row[:-1]) & (source[1:] == source[:-1]) & (rank[1:] == rank[:-1])
+        begin = np.flatnonzero(hit & ~goes_on)
+        stop = np.flatnonzero(hit & ~np.append(goes_on[1:], False)) + 1
+        return begin, stop - begin, source[begin], rank[begin]
+
+    def told(self, verdicts: pa.Table, round_: int, many: int) -> np.ndarray:
+        """The place that each claim of a round was found at (-1: not)."""
+        out = np.full(many, -1, np.int64)
+        mine = verdicts.filter(pc.equal(verdicts.column("round"), round_))
+        out[mine.column("no").to_numpy()] = mine.column("at").to_numpy()
+        return out
+
+    def single(self, begin: np.ndarray, many: np.ndarray, source: np.ndarray, rank: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of failed factors, which of the distinct ones each is, and one window with its source's block and rank for each of these."""
+        mine = np.flatnonzero(failed)
+        size = many[mine]
+        window = np.repeat(begin[mine] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(mine) else begin[mine], size) + np.arange(size.sum())
+        _, one, which = np.unique(self.hashes[window], return_index=True, return_inverse=True)
+        owner = np.repeat(mine, size)[one]
+        return window, which, window[one], owner
 
 
 def _index(buckets: int, factor: int):
     def run(rows: pa.Table) -> pa.Table:
         """One row for each bucket that the block has windows for: their hashes, packed, and the first document of each."""
-        with np.errstate(over="ignore"):
-            part = rows.column("part")[0].as_py()
-            _, order, data, off = _parts.arranged(rows)
-            start, end, first = _text.words(data, off)
-            hashes, _, row = _windows(data, first, start, end, factor)
-            found, at = np.unique(hashes, return_index=True)
-        ids, rank = _ranks(order)
-        rank = rank[row[at]].astype(np.uint16 if len(ids) <= 65536 else np.uint32)
+        b = _Block(rows, factor)
+        found, at = np.unique(b.hashes, return_index=True)
+        rank = b.rank[b.row[at]].astype(np.uint16 if len(b.known) <= 65536 else np.uint32)
         edges = _text.bucket_edges(found, buckets)
         used = np.flatnonzero(np.diff(edges))
-        cuts = [slice(edges[b], edges[b + 1]) for b in used]
+        cuts = [slice(edges[k], edges[k + 1]) for k in used]
         return pa.table({
-            "bucket": pa.array(used, pa.int32()), "part": pa.array([part] * len(used), pa.int32()),
-            "windows": pa.array([_text.pack_sorted(found[c]) for c in cuts], pa.binary()), "ranks": pa.array([rank[c].tobytes() for c in cuts], pa.binary()), "ids": pa.array([ids.tobytes()] * len(used), pa.binary()),
+            "bucket": pa.array(used, pa.int32()), "part": pa.array([b.part] * len(used), pa.int32()),
+            "windows": pa.array([_text.pack_sorted(found[c]) for c in cuts], pa.binary()), "ranks": pa.array([rank[c].tobytes() for c in cuts], pa.binary()), "ids": pa.array([b.known.tobytes()] * len(used), pa.binary()),
         })
 
     return run
 
 
 def _look_up(rows: pa.Table) -> pa.Table:
-    """For each block of a bucket, a bit for each of its windows: whether a document of another block has it, with a smaller id than any of its own."""
-    each, first = [], []
-    for windows, ranks, ids in zip(rows.column("windows"), rows.column("ranks"), rows.column("ids")):
+    """For each block of a bucket, a bit for each of its windows: whether a document of another block has it, with a smaller id than any of its own; and the block and rank of that with the smallest."""
+    each, first, ranks = [], [], []
+    for windows, rank, ids in zip(rows.column("windows"), rows.column("ranks"), rows.column("ids")):
         ids = np.frombuffer(ids.as_py(), np.int64)
         each.append(_text.unpack_sorted(windows.as_py()))
-        first.append(ids[np.frombuffer(ranks.as_py(), np.uint16 if len(ids) <= 65536 else np.uint32)])
+        ranks.append(np.frombuffer(rank.as_py(), np.uint16 if len(ids) <= 65536 else np.uint32).astype(np.int32))
+        first.append(ids[ranks[-1]])
     sizes = np.cumsum([0, *map(len, each)])
-    values, first = np.concatenate(each), np.concatenate(first)
+    values, first, ranks = np.concatenate(each), np.concatenate(first), np.concatenate(ranks)
+    del each
+    owner = np.repeat(rows.column("part").to_numpy().astype(np.int32), np.diff(sizes))
     order = np.argsort(values, kind="stable")
     opens = np.concatenate([[True], values[order][1:] != values[order][:-1]])
-    least = np.minimum.reduceat(first[order], np.flatnonzero(opens))
-    seen = np.zeros(len(values), bool)
-    seen[order] = least[np.cumsum(opens) - 1] < first[order]
-    bits = [np.packbits(seen[a:b]).tobytes() for a, b in zip(sizes[:-1], sizes[1:])]
-    return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "seen": pa.array(bits, pa.binary())})
+    group = np.cumsum(opens) - 1
+    first = first[order]
+    least = np.minimum.reduceat(first, np.flatnonzero(opens))
+    holds = np.flatnonzero(first == least[group])[::-1]
+    best = np.empty(len(least), np.int64)
+    best[group[holds]] = order[holds]  # of equal ids that of the first block
+    seen, at = np.zeros(len(values), bool), np.empty(len(values), np.int64)
+    seen[order], at[order] = least[group] < first, best[group]
+    cuts = [slice(a, b) for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
+    named = [at[c][seen[c]] for c in cuts]
+    return pa.table({
+        "part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "seen": pa.array([np.packbits(seen[c]).tobytes() for c in cuts], pa.binary()),
+        "source": pa.array([owner[n].tobytes() for n in named], pa.binary()), "rank": pa.array([ranks[n].tobytes() for n in named], pa.binary()),
+    })
+
+
+_ANSWERS_SQL = "part int, bucket int, n int, seen binary, source binary, rank binary"
+_CLAIMS = pa.schema([("source", pa.int32()), ("rank", pa.int32()), ("h", pa.int64()), ("many", pa.int32()), ("digest", pa.binary()), ("part", pa.int32()), ("no", pa.int32())])
+_CLAIMS_SQL = "source int, rank int, h long, many int, digest binary, part int, no int"
+_KEYS = ("source", "rank", "h", "many", "digest")
+
+
+def _claims(factor: int, again: bool):
+    """What a block claims of its sources: its factors, or again the windows of those that weren't found as they are."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        answers, verdicts = _split(told)
+        if not rows.num_rows or again and not pc.any(pc.equal(verdicts.column("at"), -1)).as_py():
+            return _CLAIMS.empty_table()
+        b = _Block(rows, factor)
+        begin, many, source, rank = b.factors(answers)
+        if again:
+            _, _, begin, owner = b.single(begin, many, source, rank, b.told(verdicts, 1, len(begin)) < 0)
+            many, source, rank = np.ones(len(begin), np.int64), source[owner], rank[owner]
+        digest = [b.words_digest(w, n + factor - 1) for w, n in zip(b.word[begin].tolist(), many.tolist())]
+        return pa.table([pa.array(source, pa.int32()), pa.array(rank, pa.int32()), pa.array(b.hashes[begin].view(np.int64)), pa.array(many, pa.int32()), pa.array(digest, pa.binary()), pa.array(np.full(len(begin), b.part), pa.int32()), pa.array(np.arange(len(begin)), pa.int32())], schema=_CLAIMS)
+
+    return run
+
+
+def _split(told: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Answers of the index, and verdicts on claims."""
+    verdict = pc.is_valid(told.column("round"))
+    return told.filter(pc.invert(verdict)), told.filter(verdict)
+
+
+#: Places of a claim's first window in the source document that are tried; a claim found at none of them is made again window by window.
+TRIED = 16
+_VERIFIED_SQL = ", ".join(f"{n} {k}" for n, k in zip(_KEYS, ("int", "int", "long", "int", "binary"))) + ", at long, source_id long"
+
+
+def _verify(factor: int):
+    def run(rows: pa.Table, claims: pa.Table) -> pa.Table:
+        """Where the claimed words stand in their source document (-1: nowhere)."""
+        at, ids = [], []
+        if claims.num_rows:
+            b = _Block(rows, factor)
+            order = np.argsort(b.hashes, kind="stable")
+            ranked = b.hashes[order]
+            h = claims.column("h").to_numpy().view(np.uint64)
+            low, high = np.searchsorted(ranked, h, side="left").tolist(), np.searchsorted(ranked, h, side="right").tolist()
+            for x, y, rank, many, digest in zip(low, high, claims.column("rank").to_pylist(), claims.column("many").to_pylist(), claims.column("digest").to_pylist()):
+                places = order[x:y]
+                row = b.row[places]
+                fits = (b.rank[row] == rank) & (b.word[places] + many + factor - 1 <= b.first[row + 1])
+                found = next((k for k in places[fits][:TRIED].tolist() if b.words_digest(int(b.word[k]), many + factor - 1) == digest), None)
+                at.append(-1 if found is None else int(b.word[found] - b.first[b.row[found]]))
+                ids.append(int(b.known[rank]))
+        out = pa.table([*[claims.column(n) for n in _KEYS], pa.array(at, pa.int64()), pa.array(ids, pa.int64())], names=[*_KEYS, "at", "source_id"])
+        return out
+
+    return run
+
+
+def _outcome(b: _Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Duplicate spans: first word, words, source id, place in the source; and their windows."""
+    answers, verdicts = _split(told)
+    begin, many, source, rank = b.factors(answers)
+    at = b.told(verdicts, 1, len(begin))
+    window, which, one, _ = b.single(begin, many, source, rank, at < 0)
+    at2 = b.told(verdicts, 2, len(one))[which] if len(window) else np.zeros(0, np.int64)
+    ids = {(r, n): i for r, n, i in zip(*(verdicts.column(c).to_pylist() for c in ("round", "no", "source_id")))}
+    whole, alone = np.flatnonzero(at >= 0), np.flatnonzero(at2 >= 0)
+    starts = np.concatenate([b.word[begin[whole]], b.word[window[alone]]]).astype(np.int64)
+    size = np.concatenate([many[whole], np.ones(len(alone), np.int64)]) + b.factor - 1
+    sources = np.array([ids[1, k] for k in whole.tolist()] + [ids[2, k] for k in which[alone].tolist()], np.int64)
+    return starts, size, sources, np.concatenate([at[whole], at2[alone]])
 
 
 def _finish(factor: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            ids, order, data, off = _parts.arranged(rows)
-            start, end, first = _text.words(data, off)
-            hashes, word, row = _windows(data, first, start, end, factor)
-            found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if answers.num_rows:
-            answers = answers.sort_by("bucket")
-            seen = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()) for b, n in zip(answers.column("seen"), answers.column("n"))]).astype(bool)
-        else:
-            seen = np.zeros(len(found), bool)
-        # Inside the block, rows are in order of their ids and np.unique gives the first.
-        earlier = order[row[at]]
-        hit = seen[back] | (earlier[back] < order[row])
-        keep = ~_covered(len(start), *parse(hit, word, row, factor)) if len(start) else np.zeros(0, bool)
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        b = _Block(rows, factor)
+        starts, size, _, _ = _outcome(b, told)
+        keep = ~_covered(len(b.start), starts, starts + size) if len(b.start) else np.zeros(0, bool)
         gone = np.concatenate([[0], np.cumsum(~keep)])
-        texts = kept_texts(data, off, start, end, first, keep)
+        texts = kept_texts(b.data, b.off, b.start, b.end, b.first, keep)
         return pa.table({
-            "doc_id": ids,
-            "n_words": pa.array(np.diff(first), pa.int64()),
-            "n_removed": pa.array(np.diff(gone[first]), pa.int64()),
+            "doc_id": b.ids,
+            "n_words": pa.array(np.diff(b.first), pa.int64()),
+            "n_removed": pa.array(np.diff(gone[b.first]), pa.int64()),
             "kept": pa.array(texts, pa.large_binary()).cast(pa.binary()),
         })
 
@@ -164,22 +284,44 @@ def _finish(factor: int):
 
 
 def _digest(inner):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = inner(rows, answers)
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = inner(rows, told)
         sha = [hashlib.sha256(t.as_py()).hexdigest() for t in out.column("kept")]
         return out.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sha, pa.string()))
 
     return run
 
 
+def _spans(factor: int):
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        b = _Block(rows, factor)
+        starts, size, sources, at = _outcome(b, told)
+        row = np.searchsorted(b.first, starts, side="right") - 1
+        unknown = sources == _parts.LAST
+        return pa.table({
+            "doc_id": b.ids.take(pa.array(row)), "start": pa.array(starts - b.first[row], pa.int64()), "n_words": pa.array(size, pa.int64()),
+            "source_id": pa.array(sources, pa.int64(), mask=unknown), "source_start": pa.array(at, pa.int64()),
+        })
+
+    return run
+
+
 def _parsed(docs: DataFrame, doc_id: str, text: str, factor: int, finish, schema: str) -> DataFrame:
     dealt, parts, size = _parts.deal(docs, doc_id, text, BLOCK_BYTES)
     buckets = max(1, -(-size // (6 * BUCKET_WINDOWS)))
+    tasks = _parts.tasks(docs.sparkSession, parts)
     # All uses of the dealt texts share one exchange.
-    dealt = dealt.repartition(_parts.tasks(docs.sparkSession, parts), "part")
+    dealt = dealt.repartition(tasks, "part")
     index = dealt.groupBy("part").applyInArrow(_index(buckets, factor), "bucket int, part int, windows binary, ranks binary, ids binary")
-    answers = index.groupBy("bucket").applyInArrow(_look_up, "part int, bucket int, n int, seen binary")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, schema)
+    told = index.groupBy("bucket").applyInArrow(_look_up, _ANSWERS_SQL).withColumns({n: F.lit(None).cast(k) for n, k in (("round", "int"), ("no", "int"), ("at", "long"), ("source_id", "long"))})
+    for round_ in (1, 2):
+        claims = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_claims(factor, round_ == 2), _CLAIMS_SQL).repartition(tasks, "source")
+        # Equal claims of all blocks are verified once.
+        asked = claims.select(*_KEYS).distinct()
+        verified = dealt.groupBy("part").cogroup(asked.groupBy("source")).applyInArrow(_verify(factor), _VERIFIED_SQL)
+        verdicts = claims.join(verified, list(_KEYS)).select("part", F.lit(round_).alias("round"), "no", "at", "source_id")
+        told = told.unionByName(verdicts, allowMissingColumns=True)
+    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(finish, schema)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", factor: int = FACTOR) -> DataFrame:
@@ -192,6 +334,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", factor:
     return _parsed(docs, doc_id, text, factor, _digest(_finish(factor)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", factor: int = FACTOR) -> DataFrame:
+    """The factors: doc_id, first word and number of words, and the document and word that they are copied from."""
+    return _parsed(docs, doc_id, text, factor, _spans(factor), "doc_id long, start long, n_words long, source_id long, source_start long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
