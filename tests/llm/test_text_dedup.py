@@ -84,7 +84,7 @@ def test_substring_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     b = substring_dedup._Block(_parts_table(data), 13)
     begin, many, source, rank = b.factors(_NO_ANSWERS)
     assert len(np.unique(b.hashes)) < 257 and len(begin) and run_hash
-    claims = substring_dedup._claims(13, False)(_parts_table(data), _NO_ANSWERS)
+    claims = substring_dedup._factored(13)(_parts_table(data), _NO_ANSWERS)
     out = substring_dedup._verify(13)(_parts_table(data), claims.select(list(substring_dedup._KEYS)))
     at = out.column("at").to_pylist()
     assert -1 in at
@@ -94,7 +94,7 @@ def test_substring_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
         row = int(b.row[begin[k]])
         words = lists[row][w0 - int(b.first[row]) :][: int(many[k]) + 12]
         if place >= 0:
-            assert any(lists[r][place : place + len(words)] == words for r in np.flatnonzero(b.rank == rank[k]))
+            assert any(lists[r][place : place + len(words)] == words for r in np.flatnonzero(b.ranks()[1] == rank[k]))
 
 
 def _parts_table(data):
@@ -106,7 +106,7 @@ def _parts_table(data):
 def _no_answers():
     import pyarrow as pa
 
-    kinds = {"part": pa.int32(), "bucket": pa.int32(), "n": pa.int32(), "seen": pa.binary(), "source": pa.binary(), "rank": pa.binary(), "round": pa.int32(), "no": pa.int32(), "at": pa.int64(), "source_id": pa.int64()}
+    kinds = {"part": pa.int32(), "bucket": pa.int32(), "n": pa.int32(), "seen": pa.binary(), "source": pa.binary(), "rank": pa.binary()}
     return pa.schema(list(kinds.items())).empty_table()
 
 

@@ -38,13 +38,20 @@ def tasks(spark: SparkSession, parts: int) -> int:
     return min(parts, max(MOST_TASKS, 4 * spark.sparkContext.defaultParallelism))
 
 
-def arranged(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """A part's rows by id, equal ids by text: the ids, them as numbers (null: LAST), bytes and row starts."""
+def arranged(rows: pa.Table, only=None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's rows by id, equal ids by text: the ids, them as numbers (null: LAST), bytes and row starts.
+
+    only: which of them to take, as a mask, given the ids as numbers.
+    """
     rows = rows.combine_chunks()
     rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])) if rows.num_rows > 1 else rows
     ids = rows.column("doc_id").combine_chunks()
+    order = pc.fill_null(ids, LAST).to_numpy(zero_copy_only=False)
+    if only is not None:
+        mask = pa.array(only(order))
+        rows, ids, order = rows.filter(mask), ids.filter(mask), order[mask.to_numpy(zero_copy_only=False)]
     data, off = _text.column_bytes(rows.column("text").cast(pa.large_string()))
-    return ids, pc.fill_null(ids, LAST).to_numpy(zero_copy_only=False), data, off
+    return ids, order, data, off
 
 
 def lots(off: np.ndarray, most: int) -> list[tuple[int, int]]:

@@ -87,17 +87,16 @@ def kept_texts(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.nda
 
 
 class _Block:
-    """A block's rows in order of their ids, with their words and windows."""
+    """A block's rows (or some of them) in order of their ids, with their words and, unless told otherwise, windows."""
 
-    def __init__(self, rows: pa.Table, factor: int):
+    def __init__(self, rows: pa.Table, factor: int, only=None, windows: bool = True):
         self.part = rows.column("part")[0].as_py() if rows.num_rows else -1
         self.factor = factor
-        self.ids, order, self.data, self.off = _parts.arranged(rows)
+        self.ids, self.order, self.data, self.off = _parts.arranged(rows, only)
         with np.errstate(over="ignore"):
             self.start, self.end, self.first = _text.words(self.data, self.off)
-            self.hashes, self.word, self.row = _windows(self.data, self.first, self.start, self.end, factor)
-        #: The distinct ids, ascending, and the place of each row's id among them.
-        self.known, self.rank = np.unique(order, return_inverse=True)
+            if windows:
+                self.hashes, self.word, self.row = _windows(self.data, self.first, self.start, self.end, factor)
         self._flat: tuple[bytes, np.ndarray] | None = None
 
     def words_digest(self, word: int, many: int) -> bytes:
@@ -111,17 +110,21 @@ class _Block:
         text, at = self._flat
         return hashlib.blake2b(text[at[word] : at[word + many] - 1], digest_size=16).digest()
 
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids, ascending, and the place of each row's id among them."""
+        return np.unique(self.order, return_inverse=True)
+
     def factors(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Greedy factors: the first window and how many, and the source's block and document rank."""
         found, at, back = np.unique(self.hashes, return_index=True, return_inverse=True)
-        seen, source, rank = np.zeros(len(found), bool), np.full(len(found), self.part), self.rank[self.row[at]]
+        own = self.ranks()[1][self.row]
+        seen, source, rank = np.zeros(len(found), bool), np.full(len(found), self.part), own[at]
         if answers.num_rows:
             answers = answers.sort_by("bucket")
-            cells = [[b.as_py() for b in answers.column(n)] for n in ("seen", "source", "rank")]
-            seen = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n.as_py()) for b, n in zip(cells[0], answers.column("n"))]).astype(bool)
-            source[seen], rank[seen] = np.frombuffer(b"".join(cells[1]), np.int32), np.frombuffer(b"".join(cells[2]), np.int32)
+            seen = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()) for b, n in zip(answers.column("seen"), answers.column("n"))]).astype(bool)
+            source[seen], rank[seen] = (np.concatenate([_narrow(b.as_py()) for b in answers.column(n)]) for n in ("source", "rank"))
         # Rows are in order of their ids and np.unique gives the first, so the block's own first document is known too.
-        hit = seen[back] | (rank[back] < self.rank[self.row])
+        hit = seen[back] | (rank[back] < own)
         source, rank = source[back], rank[back]
         goes_on = np.zeros(len(hit), bool)
         goes_on[1:] = hit[1:] & hit[:-1] & (self.row[1:] == self.row[:-1]) & (source[1:] == source[:-1]) & (rank[1:] == rank[:-1])
@@ -129,21 +132,22 @@ class _Block:
         stop = np.flatnonzero(hit & ~np.append(goes_on[1:], False)) + 1
         return begin, stop - begin, source[begin], rank[begin]
 
-    def told(self, verdicts: pa.Table, round_: int, many: int) -> np.ndarray:
-        """The place that each claim of a round was found at (-1: not)."""
-        out = np.full(many, -1, np.int64)
-        mine = verdicts.filter(pc.equal(verdicts.column("round"), round_))
-        out[mine.column("no").to_numpy()] = mine.column("at").to_numpy()
-        return out
+    def claimed(self, begin: np.ndarray, many: np.ndarray, source: np.ndarray, rank: np.ndarray, row: np.ndarray) -> pa.Table:
+        """Claims of stretches of so many windows from given ones on; row: the rows' places in the whole block."""
+        word = self.word[begin]
+        digest = [self.words_digest(w, n + self.factor - 1) for w, n in zip(word.tolist(), many.tolist())]
+        return pa.table([pa.array(source, pa.int32()), pa.array(rank, pa.int32()), pa.array(self.hashes[begin].view(np.int64)), pa.array(many, pa.int32()), pa.array(digest, pa.binary()),
+                         pa.array(np.full(len(begin), self.part), pa.int32()), pa.array(row, pa.int32()), pa.array(word - self.first[self.row[begin]], pa.int32())], schema=_CLAIMS)
+
+
+def _wide(values: np.ndarray) -> bytes:
+    """Numbers from zero on, in as few bytes each as the largest takes."""
+    width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
 
-    def single(self, begin: np.ndarray, many: np.ndarray, source: np.ndarray, rank: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The windows of failed factors, which of the distinct ones each is, and one window with its source's block and rank for each of these."""
-        mine = np.flatnonzero(failed)
-        size = many[mine]
-        window = np.repeat(begin[mine] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(mine) else begin[mine], size) + np.arange(size.sum())
-        _, one, which = np.unique(self.hashes[window], return_index=True, return_inverse=True)
-        owner = np.repeat(mine, size)[one]
-        return window, which, window[one], owner
+def _narrow(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
 def _index(buckets: int, factor: int):
@@ -151,13 +155,14 @@ def _index(buckets: int, factor: int):
         """One row for each bucket that the block has windows for: their hashes, packed, and the first document of each."""
         b = _Block(rows, factor)
         found, at = np.unique(b.hashes, return_index=True)
-        rank = b.rank[b.row[at]].astype(np.uint16 if len(b.known) <= 65536 else np.uint32)
+        known, rank = b.ranks()
+        rank = rank[b.row[at]].astype(np.uint16 if len(known) <= 65536 else np.uint32)
         edges = _text.bucket_edges(found, buckets)
         used = np.flatnonzero(np.diff(edges))
         cuts = [slice(edges[k], edges[k + 1]) for k in used]
         return pa.table({
             "bucket": pa.array(used, pa.int32()), "part": pa.array([b.part] * len(used), pa.int32()),
-            "windows": pa.array([_text.pack_sorted(found[c]) for c in cuts], pa.binary()), "ranks": pa.array([rank[c].tobytes() for c in cuts], pa.binary()), "ids": pa.array([b.known.tobytes()] * len(used), pa.binary()),
+            "windows": pa.array([_text.pack_sorted(found[c]) for c in cuts], pa.binary()), "ranks": pa.array([rank[c].tobytes() for c in cuts], pa.binary()), "ids": pa.array([known.tobytes()] * len(used), pa.binary()),
         })
 
     return run
@@ -189,43 +194,50 @@ def _look_up(rows: pa.Table) -> pa.Table:
     named = [at[c][seen[c]] for c in cuts]
     return pa.table({
         "part": rows.column("part"), "bucket": rows.column("bucket"), "n": pa.array(np.diff(sizes), pa.int32()), "seen": pa.array([np.packbits(seen[c]).tobytes() for c in cuts], pa.binary()),
-        "source": pa.array([owner[n].tobytes() for n in named], pa.binary()), "rank": pa.array([ranks[n].tobytes() for n in named], pa.binary()),
+        "source": pa.array([_wide(owner[n]) for n in named], pa.binary()), "rank": pa.array([_wide(ranks[n]) for n in named], pa.binary()),
     })
 
 
 _ANSWERS_SQL = "part int, bucket int, n int, seen binary, source binary, rank binary"
-_CLAIMS = pa.schema([("source", pa.int32()), ("rank", pa.int32()), ("h", pa.int64()), ("many", pa.int32()), ("digest", pa.binary()), ("part", pa.int32()), ("no", pa.int32())])
-_CLAIMS_SQL = "source int, rank int, h long, many int, digest binary, part int, no int"
+_CLAIMS = pa.schema([("source", pa.int32()), ("rank", pa.int32()), ("h", pa.int64()), ("many", pa.int32()), ("digest", pa.binary()), ("part", pa.int32()), ("row", pa.int32()), ("start", pa.int32())])
+_CLAIMS_SQL = "source int, rank int, h long, many int, digest binary, part int, row int, start int"
 _KEYS = ("source", "rank", "h", "many", "digest")
 
 
-def _claims(factor: int, again: bool):
-    """What a block claims of its sources: its factors, or again the windows of those that weren't found as they are."""
-
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        answers, verdicts = _split(told)
-        if not rows.num_rows or again and not pc.any(pc.equal(verdicts.column("at"), -1)).as_py():
+def _factored(factor: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """What a block claims of its sources: its factors."""
+        if not rows.num_rows:
             return _CLAIMS.empty_table()
         b = _Block(rows, factor)
         begin, many, source, rank = b.factors(answers)
-        if again:
-            _, _, begin, owner = b.single(begin, many, source, rank, b.told(verdicts, 1, len(begin)) < 0)
-            many, source, rank = np.ones(len(begin), np.int64), source[owner], rank[owner]
-        digest = [b.words_digest(w, n + factor - 1) for w, n in zip(b.word[begin].tolist(), many.tolist())]
-        return pa.table([pa.array(source, pa.int32()), pa.array(rank, pa.int32()), pa.array(b.hashes[begin].view(np.int64)), pa.array(many, pa.int32()), pa.array(digest, pa.binary()), pa.array(np.full(len(begin), b.part), pa.int32()), pa.array(np.arange(len(begin)), pa.int32())], schema=_CLAIMS)
+        return b.claimed(begin, many, source, rank, b.row[begin])
 
     return run
 
 
-def _split(told: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """Answers of the index, and verdicts on claims."""
-    verdict = pc.is_valid(told.column("round"))
-    return told.filter(pc.invert(verdict)), told.filter(verdict)
+def _again(factor: int):
+    def run(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
+        """What a block claims again, window by window: the factors that weren't found as they are."""
+        lost = verdicts.filter(pc.equal(verdicts.column("at"), -1))
+        if not lost.num_rows:
+            return _CLAIMS.empty_table()
+        row, start, many, source, rank = (lost.column(n).to_numpy().astype(np.int64) for n in ("row", "start", "many", "source", "rank"))
+        places = np.unique(row)
+        b = _Block(rows, factor, lambda order: np.isin(np.arange(len(order)), places))
+        # A row's windows are in order, one for each word that begins one.
+        mine = np.searchsorted(places, row)
+        begin = np.searchsorted(b.word, b.first[mine] + start)
+        each = np.repeat(np.arange(len(row)), many)
+        window = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        return b.claimed(window, np.ones(len(each), np.int64), source[each], rank[each], row[each])
+
+    return run
 
 
 #: Places of a claim's first window in the source document that are tried; a claim found at none of them is made again window by window.
 TRIED = 16
-_VERIFIED_SQL = ", ".join(f"{n} {k}" for n, k in zip(_KEYS, ("int", "int", "long", "int", "binary"))) + ", at long, source_id long"
+_VERIFIED_SQL = "source int, rank int, h long, many int, digest binary, at long, source_id long"
 
 
 def _verify(factor: int):
@@ -233,7 +245,16 @@ def _verify(factor: int):
         """Where the claimed words stand in their source document (-1: nowhere)."""
         at, ids = [], []
         if claims.num_rows:
-            b = _Block(rows, factor)
+            known: list[np.ndarray] = []
+            wanted = np.unique(claims.column("rank").to_numpy())
+
+            def only(order: np.ndarray) -> np.ndarray:
+                ids_, rank_ = np.unique(order, return_inverse=True)
+                known.append(ids_)
+                return np.isin(rank_, wanted)
+
+            b = _Block(rows, factor, only)
+            rank_of = np.searchsorted(known[0], b.order)
             order = np.argsort(b.hashes, kind="stable")
             ranked = b.hashes[order]
             h = claims.column("h").to_numpy().view(np.uint64)
@@ -241,35 +262,26 @@ def _verify(factor: int):
             for x, y, rank, many, digest in zip(low, high, claims.column("rank").to_pylist(), claims.column("many").to_pylist(), claims.column("digest").to_pylist()):
                 places = order[x:y]
                 row = b.row[places]
-                fits = (b.rank[row] == rank) & (b.word[places] + many + factor - 1 <= b.first[row + 1])
+                fits = (rank_of[row] == rank) & (b.word[places] + many + factor - 1 <= b.first[row + 1])
                 found = next((k for k in places[fits][:TRIED].tolist() if b.words_digest(int(b.word[k]), many + factor - 1) == digest), None)
                 at.append(-1 if found is None else int(b.word[found] - b.first[b.row[found]]))
-                ids.append(int(b.known[rank]))
-        out = pa.table([*[claims.column(n) for n in _KEYS], pa.array(at, pa.int64()), pa.array(ids, pa.int64())], names=[*_KEYS, "at", "source_id"])
-        return out
+                ids.append(int(known[0][rank]))
+        return pa.table([*[claims.column(n) for n in _KEYS], pa.array(at, pa.int64()), pa.array(ids, pa.int64())], names=[*_KEYS, "at", "source_id"])
 
     return run
 
 
-def _outcome(b: _Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Duplicate spans: first word, words, source id, place in the source; and their windows."""
-    answers, verdicts = _split(told)
-    begin, many, source, rank = b.factors(answers)
-    at = b.told(verdicts, 1, len(begin))
-    window, which, one, _ = b.single(begin, many, source, rank, at < 0)
-    at2 = b.told(verdicts, 2, len(one))[which] if len(window) else np.zeros(0, np.int64)
-    ids = {(r, n): i for r, n, i in zip(*(verdicts.column(c).to_pylist() for c in ("round", "no", "source_id")))}
-    whole, alone = np.flatnonzero(at >= 0), np.flatnonzero(at2 >= 0)
-    starts = np.concatenate([b.word[begin[whole]], b.word[window[alone]]]).astype(np.int64)
-    size = np.concatenate([many[whole], np.ones(len(alone), np.int64)]) + b.factor - 1
-    sources = np.array([ids[1, k] for k in whole.tolist()] + [ids[2, k] for k in which[alone].tolist()], np.int64)
-    return starts, size, sources, np.concatenate([at[whole], at2[alone]])
+def _found(b: _Block, verdicts: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """First word and number of words of the duplicate spans, and their verdicts."""
+    mine = verdicts.filter(pc.greater_equal(verdicts.column("at"), 0))
+    row, start, many = (mine.column(n).to_numpy().astype(np.int64) for n in ("row", "start", "many"))
+    return b.first[row] + start, many + b.factor - 1, mine
 
 
 def _finish(factor: int):
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        b = _Block(rows, factor)
-        starts, size, _, _ = _outcome(b, told)
+    def run(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
+        b = _Block(rows, factor, windows=False)
+        starts, size, _ = _found(b, verdicts)
         keep = ~_covered(len(b.start), starts, starts + size) if len(b.start) else np.zeros(0, bool)
         gone = np.concatenate([[0], np.cumsum(~keep)])
         texts = kept_texts(b.data, b.off, b.start, b.end, b.first, keep)
@@ -293,14 +305,13 @@ def _digest(inner):
 
 
 def _spans(factor: int):
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        b = _Block(rows, factor)
-        starts, size, sources, at = _outcome(b, told)
-        row = np.searchsorted(b.first, starts, side="right") - 1
-        unknown = sources == _parts.LAST
+    def run(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
+        b = _Block(rows, factor, windows=False)
+        starts, size, mine = _found(b, verdicts)
+        sources = mine.column("source_id").to_numpy()
         return pa.table({
-            "doc_id": b.ids.take(pa.array(row)), "start": pa.array(starts - b.first[row], pa.int64()), "n_words": pa.array(size, pa.int64()),
-            "source_id": pa.array(sources, pa.int64(), mask=unknown), "source_start": pa.array(at, pa.int64()),
+            "doc_id": b.ids.take(mine.column("row")), "start": mine.column("start").cast(pa.int64()), "n_words": pa.array(size, pa.int64()),
+            "source_id": pa.array(sources, pa.int64(), mask=sources == _parts.LAST), "source_start": mine.column("at"),
         })
 
     return run
@@ -312,16 +323,21 @@ def _parsed(docs: DataFrame, doc_id: str, text: str, factor: int, finish, schema
     tasks = _parts.tasks(docs.sparkSession, parts)
     # All uses of the dealt texts share one exchange.
     dealt = dealt.repartition(tasks, "part")
-    index = dealt.groupBy("part").applyInArrow(_index(buckets, factor), "bucket int, part int, windows binary, ranks binary, ids binary")
-    told = index.groupBy("bucket").applyInArrow(_look_up, _ANSWERS_SQL).withColumns({n: F.lit(None).cast(k) for n, k in (("round", "int"), ("no", "int"), ("at", "long"), ("source_id", "long"))})
-    for round_ in (1, 2):
-        claims = dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_claims(factor, round_ == 2), _CLAIMS_SQL).repartition(tasks, "source")
-        # Equal claims of all blocks are verified once.
-        asked = claims.select(*_KEYS).distinct()
-        verified = dealt.groupBy("part").cogroup(asked.groupBy("source")).applyInArrow(_verify(factor), _VERIFIED_SQL)
-        verdicts = claims.join(verified, list(_KEYS)).select("part", F.lit(round_).alias("round"), "no", "at", "source_id")
-        told = told.unionByName(verdicts, allowMissingColumns=True)
-    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(finish, schema)
+    blocks = dealt.groupBy("part")
+    index = blocks.applyInArrow(_index(buckets, factor), "bucket int, part int, windows binary, ranks binary, ids binary")
+    answers = index.groupBy("bucket").applyInArrow(_look_up, "part int, bucket int, n int, seen binary, source binary, rank binary")
+
+    def verdicts(claims: DataFrame) -> DataFrame:
+        """The claims with the place that each was found at. Equal claims of all blocks are verified once."""
+        claims = claims.repartition(tasks, "source")
+        # With all columns, so that both uses of the claims share one exchange.
+        asked = claims.groupBy(*_KEYS).agg(F.min(F.struct("part", "row", "start")).alias("first")).where("first IS NOT NULL").select(*_KEYS)
+        verified = blocks.cogroup(asked.groupBy("source")).applyInArrow(_verify(factor), _VERIFIED_SQL)
+        return claims.join(verified, list(_KEYS)).drop("digest", "h").repartition(tasks, "part")
+
+    one = verdicts(blocks.cogroup(answers.groupBy("part")).applyInArrow(_factored(factor), _CLAIMS_SQL))
+    two = verdicts(blocks.cogroup(one.groupBy("part")).applyInArrow(_again(factor), _CLAIMS_SQL))
+    return blocks.cogroup(one.unionByName(two).groupBy("part")).applyInArrow(finish, schema)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", factor: int = FACTOR) -> DataFrame:
