@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import operator
 import random
 import re
 from collections.abc import Iterator
@@ -50,6 +51,9 @@ DESCRIBED, REMEMBERED, SHORT = 10_000, 300_000, 64
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-.]+(?:={1,2}(?![A-Za-z0-9+/_\-]))?")
 _WORD = re.compile(r"[A-Za-z]+")
+_AGAIN = re.compile(r"(.)\1+")
+#: The kind of each character of a candidate: digit, capital, other than a letter; small letters are the rest.
+_KINDS = {**{ord(c): "d" for c in "0123456789"}, **{ord(c): "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): "o" for c in "+/_-.="}, **{ord(c): "l" for c in "abcdefghijklmnopqrstuvwxyz"}}
 # Words that stand beside secrets, words that stand beside what is none, and common words.
 BESIDE = frozenset("token key secret password passwd pwd pass auth bearer credential credentials apikey api private access client signing login session".split())
 NOT_BESIDE = frozenset("sha sha1 sha256 md5 digest checksum hash commit revision rev uuid guid id etag build version integrity example sample dummy placeholder test fingerprint serial object blob tree parent index phone tel isbn order".split())
@@ -78,7 +82,11 @@ class Words:
                 count[last, now] += 1
                 last = now
             count[last, 26] += 1
-        self.pairs = (-np.log2(count / count.sum(1, keepdims=True))).tolist()
+        pairs = -np.log2(count / count.sum(1, keepdims=True))
+        #: By two characters: the surprise of the second, if it is a letter.
+        every, small = "0123456789+/_-.= abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"
+        self.steps = {a + c: float(pairs[small.find(a), small.index(c)]) if c in small else 0.0 for a in every for c in every}
+        self.heads = frozenset(w[:SHORTEST] for w in self.known)
 
     def covered(self, low: str) -> int:
         """Letters of a lower-cased string that dictionary words cover, the longest first."""
@@ -87,6 +95,9 @@ class Words:
             part = run.group()
             i, n = 0, len(part)
             while i + SHORTEST <= n:
+                if part[i : i + SHORTEST] not in self.heads:
+                    i += 1
+                    continue
                 for k in range(min(LONGEST, n - i), SHORTEST - 1, -1):
                     if part[i : i + k] in self.known:
                         out += k
@@ -124,26 +135,23 @@ def describe(before: str, key: str, after: str, words: Words | None = None) -> l
     words = words or words_of()
     n = len(key)
     low = key.lower()
-    upper, lower, digit = sum(c.isupper() for c in key), sum(c.islower() for c in key), sum(c.isdigit() for c in key)
+    kinds = key.translate(_KINDS)
+    upper, digit, other = kinds.count("U"), kinds.count("d"), kinds.count("o")
+    lower = n - upper - digit - other
+    letters = upper + lower
     share = [key.count(c) / n for c in set(key)]
-    steps, last = [], 26
-    turns = 0
-    for a, c in zip(" " + key, key):
-        turns += (a.isdigit() != c.isdigit()) or (a.isupper() != c.isupper())
-        now = ord(c.lower()) - 97
-        if 0 <= now < 26:
-            steps.append(words.pairs[last][now])
-            last = now
-        else:
-            last = 26
-    context = [w.lower() for w in _WORD.findall(before[-AROUND:])]
-    near = set(context[-4:])
-    near |= {p for w in _WORD.findall(before[-AROUND:])[-4:] for p in re.findall(r"[a-z]+", re.sub(r"([A-Z])", r" \1", w).lower())}
+    turns = sum(map(operator.ne, "l" + kinds.replace("o", "l"), kinds.replace("o", "l")))
+    surprise = sum(map(words.steps.__getitem__, map(operator.add, " " + low, low))) / letters if letters else 8.0
+    near: set[str] = set()
+    if before:
+        said = _WORD.findall(before[-AROUND:])
+        near = set([w.lower() for w in said][-4:])
+        near |= {p for w in said[-4:] for p in re.findall(r"[a-z]+", re.sub(r"([A-Z])", r" \1", w).lower())}
     tail = before.rstrip()[-2:]
-    run = max((len(m.group()) for m in re.finditer(r"(.)\1*", key)), default=0)
+    run = max((m.end() - m.start() for m in _AGAIN.finditer(key)), default=1)
     return [
-        n, upper / n, lower / n, digit / n, sum(c in "0123456789abcdef" for c in low) / n, -sum(p * math.log2(p) for p in share),
-        (upper > 0) + (lower > 0) + (digit > 0) + any(not c.isalnum() for c in key), sum(steps) / len(steps) if steps else 8.0, turns / n, words.covered(low) / n,
+        n, upper / n, lower / n, digit / n, (digit + sum(map(low.count, "abcdef"))) / n, -sum(p * math.log2(p) for p in share),
+        (upper > 0) + (lower > 0) + (digit > 0) + (other > 0), surprise, turns / n, words.covered(low) / n,
         key.count("/"), key.count("."), key.count("-") + key.count("_"), float(low.rpartition(".")[2] in EXTENSIONS), float("://" in before[-AROUND:].rpartition(" ")[2] or low.startswith("www.") or "//" in key),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(tail[-1:] in ("\"", "'") and after[:1] in ("\"", "'")), float(len(near & BESIDE)), float(len(near & NOT_BESIDE)),
         n / max(1, len(set(key))), float(key.endswith("=")), run,
