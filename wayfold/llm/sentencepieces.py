@@ -13,8 +13,10 @@ merged directly. Characters without a piece become their UTF-8 bytes' pieces.
 Words come back often; a worker keeps the ids of a bounded number of them. Words longer than
 LONG characters are encoded but not kept.
 
-A null text is empty and has no ids. Repeated rows each get their row; extra columns are
-ignored. The model is a file of the public tokenizers, read once by the driver; its bytes are
+A null text is empty and has no ids. Texts of any length are encoded whole. Repeated rows each
+get their row, with equal ids. Extra columns, whatever their names, are ignored; with_ids()
+returns them, but for columns named n_tokens or ids, which it writes. An empty table gives an
+empty result. The model is a file of the public tokenizers, read once by the driver; its bytes are
 sent to the workers (its size is that of the vocabulary, not of the data).
 """
 
