@@ -82,3 +82,29 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.collect() == [] and {"doc_id", "lang", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_checkpoints_need_a_shared_folder_off_local_mode(spark):
+    import types
+
+    import pytest
+
+    from wayfold.llm import _tables
+
+    def context(master, folder=None, conf=None):
+        told = []
+        sc = types.SimpleNamespace(master=master, getCheckpointDir=lambda: folder, getConf=lambda: types.SimpleNamespace(get=lambda k: conf), setCheckpointDir=told.append)
+        return types.SimpleNamespace(sparkContext=sc), told
+
+    session, told = context("yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _tables.checkpoints(session)
+    session, told = context("spark://host:7077", conf="hdfs://shared")
+    _tables.checkpoints(session)
+    assert told == ["hdfs://shared"]
+    session, told = context("local-cluster[2,1,1024]", folder="hdfs://set")
+    _tables.checkpoints(session)
+    assert told == []
+    session, told = context("local[4]")
+    _tables.checkpoints(session)
+    assert len(told) == 1 and "wayfold-checkpoints-" in told[0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +26,8 @@ def checkpoints(spark: SparkSession) -> None:
     if not shared:
         if sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "wayfold-checkpoints")
+        shared = tempfile.mkdtemp(prefix="wayfold-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)  # ours alone, and local
     sc.setCheckpointDir(shared)
 
 
