@@ -112,3 +112,12 @@ def test_geojson_collections(spark):
     assert [f["properties"]["kind"] for f in dots[1]["features"]] == ["accept", "weak"] and dots[2]["features"][0]["geometry"] == {"type": "Point", "coordinates": [107.0, 30.0]}
     lines = [json.loads(r.feature) for r in polyline.line_features(p, ["session_id"]).collect()]
     assert [f["geometry"]["coordinates"] for f in lines] == [[[106.0, 29.0], [106.1, 29.1]]]
+
+
+def test_clean_up_of_interrupted_writes(spark, tmp_path):
+    folder = tmp_path / "one"
+    folder.mkdir()
+    for name in (*manifest.TEMPORARY[:2], "session.json", "notes.tmp"):
+        (folder / name).write_text("x")
+    assert manifest.clean_up(spark, str(tmp_path), "one") == 2 and manifest.clean_up(spark, str(tmp_path), "one") == 0
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == ["notes.tmp", "session.json"]

@@ -33,3 +33,14 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
 def write(manifests: DataFrame, folder: str) -> None:
     """One folder a session; Spark's commit protocol makes each write whole or absent."""
     manifests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(folder)
+
+
+#: What an interrupted write can leave in a session's folder.
+TEMPORARY = ("session.json.tmp", "track.gpx.tmp", "partial.gpx.tmp")
+
+
+def clean_up(spark: SparkSession, folder: str, session_id: str) -> int:
+    """Delete the known temporary files of a session in any store that Spark reaches; how many there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(fs.delete(path(f"{folder}/{session_id}/{name}"), False) for name in TEMPORARY)
