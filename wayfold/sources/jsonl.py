@@ -41,15 +41,32 @@ def first_bad(rows: DataFrame, key: str = "session_id") -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.when(F.col("ev").isNull(), F.col("line_no"))).alias("bad_line"))
 
 
+def gated(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """rows with their event, and what holds for their whole log: why (the first reason, in line order, that it cannot be replayed; null if it can), start_t and forced.
+
+    All are windows by key, so a log is dealt once however many readers its lines have.
+    """
+    event = get("event", "string")
+    whole = W.partitionBy(key)
+    created = get("createdElapsedRealtimeNanos", "long")
+    seen = rows.withColumns({
+        "event": event,
+        "begun": F.last(F.when(event == "session_metadata", F.coalesce(created, F.lit(-1).cast("long"))), ignorenulls=True).over(whole.orderBy("line_no")),
+    })
+    e, line = F.col("event"), F.col("line_no")
+    fault = F.when(F.col("ev").isNull(), F.concat(F.lit("malformed_json_line_"), line.cast("string"))).when((e == "raw_location") & (F.coalesce("begun", F.lit(-1)) <= 0), "missing_session_metadata_before_raw_location")
+    seen = seen.withColumn("fault", fault).withColumns({
+        "why": F.min_by("fault", F.when(F.col("fault").isNotNull(), line)).over(whole),
+        "raws": F.count_if(e == "raw_location").over(whole),
+        "start_t": F.max_by(created, F.when(e == "session_metadata", line)).over(whole),
+        "forced": F.coalesce(F.max_by(F.coalesce(get("forcedWeakFirstFixEnabled", "boolean"), F.lit(False)), F.when(e == "config_snapshot", line)).over(whole), F.lit(False)),
+    })
+    return seen.withColumn("why", F.coalesce("why", F.when(F.col("raws") == 0, "no_raw_location_events"))).drop("begun", "fault", "raws")
+
+
 def replay_gates(rows: DataFrame, key: str = "session_id") -> DataFrame:
     """The first reason, in line order, why a log cannot be replayed; null if it can."""
-    event = get("event", "string")
-    start = F.last(F.when(event == "session_metadata", F.coalesce(get("createdElapsedRealtimeNanos", "long"), F.lit(-1).cast("long"))), ignorenulls=True).over(W.partitionBy(key).orderBy("line_no"))
-    seen = rows.withColumns({"event": event, "start": start})
-    why = F.when(F.col("ev").isNull(), F.concat(F.lit("malformed_json_line_"), F.col("line_no").cast("string"))).when((F.col("event") == "raw_location") & (F.coalesce("start", F.lit(-1)) <= 0), "missing_session_metadata_before_raw_location")
-    return seen.withColumn("why", why).groupBy(key).agg(F.min_by("why", F.when(F.col("why").isNotNull(), F.col("line_no"))).alias("why"), F.count_if(F.col("event") == "raw_location").alias("raws")).select(
-        key, F.coalesce("why", F.when(F.col("raws") == 0, "no_raw_location_events")).alias("why")
-    )
+    return gated(rows, key).groupBy(key).agg(F.first("why").alias("why"))
 
 
 def summary(rows: DataFrame, key: str = "session_id") -> DataFrame:
@@ -76,15 +93,15 @@ def or_empty(rows: DataFrame, key: str = "session_id") -> DataFrame:
     return rows.join(first_bad(rows, key).where("bad_line IS NULL").select(key), key, "left_semi")
 
 
-def raw_locations(rows: DataFrame, null_is_present: bool, key: str = "session_id") -> DataFrame:
-    """Fixes of a log, with the defaults of its reader (replay: null_is_present)."""
+def raw_locations(rows: DataFrame, null_is_present: bool, key: str = "session_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Fixes of a log, with the defaults of its reader (replay: null_is_present) and the columns also."""
     event = get("event", "string") == "raw_location"
     t = F.coalesce(get("elapsedRealtimeNanos", "long"), F.lit(0).cast("long"))
     acc = F.when(F.coalesce(get("hasAccuracy", "boolean"), F.lit(True)), present("accuracy", "double", null_is_present, 0.0))
     return rows.where(event).select(
         key, "line_no", F.coalesce(get("rawPointId", "long"), F.lit(0).cast("long")).alias("raw_id"), F.coalesce(get("provider", "string"), F.lit("gps")).alias("provider"), F.coalesce(get("hasElapsedRealtimeNanos", "boolean"), F.lit(True)).alias("has_t"),
         t.alias("t"), F.coalesce(get("eventElapsedRealtimeNanos", "long"), t + 1_000_000).alias("recv"), F.coalesce(get("lat", "double"), F.lit(float("nan"))).alias("lat"), F.coalesce(get("lng", "double"), F.lit(float("nan"))).alias("lng"), acc.alias("acc"),
-        present("speed", "double", null_is_present, 0.0).alias("speed"), F.coalesce(get("mock", "boolean"), F.lit(False)).alias("mock"), get("sourceGnssSnapshotId", "long").alias("snap_id"), get("expectedResult", "string").alias("expected_result"), get("expectedReason", "string").alias("expected_reason"),
+        present("speed", "double", null_is_present, 0.0).alias("speed"), F.coalesce(get("mock", "boolean"), F.lit(False)).alias("mock"), get("sourceGnssSnapshotId", "long").alias("snap_id"), get("expectedResult", "string").alias("expected_result"), get("expectedReason", "string").alias("expected_reason"), *also,
     )
 
 
@@ -111,13 +128,14 @@ def with_envelope(events: DataFrame, key: str = "session_id", order: str = "line
 
 def replay(logs: DataFrame, key: str = "session_id") -> DataFrame:
     """Decisions of replayable logs against what they expect: one row a fix, and hit (null: nothing expected)."""
+    return _replayed(gated(lines(logs, key), key), key)
+
+
+def _replayed(seen: DataFrame, key: str) -> DataFrame:
     from ..plans import decide as D
 
-    rows = lines(logs, key)
-    fine = rows.join(replay_gates(rows, key).where("why IS NULL").select(key), key, "left_semi")
-    start = fine.where(get("event", "string") == "session_metadata").groupBy(key).agg(F.max_by(get("createdElapsedRealtimeNanos", "long"), "line_no").alias("start_t"))
-    forced = fine.where(get("event", "string") == "config_snapshot").groupBy(key).agg(F.max_by(F.coalesce(get("forcedWeakFirstFixEnabled", "boolean"), F.lit(False)), "line_no").alias("forced"))
-    fixes = raw_locations(fine, True, key).join(start, key).join(forced, key, "left").fillna(False, ["forced"])
+    fine = seen.where("why IS NULL")
+    fixes = raw_locations(fine, True, key, ("start_t", "forced"))
     made = D.decide(fixes, motions(fine, key), snapshots(fine, key))
     want = fixes.select(key, "line_no", "expected_result", "expected_reason")
     hit = (F.col("result") == F.coalesce("expected_result", "result")) & (F.col("reason") == F.coalesce("expected_reason", "reason"))
@@ -127,8 +145,9 @@ def replay(logs: DataFrame, key: str = "session_id") -> DataFrame:
 
 def replay_reports(logs: DataFrame, key: str = "session_id") -> DataFrame:
     """Status of each log: INVALID_LOG with the reason, EXACT, or BEST_EFFORT."""
-    gates = replay_gates(lines(logs, key), key)
-    d = replay(logs, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("expected_n"), F.count_if(~F.col("hit")).alias("misses"))
+    seen = gated(lines(logs, key), key)
+    gates = seen.groupBy(key).agg(F.first("why").alias("why"))
+    d = _replayed(seen, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("expected_n"), F.count_if(~F.col("hit")).alias("misses"))
     status = F.when(F.col("why").isNotNull(), "INVALID_LOG").when((F.col("misses") == 0) & (F.col("expected_n") == F.col("n")), "EXACT").otherwise("BEST_EFFORT")
     return gates.join(d, key, "left").select(key, status.alias("status"), "why", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("misses", F.lit(0)).alias("misses"))
 
