@@ -14,10 +14,10 @@ from .windows import MARKERS
 c = F.col
 
 
-@query("screen_points", """, m AS (SELECT session_id, raw_id, lat, lng, (lng + 180) / 360 AS x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 AS y FROM fix WHERE lat <> 0), b AS (SELECT session_id, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM m GROUP BY 1)
+@query("screen_points", """, m AS (SELECT session_id, raw_id, lat, lng, (lng + 180) / 360 AS x, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 AS y FROM fix), b AS (SELECT session_id, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM m GROUP BY 1)
 SELECT m.session_id, raw_id, round((x - 0.79) * 4096 + 540, 6) AS sx, round((y - 0.41) * 4096 + 960, 6) AS sy, round(20 + (lng - w) / greatest(e - w, 1e-6) * 760, 6) AS fx, round(20 + (n - lat) / greatest(n - s, 1e-6) * 560, 6) AS fy FROM m JOIN b USING (session_id)""", "fix")
 def screen_points(x):
-    rows = x.fix.where("lat <> 0")
+    rows = x.fix
     box = rows.groupBy("session_id").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"))
     mx, my = G.mercator(c("lat"), c("lng"))
     sx, sy = G.screen(mx, my, F.lit(0.79), F.lit(0.41), F.lit(4096.0), F.lit(1080.0), F.lit(1920.0))
@@ -53,10 +53,10 @@ def timeline_filter(x):
     return rows.withColumn("filter", name).where("filter IS NOT NULL").select("filter", "session_id", "id")
 
 
-@query("route_markers", ", p AS (SELECT session_id, seq // 20 AS part, line_no AS ord, t, lat, lng FROM fix WHERE lat <> 0)" + MARKERS.replace("{every}", "60000000000") + """
+@query("route_markers", ", p AS (SELECT session_id, seq // 20 AS part, line_no AS ord, t, lat, lng FROM fix)" + MARKERS.replace("{every}", "60000000000") + """
 SELECT session_id, part AS segment, CAST(k AS BIGINT) AS k, round(pla + (lat - pla) * ((ft + k * 60000000000 - pt) / (t - pt)), 9) AS lat FROM m WHERE ft + k * 60000000000 >= pt""", "fix")
 def route_markers(x):
-    rows = x.fix.where("lat <> 0").withColumns({"segment": F.expr("seq DIV 20"), "ord": c("line_no")})
+    rows = x.fix.withColumns({"segment": F.expr("seq DIV 20"), "ord": c("line_no")})
     # Marks begin anew with each segment of the route.
     keyed = rows.select(F.struct("session_id", "segment").alias("session_id"), "ord", "t", "lat", "lng")
     return O.time_markers(keyed, 60_000_000_000).select("session_id.session_id", "session_id.segment", "k", F.round("lat", 9).alias("lat"))

@@ -16,12 +16,11 @@ r6 = lambda e, name: F.round(e, 6).alias(name)
 
 
 @query("geo_scalars", f"""SELECT session_id, raw_id, round({hav('lat', 'lng', '29.0', '106.0')}, 6) AS metres, round((degrees(atan2(sin(radians(106.0 - lng)) * cos(radians(29.0)), cos(radians(lat)) * sin(radians(29.0)) - sin(radians(lat)) * cos(radians(29.0)) * cos(radians(106.0 - lng)))) + 360) % 360, 6) AS home,
- CASE WHEN start_t <= 0 OR t <= start_t THEN 0 ELSE (t - start_t) / 1e9 END AS seconds, ((raw_id * 7) % 720 - 360 + 720) % 360 AS course, least(abs(coalesce(bearing, 0) - 90), 360 - abs(coalesce(bearing, 0) - 90)) AS turn, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(coalesce(bearing, 0) / 45 + 0.5) AS BIGINT) % 8 + 1] AS wind FROM fix WHERE lat <> 0 AND NOT (lat = 29.0 AND lng = 106.0)""", "fix")
+ CASE WHEN start_t <= 0 OR t <= start_t THEN 0 ELSE (t - start_t) / 1e9 END AS seconds, ((raw_id * 7) % 720 - 360 + 720) % 360 AS course, least(abs(coalesce(bearing, 0) - 90), 360 - abs(coalesce(bearing, 0) - 90)) AS turn, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(coalesce(bearing, 0) / 45 + 0.5) AS BIGINT) % 8 + 1] AS wind FROM fix""", "fix")
 def geo_scalars(x):
     b = F.coalesce("bearing", F.lit(0.0))
-    rows = x.fix.where("lat <> 0 AND NOT (lat = 29.0 AND lng = 106.0)")
-    return rows.select("session_id", "raw_id", r6(G.haversine(c("lat"), c("lng"), F.lit(29.0), F.lit(106.0)), "metres"), r6(G.bearing(c("lat"), c("lng"), F.lit(29.0), F.lit(106.0)), "home"), G.seconds(c("start_t"), c("t")).alias("seconds"),
-                       F.pmod((c("raw_id") * 7) % 720 - 360, F.lit(360).cast("long")).alias("course"), G.heading_delta(b, F.lit(90.0)).alias("turn"), G.cardinal(b).alias("wind"))
+    return x.fix.select("session_id", "raw_id", r6(G.haversine(c("lat"), c("lng"), F.lit(29.0), F.lit(106.0)), "metres"), r6(G.bearing(c("lat"), c("lng"), F.lit(29.0), F.lit(106.0)), "home"), G.seconds(c("start_t"), c("t")).alias("seconds"),
+                        F.pmod((c("raw_id") * 7) % 720 - 360, F.lit(360).cast("long")).alias("course"), G.heading_delta(b, F.lit(90.0)).alias("turn"), G.cardinal(b).alias("wind"))
 
 
 @query("barometer_scalars", "SELECT session_id, sample_id, CASE WHEN hpa > 0 THEN round(44330 * (1 - power(hpa / 1013.25, 1 / 5.255)), 6) END AS metres, hpa > 0 AS sound, alt + 12.5 AS shown FROM pressure", "pressure")
@@ -164,11 +163,11 @@ def points(x):
 
     kept = since_reset(x.decision, c("reason").isin("gap_recovery", "transport_recovery")).where("result <> 'reject'")
     own = kept.select("session_id", "raw_id", "line_no", "decision_id", "point_id", (c("island_") + 1).alias("segment_id"), "result", "reason", "metres", "moving")
-    return own.join(x.fix.drop("line_no", "seq"), ["session_id", "raw_id"]).where("lat <> 0")
+    return own.join(x.fix.drop("line_no", "seq"), ["session_id", "raw_id"])
 
 
 PTS = """, sd AS (SELECT *, CAST(1 + sum(CASE WHEN reason IN ('gap_recovery', 'transport_recovery') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id FROM decision),
-pts AS (SELECT d.session_id, d.raw_id, d.line_no, d.decision_id, d.point_id, d.segment_id, d.result, d.reason, d.metres, d.moving, f.snap_id, f.lat, f.lng, f.acc, f.bearing, f.wall, f.t, f.alt, f.vacc FROM sd d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result <> 'reject' AND f.lat <> 0)"""
+pts AS (SELECT d.session_id, d.raw_id, d.line_no, d.decision_id, d.point_id, d.segment_id, d.result, d.reason, d.metres, d.moving, f.snap_id, f.lat, f.lng, f.acc, f.bearing, f.wall, f.t, f.alt, f.vacc FROM sd d JOIN fix f ON d.session_id = f.session_id AND d.raw_id = f.raw_id WHERE d.result <> 'reject')"""
 
 
 def _tag(name: str, value: str) -> str:
@@ -192,8 +191,10 @@ def gpx_text(x):
 
 
 @query("gpx_roundtrip", PTS + """, b AS (SELECT *, CASE WHEN result = 'weak' OR coalesce(lag(result = 'weak') OVER (PARTITION BY session_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS brk FROM pts)
-SELECT session_id, row_number() OVER o - 1 AS ord, CAST(sum(brk) OVER o AS BIGINT) AS segment, lat, lng, alt AS ele, wall FROM b WINDOW o AS (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)""", "fix decision")
+, s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS seg FROM b)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS ord, dense_rank() OVER (PARTITION BY session_id ORDER BY seg) AS segment, lat, lng, alt AS ele, wall FROM s WHERE NOT (lat = 0 AND lng = 0)""", "fix decision")
 def gpx_roundtrip(x):
+    """Points at 0, 0 are written and not read back; segments of such points alone bear no number."""
     return gpx.read(gpx.written(points(x)))
 
 

@@ -112,10 +112,10 @@ m AS (SELECT *, unnest(range((greatest(pt, top) - ft) // {every} + 1, (t - ft) /
 MARKERS_10 = MARKERS.replace("{every}", "600000000000")
 
 
-@query("time_markers", ", p AS (SELECT session_id, 0 AS part, line_no AS ord, t, lat, lng FROM fix WHERE lat <> 0)" + MARKERS_10 + """
+@query("time_markers", ", p AS (SELECT session_id, 0 AS part, line_no AS ord, t, lat, lng FROM fix)" + MARKERS_10 + """
 SELECT session_id, CAST(k AS BIGINT) AS k, CAST(ft + k * 600000000000 AS BIGINT) AS t, round(pla + (lat - pla) * ((ft + k * 600000000000 - pt) / (t - pt)), 9) AS lat, round(pln + (lng - pln) * ((ft + k * 600000000000 - pt) / (t - pt)), 9) AS lng FROM m WHERE ft + k * 600000000000 >= pt""", "fix")
 def time_markers(x):
-    p = x.fix.where("lat <> 0").select("session_id", F.col("line_no").alias("ord"), "t", "lat", "lng")
+    p = x.fix.select("session_id", F.col("line_no").alias("ord"), "t", "lat", "lng")
     return O.time_markers(p).withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
 
 
